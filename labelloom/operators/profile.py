@@ -51,11 +51,12 @@ def seen_values(df: DataFrame, *cols: str, n: str) -> DataFrame:
 def corpus_fingerprint(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row: a digest of the number of documents and every (place, text) pair.
 
-    A sum of row hashes is order-free, so the place is hashed with the text;
+    A sum of row digests is order-free, so the place is hashed with the text;
     swapping two texts or dropping one changes the result, and equal rows do not
     cancel as they would under xor.
     """
-    row = F.xxhash64(F.col(doc_id), F.col(text)).cast("decimal(38,0)")
+    digest = F.sha1(F.concat_ws("|", F.col(doc_id).cast("string"), F.col(text)))
+    row = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")
     total = corpus.agg(F.count("*").alias("n"), F.sum(row).alias("s"))
     digest = F.substring(F.sha1(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string"))), 1, 16)
     return total.select(F.col("n").alias("n_docs"), digest.alias("fingerprint"))

@@ -43,47 +43,61 @@ def split_quota(sizes: DataFrame, label: str, test_size: float) -> DataFrame:
     return shared.select(label, "n_class", (F.col("_base") + F.when(place <= short, 1).otherwise(0)).alias("quota"))
 
 
-def hash_cut(df: DataFrame, quota: DataFrame, *, label: str, doc_id: str, seed: int) -> DataFrame:
-    """``label, cut_hash, cut_id``: the last row, per class, of the first ``quota`` rows.
+def hash_cuts(df: DataFrame, quotas: DataFrame, *, label: str, doc_id: str, seed: int) -> DataFrame:
+    """``label, cuts``: where, in each class's hash order, the first ``quota`` rows end.
 
-    A class is never sorted as a whole. Rows are counted per (class, hash
-    prefix); the running sum over at most 16**BUCKET_DIGITS counts finds the
-    bucket that holds the cut, and only that bucket's rows are ranked.
-    A class with quota 0 has no row.
+    ``quotas``: label, cut_no, quota. A class is never sorted as a whole. Rows
+    are counted per (class, hash prefix); the running sum over at most
+    16**BUCKET_DIGITS counts finds the buckets that hold a cut, and only those
+    buckets' rows are ranked. A quota of 0 has no cut.
     """
     hashed = df.select(label, F.col(doc_id).alias("_id"), order_hash(seed, label, doc_id).alias("_h"))
     hashed = hashed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
     counts = hashed.groupBy(label, "_b").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(label).orderBy("_b"))
-    edge = (
-        counts.withColumn("_upto", upto).join(quota.select(label, "quota"), label)
+    edges = (
+        counts.withColumn("_upto", upto).join(quotas.select(label, "cut_no", "quota"), label)
         .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        .select(label, "_b", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need"))
+        .select(label, "_b", "cut_no", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_need"))
     )
-    edge = small_table(edge)
-    rank = F.row_number().over(W.partitionBy(label).orderBy("_h", "_id"))
-    inside = hashed.join(edge, [label, "_b"]).withColumn("_rank", rank)
-    cut = inside.where(F.col("_rank") == F.col("_need"))
-    return small_table(cut.select(label, F.col("_h").alias("cut_hash"), F.col("_id").alias("cut_id")))
+    inside = hashed.join(small_table(edges), [label, "_b"])
+    rank = F.row_number().over(W.partitionBy(label, "cut_no").orderBy("_h", "_id"))
+    ends = inside.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need"))
+    cut = F.struct("cut_no", F.col("_h").alias("hash"), F.col("_id").alias("id"))
+    return small_table(ends.groupBy(label).agg(F.sort_array(F.collect_list(cut)).alias("cuts")))
 
 
-def before_cut(seed: int, label: str, doc_id: str) -> Column:
-    """Whether a row, joined with its class's cut, lies within the quota."""
-    h = order_hash(seed, label, doc_id)
-    inside = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (F.col(doc_id) <= F.col("cut_id")))
-    return F.coalesce(inside, F.lit(False))
+def cuts_passed(df: DataFrame, cuts: DataFrame, out: str, *, label: str, doc_id: str, seed: int) -> DataFrame:
+    """Add the number of cuts of its class that lie before a row (null for a class without cuts).
+
+    The cuts are one small row per class; ``df`` is not shuffled.
+    """
+    placed = df.withColumn("_h", order_hash(seed, label, doc_id)).join(cuts, label, "left")
+    after = F.filter("cuts", lambda c: (F.col("_h") > c["hash"]) | ((F.col("_h") == c["hash"]) & (F.col(doc_id) > c["id"])))
+    n = F.when(F.col("cuts").isNotNull(), F.size(after))
+    return placed.withColumn(out, n).select(*df.columns, out)
 
 
 def stratified_split(df: DataFrame, *, test_size: float = 0.2, seed: int = 42, label: str = "label_name",
                      doc_id: str = "doc_id") -> DataFrame:
-    """Add ``split`` ("train" / "test"), keeping class shares.
+    """Add ``split`` ("train" / "test"), keeping class shares."""
+    quota = split_quota(class_sizes(df, label), label, test_size).withColumn("cut_no", F.lit(0))
+    cuts = hash_cuts(df, small_table(quota), label=label, doc_id=doc_id, seed=seed)
+    placed = cuts_passed(df, cuts, "split", label=label, doc_id=doc_id, seed=seed)
+    return placed.withColumn("split", F.when(F.col("split") == 0, F.lit("test")).otherwise(F.lit("train")))
+
+
+def stratified_folds(df: DataFrame, k: int, *, seed: int = 42, label: str = "label_name",
+                     doc_id: str = "doc_id") -> DataFrame:
+    """Add ``fold``: every row in exactly one of k class-balanced folds.
 
-    The corpus itself is not shuffled: rows are compared with a per-class cut.
+    Fold f of a class holds the ranks ``r`` with ``floor((r - 1) * k / n) = f``,
+    so fold sizes within a class differ by at most one.
     """
-    quota = small_table(split_quota(class_sizes(df, label), label, test_size))
-    cuts = hash_cut(df, quota, label=label, doc_id=doc_id, seed=seed)
-    side = F.when(before_cut(seed, label, doc_id), F.lit("test")).otherwise(F.lit("train"))
-    return df.join(cuts, label, "left").withColumn("split", side).drop("cut_hash", "cut_id")
+    sizes = class_sizes(df, label).withColumn("cut_no", F.explode(F.sequence(F.lit(1), F.lit(k - 1))))
+    quota = sizes.select(label, "cut_no", F.ceil(F.col("cut_no") * F.col("n_class") / F.lit(k)).alias("quota"))
+    cuts = hash_cuts(df, small_table(quota), label=label, doc_id=doc_id, seed=seed)
+    return cuts_passed(df, cuts, "fold", label=label, doc_id=doc_id, seed=seed)
 
 
 def short_classes(df: DataFrame, n: int, label: str = "label_name") -> DataFrame:
@@ -111,32 +125,10 @@ def pick_per_class(df: DataFrame, n: int | None, *, seed: int = 42, label: str =
         rank = F.row_number().over(W.partitionBy(label).orderBy("_h", doc_id))
         ranked = df.withColumn("_h", order_hash(seed, label, doc_id)).withColumn("_rank", rank)
         return ranked.where(F.col("_rank") <= n).drop("_h", "_rank")
-    quota = class_sizes(df, label).select(label, F.least("n_class", F.lit(n)).alias("quota"))
-    cuts = hash_cut(df, small_table(quota), label=label, doc_id=doc_id, seed=seed)
-    return df.join(cuts, label).where(before_cut(seed, label, doc_id)).drop("cut_hash", "cut_id")
-
-
-def class_rank(df: DataFrame, *, seed: int = 42, label: str = "label_name", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, label, rank``: the exact place of every row in its class's hash order.
-
-    Ranks are taken within (class, hash prefix) and shifted by the counts of the
-    prefixes before, so no task ever sorts a class.
-    """
-    keyed = df.select(doc_id, label, order_hash(seed, label, doc_id).alias("_h"))
-    keyed = keyed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    counts = keyed.groupBy(label, "_b").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(label).orderBy("_b")) - F.col("_n")
-    starts = counts.select(label, "_b", before.alias("_before"))
-    inside = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", doc_id))
-    ranked = keyed.withColumn("_inside", inside).join(starts, [label, "_b"])
-    return ranked.select(doc_id, label, (F.col("_before") + F.col("_inside")).alias("rank"))
-
-
-def stratified_folds(df: DataFrame, k: int, *, seed: int = 42, label: str = "label_name",
-                     doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, label, fold``: every row in exactly one of k class-balanced folds."""
-    ranked = class_rank(df, seed=seed, label=label, doc_id=doc_id)
-    return ranked.select(doc_id, label, F.pmod(F.col("rank") - 1, F.lit(k)).cast("int").alias("fold"))
+    quota = class_sizes(df, label).select(label, F.lit(0).alias("cut_no"), F.least("n_class", F.lit(n)).alias("quota"))
+    cuts = hash_cuts(df, small_table(quota), label=label, doc_id=doc_id, seed=seed)
+    placed = cuts_passed(df, cuts, "_after", label=label, doc_id=doc_id, seed=seed)
+    return placed.where(F.col("_after") == 0).drop("_after")
 
 
 def simple_sample(df: DataFrame, n: int, *, seed: int = 0, doc_id: str = "doc_id") -> DataFrame:
@@ -158,10 +150,11 @@ def first_rows(df: DataFrame, n: int | None, doc_id: str = "doc_id") -> DataFram
 
 
 def check_split(train_pick: DataFrame, corpus: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row: picked rows outside train, and picked rows inside test (both should be 0)."""
-    train = corpus.where(F.col("split") == "train").select(doc_id)
-    test = corpus.where(F.col("split") == "test").select(doc_id)
-    picked = train_pick.select(doc_id)
-    outside = picked.join(train, doc_id, "left_anti").agg(F.count("*").alias("n"))
-    leaked = picked.join(test, doc_id, "left_semi").agg(F.count("*").alias("n"))
-    return outside.select(F.col("n").alias("outside_train"), leaked.scalar().alias("inside_test"))
+    """One row: picked rows outside train, inside test (both should be 0), and their number."""
+    sides = corpus.select(doc_id, "split")
+    placed = train_pick.select(doc_id).join(sides, doc_id, "left")
+    return placed.agg(
+        F.count_if(~F.col("split").eqNullSafe(F.lit("train"))).alias("outside_train"),
+        F.count_if(F.col("split").eqNullSafe(F.lit("test"))).alias("inside_test"),
+        F.count("*").alias("n_picked"),
+    )

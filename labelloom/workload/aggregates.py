@@ -198,6 +198,8 @@ def a19(spark, sf):
     return _r(E.candidate_scores(folds, "score"), "mean_score", "std_score")
 
 
-@query("a24_corpus_fingerprint")
+@query("a24_corpus_fingerprint", """
+SELECT count(*) AS n_docs, substr(sha1(concat(count(*), '|',
+  sum(CAST('0x' || substr(sha1(concat(doc_id, '|', text)), 1, 15) AS BIGINT)))), 1, 16) AS fingerprint FROM documents""")
 def a24(spark, sf):
     return P.corpus_fingerprint(table(spark, sf, "documents"))

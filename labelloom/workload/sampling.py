@@ -22,8 +22,8 @@ quotas AS (SELECT label_name, base + CASE WHEN place <= total - sum(base) OVER (
   THEN 'test' ELSE 'train' END AS split FROM documents d JOIN quotas q ON q.label_name = d.{label})"""
 
 
-def sql_rank(src, seed=42, label="label_name"):
-    return f"row_number() OVER (PARTITION BY {label} ORDER BY md5(concat('{seed}|', {label}, '|', doc_id)), doc_id)"
+def sql_rank(src, seed=42, label="label_name", by="label_name"):
+    return f"row_number() OVER (PARTITION BY {by} ORDER BY md5(concat('{seed}|', {label}, '|', doc_id)), doc_id)"
 
 
 @query("w01_stratified_split", f"WITH {sql_split('lang')} SELECT doc_id, label_name, split FROM split_docs")
@@ -69,10 +69,10 @@ def w03_large(spark, sf):
 
 @query("w04_stratified_folds", f"""
 WITH {sql_split('lang')}, t AS (SELECT doc_id, label_name FROM split_docs WHERE split = 'train')
-SELECT doc_id, label_name, CAST(({sql_rank('t')} - 1) % 3 AS INTEGER) AS fold FROM t""")
+SELECT doc_id, label_name, CAST(({sql_rank('t')} - 1) * 3 // count(*) OVER (PARTITION BY label_name) AS INTEGER) AS fold FROM t""")
 def w04(spark, sf):
     train = S.stratified_split(corpus(spark, sf, "lang")).where(F.col("split") == "train")
-    return S.stratified_folds(train, 3)
+    return S.stratified_folds(train, 3).select("doc_id", "label_name", "fold")
 
 
 @query("w05_simple_sample", """
@@ -140,11 +140,16 @@ def p05(spark, sf):
     return predictions(spark, sf, source_labels(spark, sf)).where(F.col("pred_idx").isNull()).select("doc_id", "true_label")
 
 
-@query("p10_split_integrity", "SELECT CAST(0 AS BIGINT) AS outside_train, CAST(0 AS BIGINT) AS inside_test, count(*) > 0 AS nonempty FROM documents")
+@query("p10_split_integrity", f"""
+WITH {sql_split('source')}, r AS (SELECT doc_id, {sql_rank('split_docs')} AS rn FROM split_docs WHERE split = 'train'),
+picked AS (SELECT doc_id FROM r WHERE rn <= 4)
+SELECT (SELECT count(*) FROM picked WHERE doc_id NOT IN (SELECT doc_id FROM split_docs WHERE split = 'train')) AS outside_train,
+  (SELECT count(*) FROM picked WHERE doc_id IN (SELECT doc_id FROM split_docs WHERE split = 'test')) AS inside_test,
+  (SELECT count(*) FROM picked) AS n_picked""")
 def p10(spark, sf):
     split = S.stratified_split(corpus(spark, sf))
     picked = S.pick_per_class(split.where(F.col("split") == "train"), 4)
-    return S.check_split(picked, split).withColumn("nonempty", F.lit(True))
+    return S.check_split(picked, split)
 
 
 @query("p11_short_classes", """
