@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from labelloom.functions.replies import is_strict_json
 
-RUN_RECORD = T._parse_datatype_string("""
+RUN_RECORD = """
 run_name STRING, kind STRING, model STRING, featurizer STRING, data STRING,
 n_train LONG, n_test LONG, n_per_category LONG, n_classes LONG, best_params MAP<STRING,STRING>,
 cv STRUCT<n_splits: INT, scoring: STRING, best_score_mean: DOUBLE, best_score_std: DOUBLE>,
@@ -27,12 +27,12 @@ llm STRUCT<provider: STRING, tag: STRING, fraction: DOUBLE, n_unparseable: LONG,
   cache_read_input_tokens: LONG, cache_creation_input_tokens: LONG, total_cost_usd: DOUBLE, batch_ids: ARRAY<STRING>>>,
 n_total LONG, n_scored LONG, n_unparseable LONG, train_fraction DOUBLE,
 nested_cv STRUCT<summary: STRUCT<f1_macro: STRUCT<mean: DOUBLE, std: DOUBLE>, accuracy: STRUCT<mean: DOUBLE>>>
-""")
+"""
 
-RUN_CONFIG = T._parse_datatype_string("""
+RUN_CONFIG = """
 llm STRUCT<name: STRING, tag: STRING>, prompts STRUCT<name: STRING>, few_shot STRUCT<n_per_category: LONG>,
 data STRUCT<name: STRING>, n_per_category LONG, fraction DOUBLE
-""")
+"""
 
 RECORD_FILE, CONFIG_FILE, NAMES_FILE = "metrics.json", "config.yaml", "target_names.json"
 
