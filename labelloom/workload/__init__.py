@@ -1,7 +1,7 @@
 """The registered queries, by section of the inventory."""
 
 from labelloom.workload import base
-from labelloom.workload import aggregates, features, inference, sampling, scalars, sources  # noqa: F401
+from labelloom.workload import aggregates, boards, features, inference, models, sampling, scalars, sources  # noqa: F401
 
 
 def all_queries():
