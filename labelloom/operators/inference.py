@@ -85,13 +85,22 @@ def conversation_requests(turns: DataFrame, max_tokens: int = 1024) -> DataFrame
                           F.lit(None).cast("string").alias("prompt"), "messages", F.lit(max_tokens).alias("max_tokens"))
 
 
+def spread(df: DataFrame, backend: Backend, key: str) -> DataFrame:
+    """Documents over the tasks that will call the model.
+
+    An explicit number, as the cost of a call has nothing to do with bytes and
+    adaptive coalescing must not merge the calls. Done before prompts are
+    rendered, so templates and worked examples are not shuffled with every row.
+    """
+    tasks = backend.parallel_calls or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, key)
+
+
 def run_model(requests: DataFrame, backend: Backend) -> DataFrame:
     """``custom_id, content`` for every request the model answered, written to the shared folder.
 
-    Requests are spread over an explicit number of tasks, as their cost has
-    nothing to do with their size in bytes.
+    One task per partition of ``requests``; see ``spread``.
     """
-    tasks = backend.parallel_calls or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fn, rows = backend.fn, backend.rows_per_call
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,8 +112,7 @@ def run_model(requests: DataFrame, backend: Backend) -> DataFrame:
         for reply in fn(chunks()):
             yield reply[["custom_id", "content"]]
 
-    spread = requests.repartition(tasks, "custom_id")
-    return materialize(spread.mapInPandas(call, REPLY), "replies")
+    return materialize(requests.mapInPandas(call, REPLY), "replies")
 
 
 class MissingReplies(RuntimeError):
@@ -117,14 +125,16 @@ def keyed_documents(docs: DataFrame, fractions: list[float], *, model_tag: str,
 
     Fractions of 1 or more stand for the document itself: key "raw", no request.
     """
-    swept = docs.select("doc_id", "text", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
-    counted = swept.withColumn("source_words", X.word_count("text", at_least_one=True))
+    # Words and digest are taken once per document, below the explode.
+    counted = docs.select("doc_id", "text", X.word_count("text", at_least_one=True).alias("source_words"),
+                          X.doc_digest("text").alias("_digest"))
+    swept = counted.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     asked = F.greatest(F.lit(X.MIN_TARGET_WORDS), F.ceil(F.col("fraction") * F.col("source_words")).cast("int"))
     is_raw = F.col("fraction") >= 1.0
-    sized = counted.withColumn("target_words", F.when(is_raw, F.col("source_words")).otherwise(asked))
-    key = X.summary_key(digest=X.doc_digest("text"), target="target_words", model_tag=model_tag,
+    sized = swept.withColumn("target_words", F.when(is_raw, F.col("source_words")).otherwise(asked))
+    key = X.summary_key(digest="_digest", target="target_words", model_tag=model_tag,
                         prompt_version=prompts.version, temperature=temperature, seed=seed)
-    return sized.withColumn("cache_key", F.when(is_raw, F.lit(RAW_KEY)).otherwise(key))
+    return sized.withColumn("cache_key", F.when(is_raw, F.lit(RAW_KEY)).otherwise(key)).drop("_digest")
 
 
 def summary_requests(misses: DataFrame, prompts: PromptSet) -> DataFrame:
@@ -154,7 +164,7 @@ def summarize(docs: DataFrame, fractions: float | list[float], *, backend: Backe
     ids = materialize(wanted.select("doc_id", "fraction", "cache_key", "target_words", "source_words"), "summary-keys")
     misses = missing_keys(first_per_key(wanted, "cache_key"), known).drop("doc_id")
     misses = materialize(misses, "summary-misses")
-    replies = run_model(summary_requests(misses, prompts), backend)
+    replies = run_model(summary_requests(spread(misses, backend, "cache_key"), prompts), backend)
 
     answered = misses.join(replies.withColumnRenamed("custom_id", "cache_key"), "cache_key")
     fresh = answered.where(F.col("content").isNotNull()).select(
@@ -208,7 +218,7 @@ def classify(texts: DataFrame, labels: DataFrame, *, backend: Backend, prompts:
         worst = texts.agg(F.max(budget["required"]).alias("n"), F.count_if(budget["overflow"]).alias("over")).first()
         if worst["over"]:
             raise ValueError(f"{worst['over']} prompts exceed the context ceiling; the longest needs {worst['n']} tokens")
-    requests = chat_requests(texts, F.concat(F.lit("doc"), F.col("doc_id").cast("string")), prompt)
+    requests = chat_requests(spread(texts, backend, "doc_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")), prompt)
     replies = run_model(requests, backend)
     ids = texts.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("custom_id"))
     return parse_predictions(join_replies(ids, replies), labels).select("doc_id", "pred_label", "pred_idx")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
@@ -71,11 +72,14 @@ def run_vector(corpus: DataFrame, settings: VectorSettings, runs: str, *, encode
 
     tfidf_info = embed_info = None
     if encoder is not None:
+        started = time.perf_counter()
         vectors = embed(corpus.select("doc_id", "text"), encoder.fn, model_id=encoder.model_id,
                         cache_path=encoder.cache_path, prefix=encoder.prefix, normalize=encoder.normalize)
         vectors = materialize(vectors, "features")
-        facts = vectors.agg(F.max(F.size("embedding")).alias("dim"), F.bool_and("cache_hit").alias("hit")).first()
-        embed_info = {"model_id": encoder.model_id, "dim": facts["dim"], "cache_hit": facts["hit"]}
+        elapsed = time.perf_counter() - started
+        facts = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.bool_and("cache_hit").alias("hit")).first()
+        embed_info = {"model_id": encoder.model_id, "dim": facts["dim"], "cache_hit": facts["hit"],
+                      "encode_seconds": elapsed, "docs_per_second": facts["n"] / max(elapsed, 1e-6)}
         fit_on = materialize(models.dense_input(train.join(vectors, "doc_id")), "train-vectors")
         held_out = models.dense_input(test.join(vectors, "doc_id"))
     else:

@@ -17,7 +17,7 @@ run_name STRING, kind STRING, model STRING, featurizer STRING, data STRING,
 n_train LONG, n_test LONG, n_per_category LONG, n_classes LONG, best_params MAP<STRING,STRING>,
 cv STRUCT<n_splits: INT, scoring: STRING, best_score_mean: DOUBLE, best_score_std: DOUBLE>,
 test STRUCT<accuracy: DOUBLE, f1_macro: DOUBLE, f1_weighted: DOUBLE>,
-embedding STRUCT<model_id: STRING, dim: INT, cache_key: STRING, cache_hit: BOOLEAN, encode_seconds: DOUBLE,
+embedding STRUCT<model_id: STRING, dim: INT, cache_key: STRING, cache_hit: BOOLEAN, encode_seconds: DOUBLE, docs_per_second: DOUBLE,
   train_cache_key: STRING, test_cache_key: STRING, train_cache_hit: BOOLEAN, test_cache_hit: BOOLEAN>,
 tfidf STRUCT<vocab_size: LONG, n_features: LONG>,
 prompts STRUCT<name: STRING, version: STRING>,

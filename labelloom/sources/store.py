@@ -1,4 +1,8 @@
-"""Append-only prediction store: one JSON object per line."""
+"""Append-only prediction store: one JSON object per line, or Parquet.
+
+JSON lines are the interchange form. A store of billions of rows is better kept
+as Parquet, where the test for documents already done reads one column.
+"""
 
 from __future__ import annotations
 
@@ -24,14 +28,16 @@ PREDICTION = T.StructType([
 ])
 
 
-def read_store(spark: SparkSession, path: str, schema: T.StructType = PREDICTION) -> DataFrame:
+def read_store(spark: SparkSession, path: str, schema: T.StructType = PREDICTION, fmt: str = "json") -> DataFrame:
     """Rows of the store; a store not yet written is empty, a malformed line fails the job."""
-    return read_if_exists(spark, path, schema, "json", mode="FAILFAST")
+    options = {"mode": "FAILFAST"} if fmt == "json" else {}
+    return read_if_exists(spark, path, schema, fmt, **options)
 
 
-def append_store(rows: DataFrame, path: str) -> None:
+def append_store(rows: DataFrame, path: str, fmt: str = "json") -> None:
     """Add rows; nulls are written out, so that every line has every field."""
-    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+    writer = rows.write.mode("append").format(fmt)
+    (writer.option("ignoreNullFields", "false") if fmt == "json" else writer).save(path)
 
 
 def list_stores(spark: SparkSession, pattern: str) -> DataFrame:

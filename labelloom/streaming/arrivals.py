@@ -22,16 +22,16 @@ def read_arrivals(spark, folder: str, schema: T.StructType, *, glob: str = "*.pa
 
 
 def score_arrivals(arrivals: DataFrame, score: Callable[[DataFrame], DataFrame], *, store_path: str, checkpoint: str,
-                   store_schema: T.StructType, store_key: str = "test_idx") -> StreamingQuery:
+                   store_schema: T.StructType, store_key: str = "test_idx", fmt: str = "json") -> StreamingQuery:
     """Append ``score(batch)`` for documents not yet in the store; repeated ids are ignored.
 
     The anti-join with the store makes a batch safe to run again: after a failure
     between append and commit, the repeated batch finds its rows already there.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
-        store = read_store(batch.sparkSession, store_path, store_schema)
+        store = read_store(batch.sparkSession, store_path, store_schema, fmt)
         fresh = new_work(first_per_key(batch, "doc_id"), store, "doc_id", store_key)
-        append_store(score(fresh), store_path)
+        append_store(score(fresh), store_path, fmt)
 
     return (arrivals.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

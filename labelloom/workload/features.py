@@ -80,13 +80,14 @@ docs AS (SELECT doc_id, label_idx, split, CASE WHEN split = 'train' THEN CAST(({
   FROM split_docs s JOIN lang_dim l USING (label_name))"""
 
 
-def sql_nb(kind, alphas, norms=(False,), folds=True):
-    """Dense scoring: every class, term and candidate spelled out."""
+def sql_nb(kind, alphas, norms=(False,), folds: bool | None = True):
+    """Dense scoring: every class, term and candidate spelled out; held-out folds, the test part, or (None) both."""
     cands = [(a, n) for a in alphas for n in norms]
     values = ", ".join(f"({i}, {a}::DOUBLE, {str(n).lower()})" for i, (a, n) in enumerate(cands))
-    runs = "SELECT unnest([0, 1, 2]) AS run" if folds else "SELECT -1 AS run"
-    in_train = "d.split = 'train' AND d.fold <> r.run" if folds else "d.split = 'train'"
-    scored = "d.split = 'train' AND d.fold = r.run" if folds else "d.split = 'test'"
+    # Runs 0 to 2 hold a fold out of the training rows, run -1 is the fit on all of them.
+    runs = f"SELECT unnest({[0, 1, 2] if folds is True else [-1] if folds is False else [0, 1, 2, -1]}) AS run"
+    in_train = "d.split = 'train' AND d.fold <> r.run"
+    scored = "CASE WHEN r.run = -1 THEN d.split = 'test' ELSE d.split = 'train' AND d.fold = r.run END"
     if kind == "multinomial":
         weights = """theta AS (SELECT run, number, label_idx, term,
           ln(n + alpha) - ln(sum(n + alpha) OVER (PARTITION BY run, number, label_idx)) AS th FROM dense, cands)"""
