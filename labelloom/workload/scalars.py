@@ -263,14 +263,15 @@ def f29(spark, sf):
 
 
 @query("f30_l2_normalize", """
-SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: i * CAST(x AS DOUBLE) * (vec_id % 7 + 1)))
-  / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) * (vec_id % 7 + 1)), 3) AS weighted_sum
-FROM embeddings""")
+WITH scaled AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * (vec_id % 7 + 1) AS FLOAT)) AS v FROM embeddings),
+unit AS (SELECT vec_id, sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm, v FROM scaled)
+SELECT vec_id, round(list_sum(list_transform(v, lambda x, i: i * CAST(CAST(CAST(x AS DOUBLE) / norm AS FLOAT) AS DOUBLE))), 6) AS weighted_sum
+FROM unit""")
 def f30(spark, sf):
-    scaled = F.transform("embedding", lambda x: (x * (F.col("vec_id") % 7 + 1)).cast("float"))
+    scaled = F.transform("embedding", lambda x: (x.cast("double") * (F.col("vec_id") % 7 + 1)).cast("float"))
     unit = V.l2_normalize(scaled)
     total = F.aggregate(F.transform(unit, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return table(spark, sf, "embeddings").select("vec_id", F.round(total, 3).alias("weighted_sum"))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(total, 6).alias("weighted_sum"))
 
 
 @query("f31_rounding", f"""
