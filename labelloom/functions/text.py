@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 # set plus the four ASCII information separators).
 WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(
     map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_SPACES = f"[{WHITESPACE}]+"
+# The same set as a pattern; the property class is several times faster than the list.
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 # Floors of the length budgets.
 MIN_TARGET_WORDS = 8

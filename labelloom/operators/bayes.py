@@ -81,11 +81,6 @@ def fit_bayes(features: DataFrame, docs: DataFrame, vocab_size: int, n_folds: in
     return BayesModel(terms, small_table(classes), vocab_size, n_folds)
 
 
-def _class_sums(slot: Column) -> Column:
-    """The classes of a term with their sum in one slot: ARRAY<STRUCT<label_idx, n>>."""
-    return F.transform("classes", lambda c: F.struct(c["label_idx"].alias("label_idx"), c["sums"][slot].alias("n")))
-
-
 def _gain(n: Column, term_total: Column, c: Candidate) -> Column:
     """What a class's own sum of a term adds to the part that all classes share."""
     if c.kind == "multinomial":
@@ -97,23 +92,37 @@ def _shared(term_total: Column, c: Candidate) -> Column:
     return F.log(F.lit(c.alpha)) if c.kind == "multinomial" else F.log(term_total + c.alpha)
 
 
+def _term_gains(model: BayesModel, candidates: list[Candidate]) -> DataFrame:
+    """``term, shared, classes ARRAY<STRUCT<label_idx, gains>>``, both [slot][candidate].
+
+    All logarithms are taken here, once per term and class, not once per posting.
+    """
+    slots = range(model.n_folds + 1)
+
+    def total(s: int) -> Column:
+        return F.greatest(F.aggregate("classes", F.lit(0.0), lambda acc, x: acc + x["sums"][s]), F.lit(0.0))
+
+    def gains(x: Column) -> Column:
+        return F.array(*[F.array(*[_gain(x["sums"][s], F.col("tt")[s], c) for c in candidates]) for s in slots])
+
+    totals = model.terms.select("term", "classes", F.array(*[total(s) for s in slots]).alias("tt"))
+    return totals.select(
+        "term", F.array(*[F.array(*[_shared(F.col("tt")[s], c) for c in candidates]) for s in slots]).alias("shared"),
+        F.transform("classes", lambda x: F.struct(x["label_idx"].alias("label_idx"), gains(x).alias("gains"))).alias("classes"))
+
+
 def _weight_sums(model: BayesModel, candidates: list[Candidate]) -> DataFrame:
     """Per class and slot, the sum of log complement weights over the vocabulary (for ``norm``).
 
-    One aggregation over (term, class); terms never seen in training are counted
-    through the vocabulary size.
+    Terms never seen in training are counted through the vocabulary size.
     """
     slots = F.explode(F.sequence(F.lit(0), F.lit(model.n_folds))).alias("slot")
-    base = model.terms.select("classes", slots)
-    per_term = base.select("slot", _class_sums(F.col("slot")).alias("cs"))
-    total = F.aggregate("cs", F.lit(0.0), lambda acc, x: acc + x["n"])
-    per_term = per_term.select("slot", "cs", F.greatest(total, F.lit(0.0)).alias("tt"))
-    shared = per_term.groupBy("slot").agg(
-        F.count("*").alias("n_terms"),
-        F.array(*[F.sum(_shared(F.col("tt"), c)) for c in candidates]).alias("shared"))
-    each = per_term.select("slot", "tt", F.explode("cs").alias("c"))
-    gains = each.groupBy("slot", F.col("c.label_idx").alias("label_idx")).agg(
-        F.array(*[F.sum(_gain(F.col("c.n"), F.col("tt"), c)) for c in candidates]).alias("gain"))
+    per_term = _term_gains(model, candidates).select("shared", "classes", slots)
+    n = range(len(candidates))
+    shared = per_term.groupBy("slot").agg(F.count("*").alias("n_terms"),
+                                          F.array(*[F.sum(F.col("shared")[F.col("slot")][i]) for i in n]).alias("shared"))
+    each = per_term.select("slot", F.inline("classes"))
+    gains = each.groupBy("slot", "label_idx").agg(F.array(*[F.sum(F.col("gains")[F.col("slot")][i]) for i in n]).alias("gain"))
     return gains.join(shared, "slot")
 
 
@@ -152,19 +161,17 @@ def score(model: BayesModel, features: DataFrame, docs: DataFrame, candidates: l
     ``docs`` lists every document, also those without any known term. Ties go to the lowest class index (scores compared at 9 places).
     """
     slot = ((F.col("fold") + 1) if model.n_folds else F.lit(0)).cast("int").alias("slot")
-    none = F.array().cast("array<struct<label_idx:int,n:double>>")
-    hits = features.select("doc_id", "term", "weight", slot).join(model.terms, "term", "left").select(
-        "doc_id", "weight", F.coalesce(_class_sums(F.col("slot")), none).alias("cs"))
-    total = F.greatest(F.aggregate("cs", F.lit(0.0), lambda acc, x: acc + x["n"]), F.lit(0.0))
-    hits = hits.select("doc_id", "weight", "cs", total.alias("tt"))
-    # One pseudo class (-1) carries what all classes share.
-    shared = F.struct(F.lit(-1).alias("label_idx"), F.lit(0.0).alias("n"))
-    each = hits.select("doc_id", "weight", "tt", F.explode(F.concat(F.array(shared), "cs")).alias("c"))
-    w, is_shared = F.col("weight"), F.col("c.label_idx") == -1
-    parts = [F.sum(w * F.when(is_shared, _shared(F.col("tt"), c)).otherwise(_gain(F.col("c.n"), F.col("tt"), c)))
-             for c in candidates]
-    per_class = each.groupBy("doc_id", F.col("c.label_idx").alias("label_idx")).agg(
-        F.array(*parts).alias("g"), F.sum(F.when(is_shared, w).otherwise(0.0)).alias("w"))
+    # One pseudo class (-1) carries what all classes share; a term unseen in training has nothing else.
+    unseen = F.array(*[F.log(F.lit(c.alpha)) for c in candidates])
+    shared = F.struct(F.lit(-1).alias("label_idx"), F.coalesce(F.col("shared")[F.col("slot")], unseen).alias("gains"))
+    own = F.transform("classes", lambda x: F.struct(x["label_idx"].alias("label_idx"), x["gains"][F.col("slot")].alias("gains")))
+    none = F.array().cast("array<struct<label_idx:int,gains:array<double>>>")
+    hits = features.select("doc_id", "term", "weight", slot).join(_term_gains(model, candidates), "term", "left")
+    each = hits.select("doc_id", "weight", F.inline(F.concat(F.array(shared), F.coalesce(own, none))))
+    w = F.col("weight")
+    per_class = each.groupBy("doc_id", "label_idx").agg(
+        F.array(*[F.sum(w * F.col("gains")[i]) for i in range(len(candidates))]).alias("g"),
+        F.sum(F.when(F.col("label_idx") == -1, w).otherwise(0.0)).alias("w"))
     per_doc = per_class.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("label_idx", "g"))).alias("g"), F.sum("w").alias("w"))
     consts = small_table(_class_constants(model, candidates))

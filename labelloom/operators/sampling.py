@@ -87,6 +87,13 @@ def stratified_split(df: DataFrame, *, test_size: float = 0.2, seed: int = 42, l
     return placed.withColumn("split", F.when(F.col("split") == 0, F.lit("test")).otherwise(F.lit("train")))
 
 
+def fold_cuts(df: DataFrame, k: int, *, seed: int, label: str, doc_id: str) -> DataFrame:
+    """Where, in each class, folds 1 to k - 1 begin."""
+    sizes = class_sizes(df, label).withColumn("cut_no", F.explode(F.sequence(F.lit(1), F.lit(k - 1))))
+    quota = sizes.select(label, "cut_no", F.ceil(F.col("cut_no") * F.col("n_class") / F.lit(k)).alias("quota"))
+    return hash_cuts(df, small_table(quota), label=label, doc_id=doc_id, seed=seed)
+
+
 def stratified_folds(df: DataFrame, k: int, *, seed: int = 42, label: str = "label_name",
                      doc_id: str = "doc_id") -> DataFrame:
     """Add ``fold``: every row in exactly one of k class-balanced folds.
@@ -94,12 +101,20 @@ def stratified_folds(df: DataFrame, k: int, *, seed: int = 42, label: str = "lab
     Fold f of a class holds the ranks ``r`` with ``floor((r - 1) * k / n) = f``,
     so fold sizes within a class differ by at most one.
     """
-    sizes = class_sizes(df, label).withColumn("cut_no", F.explode(F.sequence(F.lit(1), F.lit(k - 1))))
-    quota = sizes.select(label, "cut_no", F.ceil(F.col("cut_no") * F.col("n_class") / F.lit(k)).alias("quota"))
-    cuts = hash_cuts(df, small_table(quota), label=label, doc_id=doc_id, seed=seed)
+    cuts = fold_cuts(df, k, seed=seed, label=label, doc_id=doc_id)
     return cuts_passed(df, cuts, "fold", label=label, doc_id=doc_id, seed=seed)
 
 
+def split_and_folds(df: DataFrame, k: int, *, test_size: float = 0.2, seed: int = 42, label: str = "label_name",
+                    doc_id: str = "doc_id") -> DataFrame:
+    """Add ``split``, and ``fold`` for the training rows, in one pass over the corpus."""
+    split = stratified_split(df, test_size=test_size, seed=seed, label=label, doc_id=doc_id)
+    train = split.where(F.col("split") == "train")
+    cuts = fold_cuts(train, k, seed=seed, label=label, doc_id=doc_id)
+    placed = cuts_passed(split, cuts, "fold", label=label, doc_id=doc_id, seed=seed)
+    return placed.withColumn("fold", F.when(F.col("split") == "train", F.col("fold")))
+
+
 def short_classes(df: DataFrame, n: int, label: str = "label_name") -> DataFrame:
     """Classes with fewer than n rows."""
     return class_sizes(df, label).where(F.col("n_class") < n)

@@ -130,10 +130,7 @@ fold_scores AS (SELECT number AS candidate, run AS fold, avg(2 * tp / (t + p)) F
 
 def nb_inputs(spark, sf):
     """Features of the whole corpus and vocabulary size; train and test documents. All carry class, split and fold."""
-    docs = S.stratified_split(corpus(spark, sf, "lang"))
-    train = S.stratified_folds(docs.where(F.col("split") == "train"), 3)
-    docs = train.unionByName(docs.where(F.col("split") == "test").withColumn("fold", F.lit(None).cast("int")))
-    docs = with_label_index(docs, lang_labels(spark, sf))
+    docs = with_label_index(S.split_and_folds(corpus(spark, sf, "lang"), 3), lang_labels(spark, sf))
     features, vocab = T.fit_transform_tfidf(docs, keep=("label_idx", "split", "fold"))
     ids = docs.select("doc_id", "label_idx", "split", "fold")
     return features, vocab.count(), ids.where(F.col("split") == "train"), ids.where(F.col("split") == "test")

@@ -23,6 +23,12 @@ def test_words_agree_with_python(spark):
     assert one(df.select(X.words("t"))) == [t.split() for t in WORDS]
 
 
+def test_every_white_space_character_separates(spark):
+    texts = [f"a{c}b" for c in X.WHITESPACE] + [f"a{chr(c)}b" for c in (0x180E, 0x200B, 0xFEFF, 0x21, 0x7F)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING").orderBy("i")
+    assert one(df.select(X.word_count("t"))) == [len(t.split()) for t in texts]
+
+
 def test_whitespace_is_all_of_unicode():
     assert set(X.WHITESPACE) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
 
