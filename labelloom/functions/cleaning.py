@@ -10,9 +10,10 @@ from labelloom.functions.text import WHITESPACE, strip_spaces
 # What marks a line as quoted or as introducing a quotation.
 QUOTE_LINE = r"writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\||^>"
 
-_INLINE = "[" + WHITESPACE.replace("\n", "") + "]*"
-# Greedy head, so the match is at the last blank-or-dashes line; DOTALL, whole text.
-_FOOTER = rf"(?s)\A(.*)\n{_INLINE}-*{_INLINE}(?:\n.*)?\z"
+_INLINE = "[" + WHITESPACE.replace("\n", "") + "]*+"
+# Greedy head, so the match is at the last blank-or-dashes line; DOTALL, whole
+# text. The line itself is matched possessively: long runs cost one look each.
+_FOOTER = rf"(?s)\A(.*)\n{_INLINE}-*+{_INLINE}(?:\n.*)?\z"
 
 
 def strip_header(text: Column) -> Column:

@@ -1,9 +1,9 @@
 """TF-IDF in long form: one row per (document, term).
 
-Fitted on the whole corpus. Documents are spread by id once; counting terms per
-document and the per-document norm then need no further exchange, and document
-frequencies shuffle only partial counts per term, so a term that occurs in
-nearly every document costs one row per task.
+Fitted on the whole corpus. Documents are spread by id once, so counting terms
+per document needs no further exchange, and document frequencies shuffle only
+partial counts per term, so a term that occurs in nearly every document costs
+one row per task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from labelloom.session import materialize
+from labelloom.session import materialize, partition_count
 
 # A token is a run of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -62,21 +62,34 @@ def ngrams(toks: Column, ngram_range: tuple[int, int]) -> Column:
     return sets[0] if len(sets) == 1 else F.concat(*sets)
 
 
+def document_ngrams(corpus: DataFrame, settings: TfidfSettings, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, [keep], grams``: all n-grams of each document, in one array.
+
+    Documents are spread by id over as many tasks as their size asks for.
+    """
+    spread = corpus.select("doc_id", *keep, "text").repartition(partition_count(corpus), "doc_id")
+    toks = drop_stop_words(tokens("text", settings.lowercase), settings.stop_words)
+    listed = spread.select("doc_id", *keep, toks.alias("_t"))
+    return listed.select("doc_id", *keep, ngrams(F.col("_t"), settings.ngram_range).alias("grams"))
+
+
 def term_counts(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, [keep], term, tf``. ``keep`` names columns of the document to carry along."""
-    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = corpus.select("doc_id", *keep, "text").repartition(n, "doc_id")
-    toks = drop_stop_words(tokens("text", settings.lowercase), settings.stop_words)
-    terms = spread.select("doc_id", *keep, toks.alias("_t")).select(
-        "doc_id", *keep, F.explode(ngrams(F.col("_t"), settings.ngram_range)).alias("term"))
+    terms = document_ngrams(corpus, settings, keep).select("doc_id", *keep, F.explode("grams").alias("term"))
     return terms.groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: Column, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
+def document_frequencies(corpus: DataFrame, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
+    """``term, df``. Repeats within a document are dropped in its own row, before anything is shuffled."""
+    terms = document_ngrams(corpus, settings).select(F.explode(F.array_distinct("grams")).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def vocabulary(frequencies: DataFrame, n_docs: Column, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
     """``term, df, idf`` of the terms in at least min_df and at most max_df * n documents."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    kept = df.where((F.col("df") >= settings.min_df) & (F.col("df") <= F.lit(float(settings.max_df)) * n_docs))
-    return kept.select("term", "df", (F.log((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    df = F.col("df")
+    kept = frequencies.where((df >= settings.min_df) & (df <= F.lit(float(settings.max_df)) * n_docs))
+    return kept.select("term", "df", (F.log((n_docs + 1.0) / (df + 1.0)) + 1.0).alias("idf"))
 
 
 def weigh(counts: DataFrame, vocab: DataFrame, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
@@ -93,7 +106,7 @@ def weigh(counts: DataFrame, vocab: DataFrame, settings: TfidfSettings = TfidfSe
 
 def fit_tfidf(corpus: DataFrame, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
     """The fitted vocabulary. Write it to keep the vectorizer; read it back to use it."""
-    return vocabulary(term_counts(corpus, settings), corpus.agg(F.count("*").cast("double")).scalar(), settings)
+    return vocabulary(document_frequencies(corpus, settings), corpus.agg(F.count("*").cast("double")).scalar(), settings)
 
 
 def transform_tfidf(corpus: DataFrame, vocab: DataFrame, settings: TfidfSettings = TfidfSettings(),

@@ -76,22 +76,28 @@ def summaries_of(docs: DataFrame, settings: PromptedSettings, backend: Backend,
                      temperature=settings.temperature, seed=settings.model_seed)
 
 
-def build_examples(train: DataFrame, settings: PromptedSettings, backend: Backend, folders: Folders) -> DataFrame:
+def pick_examples(train: DataFrame, settings: PromptedSettings) -> DataFrame:
+    """The training documents that serve as examples, written once (n per class)."""
+    if settings.shots <= 0:
+        raise ValueError(f"shots must be positive, got {settings.shots}")
+    return materialize(pick_per_class(train, settings.shots, seed=settings.model_seed), "examples")
+
+
+def build_examples(train: DataFrame, settings: PromptedSettings, backend: Backend, folders: Folders,
+                   picked: DataFrame | None = None) -> DataFrame:
     """``train_idx, label_idx, label_name, summary`` of the worked examples; persisted, and reused when present.
 
-    The file name carries the setting and the fingerprint of the training pool.
+    The file name carries the setting and the fingerprint of the picked
+    documents, so a changed corpus does not find the examples of another.
     """
-    if settings.shots <= 0:
-        raise ValueError(f"shots must be positive, got {settings.shots}")
     spark = train.sparkSession
-    pool = corpus_fingerprint(train).first()["fingerprint"]
+    picked = pick_examples(train, settings) if picked is None else picked
     path = folders.examples.rstrip("/") + "/" + sidecars.sidecar_file(
         spark, model_tag=settings.tag, prompt_version=settings.prompt_set.version, fraction=settings.fraction,
-        n=settings.shots, seed=settings.model_seed, corpus=pool)
+        n=settings.shots, seed=settings.model_seed, corpus=corpus_fingerprint(picked).first()["fingerprint"])
     stored = sidecars.read_sidecar(spark, path)
     if stored is not None:
         return stored
-    picked = materialize(pick_per_class(train, settings.shots, seed=settings.model_seed), "examples")
     texts = summaries_of(picked, settings, backend, folders).select("doc_id", "summary")
     examples = picked.join(texts, "doc_id").select(
         F.col("doc_id").alias("train_idx"), "label_idx", "label_name", "summary")
@@ -122,11 +128,11 @@ def warm_examples(train: DataFrame, fractions: list[float], settings: PromptedSe
     """
     if settings.shots <= 0:
         return []
+    picked = pick_examples(train, settings)
     short = [f for f in fractions if f < 1.0]
     if short:
-        picked = materialize(pick_per_class(train, settings.shots, seed=settings.model_seed), "examples")
         summaries_of(picked, settings, backend, folders, short)
-    return [build_examples(train, PromptedSettings(**(asdict(settings) | {"fraction": f})), backend, folders)
+    return [build_examples(train, PromptedSettings(**(asdict(settings) | {"fraction": f})), backend, folders, picked)
             for f in fractions]
 
 

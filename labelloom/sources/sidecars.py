@@ -27,7 +27,7 @@ _IN_PATH = rf"(?:^|/){NAME}(?:/|$)"
 
 def sidecar_file(spark: SparkSession, *, model_tag: str, prompt_version: str, fraction: float, n: int, seed: int,
                  corpus: str = "") -> str:
-    """The file name of a setting; ``corpus`` is the fingerprint of the training pool."""
+    """The file name of a setting; ``corpus`` is the fingerprint of the example documents."""
     one = spark.range(1).select(sidecar_name(F.lit(model_tag), F.lit(prompt_version), F.lit(float(fraction)),
                                              F.lit(n), F.lit(seed)).alias("name"))
     name = one.first()["name"]

@@ -139,3 +139,17 @@ def test_registry_and_compatibility():
     assert M.expand_grid({"a": [1, 2], "b": [[1, 2], "x"]}) == [
         {"a": 1, "b": (1, 2)}, {"a": 1, "b": "x"}, {"a": 2, "b": (1, 2)}, {"a": 2, "b": "x"}]
     assert [c.params for c in B.grid("complement", (0.1,))] == [{"alpha": 0.1, "norm": False}, {"alpha": 0.1, "norm": True}]
+
+
+def test_pipeline_of_a_registered_model(spark):
+    from pyspark.ml.linalg import Vectors
+    data = spark.createDataFrame([(float(i % 2), Vectors.dense([float(i % 2), 1.0])) for i in range(20)], ["label", "features"])
+    for name in ("logreg", "random_forest", "nb", "complement_nb"):
+        assert M.build_pipeline(name).fit(data).transform(data).where("label = prediction").count() == 20
+
+
+def test_partitions_follow_the_size(spark):
+    from labelloom.session import partition_count
+    df = spark.range(1000).withColumn("t", F.repeat(F.lit("x"), 1000))
+    assert partition_count(df) == 4
+    assert partition_count(df, target_bytes=1000) > 4

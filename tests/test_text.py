@@ -113,3 +113,9 @@ def test_examples_block_text(spark):
     ex = spark.createDataFrame([(7, 1, 'say "b"', "two"), (3, 0, "a", "one")], "train_idx LONG, label_idx INT, label_name STRING, summary STRING")
     assert P.examples_block(ex).first()[0] == (
         'POST:\none\nRESPONSE: {"category": "a"}\n\nPOST:\ntwo\nRESPONSE: {"category": "say \\"b\\""}\n')
+
+
+def test_footer_of_long_blank_runs(spark):
+    text = "first\n" + " " * 20000 + "x\n" + "-" * 20000 + "y\nend"
+    df = spark.createDataFrame([(text,)], "t STRING")
+    assert one(df.select(C.strip_footer(F.col("t")))) == [text]
