@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from labelloom.session import materialize, partition_count
+from labelloom.session import materialize
 
 # A token is a run of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -38,6 +38,8 @@ class TfidfSettings:
     max_df: float = 0.95
     sublinear_tf: bool = True
     lowercase: bool = True
+    # Tasks the documents are spread over; None is the session's shuffle partitions.
+    partitions: int | None = None
 
 
 def tokens(text: Column | str, lowercase: bool = True) -> Column:
@@ -65,9 +67,11 @@ def ngrams(toks: Column, ngram_range: tuple[int, int]) -> Column:
 def document_ngrams(corpus: DataFrame, settings: TfidfSettings, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, [keep], grams``: all n-grams of each document, in one array.
 
-    Documents are spread by id over as many tasks as their size asks for.
+    Documents are spread by id over an explicit number of tasks, as n-grams
+    multiply the text and adaptive coalescing would go by the text alone.
     """
-    spread = corpus.select("doc_id", *keep, "text").repartition(partition_count(corpus), "doc_id")
+    tasks = settings.partitions or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = corpus.select("doc_id", *keep, "text").repartition(tasks, "doc_id")
     toks = drop_stop_words(tokens("text", settings.lowercase), settings.stop_words)
     listed = spread.select("doc_id", *keep, toks.alias("_t"))
     return listed.select("doc_id", *keep, ngrams(F.col("_t"), settings.ngram_range).alias("grams"))

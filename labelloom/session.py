@@ -13,10 +13,6 @@ from pyspark.sql import types as T
 # left distributed; see small_table.
 SMALL_ROWS = 10_000
 
-# Input bytes per task when a table is spread for work that multiplies its size.
-TASK_BYTES = 64 * 1024 * 1024
-MAX_TASKS = 200_000
-
 
 def build_session(app: str = "labelloom", master: str | None = None,
                   shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -81,18 +77,6 @@ def read_if_exists(spark: SparkSession, path: str, schema: T.StructType,
         return spark.createDataFrame([], schema)
 
 
-def partition_count(df: DataFrame, target_bytes: int = TASK_BYTES) -> int:
-    """Tasks for an even spread of a table: at least the session's shuffle partitions, more where its
-    estimated size asks for it."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        plan = df._jdf
-    except AttributeError:  # Spark Connect has no plan statistics
-        return least
-    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(-(-size // target_bytes), MAX_TASKS))
-
-
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Replace a small table by a local relation of the same rows.
 

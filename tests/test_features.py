@@ -148,8 +148,7 @@ def test_pipeline_of_a_registered_model(spark):
         assert M.build_pipeline(name).fit(data).transform(data).where("label = prediction").count() == 20
 
 
-def test_partitions_follow_the_size(spark):
-    from labelloom.session import partition_count
-    df = spark.range(1000).withColumn("t", F.repeat(F.lit("x"), 1000))
-    assert partition_count(df) == 4
-    assert partition_count(df, target_bytes=1000) > 4
+def test_documents_are_spread_over_the_tasks_asked_for(spark):
+    df = spark.createDataFrame([(i, "aa bb") for i in range(50)], "doc_id LONG, text STRING")
+    assert T.document_ngrams(df, T.TfidfSettings(partitions=7)).rdd.getNumPartitions() == 7
+    assert T.document_ngrams(df, T.TfidfSettings()).rdd.getNumPartitions() == 4
