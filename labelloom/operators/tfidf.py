@@ -64,8 +64,8 @@ def ngrams(toks: Column, ngram_range: tuple[int, int]) -> Column:
     return sets[0] if len(sets) == 1 else F.concat(*sets)
 
 
-def document_ngrams(corpus: DataFrame, settings: TfidfSettings, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, [keep], grams``: all n-grams of each document, in one array.
+def document_tokens(corpus: DataFrame, settings: TfidfSettings, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, [keep], toks``: the tokens of each document without stop words.
 
     Documents are spread by id over an explicit number of tasks, as n-grams
     multiply the text and adaptive coalescing would go by the text alone.
@@ -73,19 +73,22 @@ def document_ngrams(corpus: DataFrame, settings: TfidfSettings, keep: tuple[str,
     tasks = settings.partitions or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = corpus.select("doc_id", *keep, "text").repartition(tasks, "doc_id")
     toks = drop_stop_words(tokens("text", settings.lowercase), settings.stop_words)
-    listed = spread.select("doc_id", *keep, toks.alias("_t"))
-    return listed.select("doc_id", *keep, ngrams(F.col("_t"), settings.ngram_range).alias("grams"))
+    return spread.select("doc_id", *keep, toks.alias("toks"))
 
 
 def term_counts(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, [keep], term, tf``. ``keep`` names columns of the document to carry along."""
-    terms = document_ngrams(corpus, settings, keep).select("doc_id", *keep, F.explode("grams").alias("term"))
+    # The n-grams are exploded as an expression: for a plain column Spark infers
+    # a filter on its size, which takes the tokens apart once per n-gram.
+    grams = ngrams(F.col("toks"), settings.ngram_range)
+    terms = document_tokens(corpus, settings, keep).select("doc_id", *keep, F.explode(grams).alias("term"))
     return terms.groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(corpus: DataFrame, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
     """``term, df``. Repeats within a document are dropped in its own row, before anything is shuffled."""
-    terms = document_ngrams(corpus, settings).select(F.explode(F.array_distinct("grams")).alias("term"))
+    grams = F.array_distinct(ngrams(F.col("toks"), settings.ngram_range))
+    terms = document_tokens(corpus, settings).select(F.explode(grams).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 

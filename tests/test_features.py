@@ -150,5 +150,5 @@ def test_pipeline_of_a_registered_model(spark):
 
 def test_documents_are_spread_over_the_tasks_asked_for(spark):
     df = spark.createDataFrame([(i, "aa bb") for i in range(50)], "doc_id LONG, text STRING")
-    assert T.document_ngrams(df, T.TfidfSettings(partitions=7)).rdd.getNumPartitions() == 7
-    assert T.document_ngrams(df, T.TfidfSettings()).rdd.getNumPartitions() == 4
+    assert T.document_tokens(df, T.TfidfSettings(partitions=7)).rdd.getNumPartitions() == 7
+    assert T.document_tokens(df, T.TfidfSettings()).rdd.getNumPartitions() == 4
