@@ -15,7 +15,6 @@ text is ``und``. Rows are treated alike and alone, so repeated rows agree.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,9 +43,8 @@ SCRIPTS = {
     "kana": ((0x3040, 0x30FF),),
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)),
 }
-# Numbers that are no decimal digits count as word characters, but not as letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+# Letters, and numbers that are no decimal digits; the latter are sorted out word by word.
+_WORD = re.compile(r"[^\W\d_]+")
 _BOUNDS = np.array(sorted(lo for ranges in SCRIPTS.values() for lo, _ in ranges))
 _RANGES = sorted((lo, hi, s) for s, ranges in enumerate(SCRIPTS.values()) for lo, hi in ranges)
 OTHER = len(SCRIPTS)
@@ -75,18 +73,45 @@ class LanguageModel:
     switch_penalty: float = 12.0
 
 
-def script_of(char: str) -> int:
-    """Number of the script that a letter belongs to."""
-    code = ord(char)
+def script_of(word: str) -> int:
+    """Number of the script of a word's first letter."""
+    code = ord(next(filter(str.isalpha, word), word[0]))
     i = int(np.searchsorted(_BOUNDS, code, side="right")) - 1
     return _RANGES[i][2] if i >= 0 and code <= _RANGES[i][1] else OTHER
 
 
-def grams(word: str, longest: int, buckets: int) -> list[int]:
-    """Hash buckets of the character n-grams of a word between its edges."""
-    raw = f"^{word}$"
-    return [zlib.crc32(raw[i:i + n].encode()) % buckets
-            for n in range(1, longest + 1) for i in range(len(raw) - n + 1) if n > 1 or 0 < i < len(raw) - 1]
+def grams(words: list[str], longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of the character n-grams of the words between their edges, and where each word starts.
+
+    A row for each character and a column for each length; -1 where no n-gram of that length starts.
+    """
+    sizes = np.array([len(w) for w in words]) + 2
+    chars = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(len(chars))
+    out = np.full((len(chars), longest), -1, dtype=np.int64)
+    mixed = np.zeros(len(chars), dtype=np.uint64)
+    for n in range(1, longest + 1):
+        here = chars[n - 1:]
+        mixed = (mixed[:len(here)] ^ here) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
+        fits = at[:len(here)] + n <= ends[:len(here)]
+        if n == 1:
+            fits &= (here != ord("^")) & (here != ord("$"))
+        out[:len(here), n - 1] = np.where(fits, (mixed >> np.uint64(33)).astype(np.int64) % buckets, -1)
+    return out, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+
+
+class _Codes(dict):
+    """A number for each word, in order of appearance; ``new`` lists those not yet looked into."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
 
 
 def _words(text: str | None) -> list[str]:
@@ -108,19 +133,21 @@ def fit(docs: DataFrame, settings: LanguageSettings = LanguageSettings(), *, tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        known: dict[str, list[int]] = {}
         for batch in slices(batches, "text"):
-            for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            names = np.array(batch.column("lang").to_pylist())
+            texts = batch.column("text").to_pylist()
+            for language in set(names.tolist()):
+                codes, seq = _Codes(), []
+                for i in np.flatnonzero(names == language):
+                    seq.extend(map(codes.__getitem__, _words(texts[i])))
+                if not codes:
+                    continue
+                often = np.bincount(seq, minlength=len(codes))
+                found, starts = grams(codes.new, longest, buckets)
+                weight = np.repeat(often, np.diff([*starts, len(found)]))[:, None].repeat(longest, axis=1)
                 counts = totals.setdefault(language, np.zeros(buckets + OTHER + 1, dtype=np.int64))
-                seen = []
-                for word in _words(text):
-                    got = known.get(word)
-                    if got is None:
-                        if len(known) > REMEMBERED:
-                            known.clear()
-                        got = known[word] = [*grams(word, longest, buckets), buckets + script_of(word[0])]
-                    seen += got
-                counts += np.bincount(np.array(seen, dtype=np.int64), minlength=len(counts))
+                counts[:buckets] += np.bincount(found[found >= 0], weights=weight[found >= 0], minlength=buckets).astype(np.int64)
+                counts[buckets:] += np.bincount([script_of(w) for w in codes.new], weights=often, minlength=OTHER + 1).astype(np.int64)
         for language, counts in totals.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at])],
@@ -145,43 +172,39 @@ class Labeller:
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.codes: dict[str, int] = {}
-        self.rows = np.zeros((0, len(model.languages)), dtype=np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = _Codes()
+        self.rows = np.zeros((0, len(self.model.languages)), dtype=np.float32)
+        self.letters = np.zeros(0, dtype=np.int64)
 
     def _score(self, words: list[str]) -> np.ndarray:
-        """A row of scores for each new word."""
+        """A row of scores for each word."""
         m = self.model
-        gram = [grams(w, m.longest, len(m.scores)) for w in words]
-        ends = np.cumsum([len(g) for g in gram])
-        flat = np.fromiter((x for g in gram for x in g), dtype=np.int64, count=int(ends[-1]))
-        sums = np.add.reduceat(m.scores[flat], np.concatenate([[0], ends[:-1]]), axis=0)
-        open_ = m.scripts[[script_of(w[0]) for w in words]]
+        found, starts = grams(words, m.longest, len(m.scores))
+        table = np.concatenate([m.scores, np.zeros((1, m.scores.shape[1]), np.float32)])  # the last row is that of -1
+        each = sum(table[found[:, n]] for n in range(m.longest))
+        sums = np.add.reduceat(each, starts, axis=0)
+        open_ = m.scripts[[script_of(w) for w in words]]
         open_[~open_.any(axis=1)] = True
         return np.where(open_, sums, np.float32(-1e6))
 
-    def _codes(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def _codes(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.codes) > REMEMBERED:
-            self.codes, self.rows = {}, self.rows[:0]
-        codes, new, out = self.codes, [], []
-        for words in texts:
-            found = [codes.get(w, -1) for w in words]
-            if -1 in found:
-                for i, code in enumerate(found):
-                    if code < 0:
-                        code = codes.get(words[i])
-                        if code is None:
-                            code = codes[words[i]] = len(codes)
-                            new.append(words[i])
-                        found[i] = code
-            out.append(np.array(found, dtype=np.int64))
-        if new:
-            self.rows = np.concatenate([self.rows, self._score(new)])
+            self._forget()
+        code_of = self.codes.__getitem__
+        out = [np.array(list(map(code_of, _words(t))), dtype=np.int64) for t in texts]
+        if self.codes.new:
+            letters = np.array([len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in self.codes.new])
+            self.rows = np.concatenate([self.rows, np.where(letters[:, None] > 0, self._score(self.codes.new), np.float32(0))])
+            self.letters = np.concatenate([self.letters, letters])
+            self.codes.new = []
         return out
 
-    def paths(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
-        """The words of each text and the language of each word: the best path under the switching penalty."""
-        words = [_words(t) for t in texts]
-        codes = self._codes(words)
+    def paths(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Letters and language of each word of each text: the best path under the switching penalty."""
+        codes = self._codes(texts)
         paths: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
         order = sorted((i for i in range(len(texts)) if len(codes[i])), key=lambda i: -len(codes[i]))
         while order and self.model.languages:
@@ -189,7 +212,7 @@ class Labeller:
             some, order = order[:max(1, (1 << 20) // longest)], order[max(1, (1 << 20) // longest):]
             for i, path in zip(some, self._viterbi([codes[i] for i in some])):
                 paths[i] = path
-        return list(zip(words, paths))
+        return [(self.letters[c], p) for c, p in zip(codes, paths)]
 
     def _viterbi(self, codes: list[np.ndarray]) -> list[np.ndarray]:
         """Texts side by side, longest first; step t advances those that have a word t."""
@@ -223,12 +246,12 @@ class Labeller:
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text: the language of most letters, and its share of them."""
         langs, scores, k = [], [], len(self.model.languages)
-        for words, path in self.paths(texts):
-            if not len(path):
+        for letters, path in self.paths(texts):
+            share = np.bincount(path, weights=letters, minlength=k) if len(path) else np.zeros(1)
+            if not share.any():
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            share = np.bincount(path, weights=[len(w) for w in words], minlength=k)
             best = int(share.argmax())
             langs.append(self.model.languages[best])
             scores.append(float(share[best] / share.sum()))
