@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary windows and one on what
-sets toxic texts apart; a window (a word between its neighbours' spaces) is
-compressed once with the ordinary dictionary and once with both, and the bytes
-saved are its distance. How often each distance occurs in toxic and in ordinary
-texts, measured on labelled texts kept from the training of the dictionaries,
-turns the windows of a whole text into a log likelihood ratio, and a logistic
-curve fitted on the same texts into a score; its 0.5 is the threshold.
+Two zstandard dictionaries are trained, one on ordinary text and one on what
+sets toxic texts apart. A word is seen through four windows: its first five,
+six and eight characters and the whole of it. Each window is compressed once
+with the ordinary dictionary and once with both; its distance is the bytes that
+the toxic one saves, beside the bytes still needed with it. How often each
+distance occurs in toxic and in ordinary texts, measured on labelled texts kept
+from the training of the dictionaries, tells which distances are evidence. The
+evidence of all words of a whole text, against what a text of its length should
+hold, goes through a logistic curve fitted on the same texts; 0.5 is its
+calibrated threshold.
 
 Labels learn from a bounded sample (``ToxicSettings``): texts that share their
 smallest shingle are copies of each other and count once, so that a large group
@@ -39,7 +42,15 @@ from labelloom.session import materialize
 _LETTERS = re.compile(r"[^\W\d_]+")
 # Behind every window, as a compressor finds no match in the last bytes of its input.
 TAIL = b"#0123456789abcdefghijklmnopqrstuvwxyz#"
-LOW, HIGH = -2, 8
+# Distances are told apart between these numbers of bytes saved, and up to this many still needed.
+LOW, HIGH, NEEDED = -1, 7, 9
+BINS = (HIGH - LOW + 1) * (NEEDED + 1)
+# Characters of a word's windows; the last is the whole word.
+HEADS = (5, 6, 8, None)
+# Log likelihood ratio from which a distance is evidence.
+EVIDENCE = 1.0
+# Words that stand for a bin's share of all words, as if seen in either kind of text.
+PRIOR = 2000.0
 REMEMBERED = 400_000
 
 
@@ -54,7 +65,7 @@ class ToxicSettings:
     windows: int = 20_000
     window_chars: int = 64
     lift: float = 8.0
-    least_docs: int = 4
+    least_docs: int = 6
     least_share: float = 0.01
 
 
@@ -62,7 +73,8 @@ class ToxicSettings:
 class ToxicModel:
     toxic: bytes
     ordinary: bytes
-    log_ratio: tuple[float, ...]
+    log_ratio: tuple[float, ...]  # of each window's distances, zero where they are no evidence
+    rate: float  # evidence words that a toxic text has more than an ordinary one, to a word
     slope: float
     offset: float
 
@@ -99,62 +111,110 @@ def windows(text: str, size: int) -> list[str]:
 
 def _train(samples: list[bytes], size: int) -> bytes:
     try:
-        return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to choose from: take them as they are
         return b"".join(dict.fromkeys(samples))[:size]
 
 
+def _phrase_book(samples: list[bytes], size: int) -> bytes:
+    """A content dictionary of whole samples, the most frequent last, where they are cheapest to refer to."""
+    out, held = [], 0
+    for sample, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
+        if held + len(sample) <= size:
+            out.append(sample)
+            held += len(sample)
+    return b"".join(reversed(out))
+
+
 class Distance:
     """Bytes that the toxic dictionary saves on each word of a text."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.plain, self.both = self._compressor(ordinary + TAIL), self._compressor(toxic + ordinary + TAIL)
+        self.least = len(self.both.compress(TAIL))
         self._forget()
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         how = zstandard.ZstdCompressionParameters(
             window_log=15, chain_log=15, hash_log=15, search_log=6, min_match=4, target_length=64,
-            strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False)
-        return zstandard.ZstdCompressor(
-            compression_params=how, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(compression_params=how)
+        return zstandard.ZstdCompressor(compression_params=how, dict_data=known)
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.saved = np.zeros(0, dtype=np.int64)
-
-    def __call__(self, window: str) -> int:
-        raw = f" {window} ".encode() + TAIL
-        return len(self.plain.compress(raw)) - len(self.both.compress(raw))
-
-    def histogram(self, text: str | None) -> np.ndarray:
-        """How many words of a text save LOW, ..., HIGH bytes."""
+        self.known: dict[str, int] = {}
+        self.bins = np.zeros((1024, len(HEADS)), dtype=np.int64)
+
+    def __call__(self, window: str) -> tuple[int, int]:
+        """Bytes saved, and bytes still needed."""
+        raw = window.encode() + TAIL
+        with_both = len(self.both.compress(raw))
+        return len(self.plain.compress(raw)) - with_both, with_both - self.least
+
+    def _bin(self, window: str) -> int:
+        found = self.known.get(window)
+        if found is None:
+            saved, needed = self(window)
+            found = (min(max(saved, LOW), HIGH) - LOW) * (NEEDED + 1) + min(max(needed, 0), NEEDED)
+            self.known[window] = found
+        return found
+
+    def _places(self, text: str | None) -> np.ndarray:
+        """A number for each word; ``bins`` has the distances of its windows."""
         words = text.lower().split() if text else []
         if len(self.codes) > REMEMBERED:
             self._forget()
         codes = self.codes
         new = [w for w in dict.fromkeys(words) if w not in codes]
         if new:
-            self.saved = np.append(self.saved[:len(codes)], [min(max(self(w), LOW), HIGH) - LOW for w in new])
+            if len(codes) + len(new) > len(self.bins):
+                more = np.zeros((len(self.bins) + len(new), len(HEADS)), dtype=np.int64)
+                self.bins = np.concatenate([self.bins, more])
+            self.bins[len(codes):len(codes) + len(new)] = [
+                [k * BINS + self._bin(f" {w[:n]}" if n else f" {w} ") for k, n in enumerate(HEADS)] for w in new]
             for w in new:
                 codes[w] = len(codes)
-        at = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
-        return np.bincount(self.saved[at], minlength=HIGH - LOW + 1)
+        return np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def histogram(self, text: str | None) -> np.ndarray:
+        """How many windows of a text's words are at each distance."""
+        at = self._places(text)
+        return np.bincount(self.bins[at].ravel(), minlength=BINS * len(HEADS))
+
+    def evidence(self, text: str | None, log_ratio: np.ndarray) -> tuple[float, int, int]:
+        """Evidence of a text's words, each by its strongest window; how many words have any; how many there are."""
+        at = self._places(text)
+        each = log_ratio[self.bins[at]].max(axis=1, initial=0.0)
+        return float(each.sum()), int(np.count_nonzero(each)), len(each)
+
+
+def _measure(evidence: float, words: int, rate: float) -> float:
+    return min(max(evidence - rate * words, -6.0), 20.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps, with a slight pull towards slope 1."""
-    w = np.array([1.0, 0.0])
-    rows = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(50):
+    """Slope and offset of the likeliest logistic curve, slightly ridged, by Newton steps that never lose ground."""
+    middle, spread = x.mean(), x.std() or 1.0
+    rows = np.stack([(x - middle) / spread, np.ones_like(x)], axis=1)
+
+    def loss(w):
+        return np.logaddexp(0, np.where(y == 1, -1, 1) * (rows @ w)).sum() + 0.05 * w[0] ** 2
+
+    w, now = np.zeros(2), loss(np.zeros(2))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        grad = rows.T @ (p - y) + 0.1 * np.array([w[0] - 1, 0])
-        hess = (rows * (p * (1 - p))[:, None]).T @ rows + 0.1 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        grad = rows.T @ (p - y) + np.array([0.1 * w[0], 0])
+        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.diag([0.1, 1e-6]), grad)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w, before, now = w - step, now, loss(w - step)
+        if before - now < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    slope = w[0] / spread
+    return float(slope), float(w[1] - slope * middle)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSettings(), *, text: str = "text",
@@ -165,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSetti
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         share = min(max(float(sizes.get(1, 0) > 0), 0.01), 0.99)
-        return ToxicModel(b"", b"", (0.0,) * (HIGH - LOW + 1), 1.0, float(np.log(share / (1 - share))))
+        return ToxicModel(b"", b"", (0.0,) * (BINS * len(HEADS)), 0.0, 1.0, float(np.log(share / (1 - share))))
     share = F.when(F.col("toxic") == 1, min(1.0, settings.toxic_docs / sizes[1])).otherwise(
         min(1.0, settings.ordinary_docs / sizes[0]))
     drawn = materialize(marked.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share * (1 << 40)), "toxic-ids")
@@ -200,6 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSetti
              .agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
              .filter((F.col("toxic") >= often) & (ratio >= settings.lift)).select("feature", "toxic").toArrow())
     lifted = dict(zip(found.column("feature").to_pylist(), found.column("toxic").to_pylist()))
+    # A beginning that one longer feature mostly accounts for says nothing of other words.
+    explained = {f[:n] for f, k in lifted.items() for n in range(4, len(f)) if k >= 0.8 * lifted.get(f[:n], k + 1)}
+    lifted = {f: k for f, k in lifted.items() if f not in explained}
     size = settings.window_chars
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,24 +279,41 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSetti
     cut = train.mapInArrow(parts, "toxic int, part string, place bigint")
     chosen = [[p.encode() for p in cut.filter(F.col("toxic") == kind).orderBy("place", "part").limit(settings.windows)
                .select("part").toArrow().column("part").to_pylist()] for kind in (1, 0)]
-    toxic, ordinary = _train(chosen[0], settings.toxic_bytes), _train(chosen[1], settings.ordinary_bytes)
+    toxic, ordinary = _phrase_book(chosen[0], settings.toxic_bytes), _train(chosen[1], settings.ordinary_bytes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance, sums = Distance(toxic, ordinary), np.zeros((2, BINS * len(HEADS)), dtype=np.int64)
+        for batch in slices(batches, "text"):
+            for kind, t in zip(*map(pa.Array.to_pylist, batch.columns)):
+                sums[kind] += distance.histogram(t)
+        kinds, at = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(at, pa.int32()), pa.array(sums[kinds, at])],
+                                         ["toxic", "bin", "n"])
+
+    if kept.select("toxic").distinct().count() < 2:
+        kept = train
+    found = (kept.mapInArrow(count, "toxic int, bin int, n bigint").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).toArrow())
+    seen = np.zeros((2, BINS * len(HEADS)))
+    seen[found.column("toxic").to_numpy(), found.column("bin").to_numpy()] = found.column("n").to_numpy()
+    total = seen.sum(axis=1, keepdims=True) / len(HEADS)
+    share = (seen.sum(axis=0) + 0.01) / (total.sum() + 1)
+    log_ratio = np.subtract(*np.log((seen[::-1] + PRIOR * share) / (total[::-1] + PRIOR)))
+    log_ratio = np.where(log_ratio >= EVIDENCE, log_ratio, 0.0)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(toxic, ordinary)
         for batch in slices(batches, "text"):
-            rows = [distance.histogram(t).tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], ["toxic", "counts"])
+            rows = [distance.evidence(t, log_ratio) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, zip(*rows))], ["toxic", "evidence", "hits", "words"])
 
-    both = kept.select("toxic").distinct().count() == 2
-    rows = (kept if both else train).mapInArrow(measure, "toxic int, counts array<bigint>").toArrow()
-    y = rows.column("toxic").to_numpy().astype(float)
-    if not len(y):
-        return ToxicModel(toxic, ordinary, (0.0,) * (HIGH - LOW + 1), 1.0, float(np.log(sizes[1] / sizes[0])))
-    counts = np.array(rows.column("counts").to_pylist(), dtype=float)
-    seen = [counts[y == kind].sum(axis=0) + 0.5 for kind in (1, 0)]
-    log_ratio = np.log(seen[0] / seen[0].sum()) - np.log(seen[1] / seen[1].sum())
-    slope, offset = _logistic(counts @ log_ratio, y)
-    return ToxicModel(toxic, ordinary, tuple(log_ratio.tolist()), slope, offset)
+    rows = kept.mapInArrow(measure, "toxic int, evidence double, hits bigint, words bigint").toArrow()
+    y, evidence, hits, words = (rows.column(c).to_numpy().astype(float) for c in rows.column_names)
+    if len(np.unique(y)) < 2:
+        return ToxicModel(toxic, ordinary, tuple(log_ratio.tolist()), 0.0, 1.0, float(np.log(sizes[1] / sizes[0])))
+    rates = [hits[y == kind].sum() / max(1.0, words[y == kind].sum()) for kind in (0, 1)]
+    rate = max(0.0, rates[1] - rates[0])
+    slope, offset = _logistic(np.array([_measure(e, n, rate) for e, n in zip(evidence, words)]), y)
+    return ToxicModel(toxic, ordinary, tuple(log_ratio.tolist()), float(rate), slope, offset)
 
 
 def score(docs: DataFrame, model: ToxicModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
@@ -242,8 +322,9 @@ def score(docs: DataFrame, model: ToxicModel, *, text: str = "text", keep: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance, ratio = Distance(model.toxic, model.ordinary), np.array(model.log_ratio)
         for batch in slices(batches, "_text"):
-            sums = [float(distance.histogram(t) @ ratio) for t in batch.column("_text").to_pylist()]
-            odds = np.clip(model.slope * np.array(sums) + model.offset, -30, 30)
+            found = [distance.evidence(t, ratio) for t in batch.column("_text").to_pylist()]
+            sums = np.array([_measure(e, n, model.rate) for e, _, n in found])
+            odds = np.clip(model.slope * sums + model.offset, -30, 30)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-odds)), pa.float64())], [*keep, out])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
