@@ -1,6 +1,6 @@
 """The registered queries of the subpackage."""
 
-from labelloom.llm import bpe, common, langid, simhash, toxicity  # noqa: F401
+from labelloom.llm import bpe, chat, common, digest, langid, simhash, toxicity  # noqa: F401
 
 
 def all_queries():
