@@ -1,6 +1,6 @@
 """The registered queries of the subpackage."""
 
-from labelloom.llm import bpe, chat, common, digest, langid, mixing, simhash, toxicity  # noqa: F401
+from labelloom.llm import bpe, chat, common, digest, langid, mixing, simhash, toxicity, unigram  # noqa: F401
 
 
 def all_queries():
