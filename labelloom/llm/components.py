@@ -45,4 +45,5 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
