@@ -103,7 +103,7 @@ def categories_block(labels: DataFrame) -> DataFrame:
 
 def category_json(name: Column) -> Column:
     """The reply a model is asked for: ``{"category": "<name>"}``."""
-    quoted = F.substring(F.to_json(F.struct(name.alias("c"))), 6, 2_000_000)
+    quoted = F.substr(F.to_json(F.struct(name.alias("c"))), F.lit(6))
     return F.concat(F.lit('{"category": '), quoted)
 
 

@@ -35,10 +35,19 @@ BATCH_DISCOUNT = 0.5
 def _category(content: str | None) -> str | None:
     try:
         value = json.loads(content)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return None
     name = value.get("category") if isinstance(value, dict) else None
-    return name if isinstance(name, str) else None
+    return name if isinstance(name, str) and _encodable(name) else None
+
+
+def _encodable(text: str) -> bool:
+    """Whether a string is text: JSON may spell half of a surrogate pair, which no column can hold."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @F.pandas_udf(T.StringType())
@@ -58,7 +67,7 @@ def is_strict_json(content: pd.Series) -> pd.Series:
     def check(text):
         try:
             return isinstance(json.loads(text), dict)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return False
     return content.map(check)
 

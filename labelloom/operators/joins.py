@@ -7,38 +7,33 @@ from pyspark.sql import functions as F
 
 from labelloom.session import small_table
 
-# A key is hot when it holds more than this share of the rows (so there are at
-# most 1 / HOT_SHARE of them) and more rows than a task handles with ease.
-HOT_SHARE = 0.001
+# A key is hot when it holds more rows than a task handles with ease.
 HOT_ROWS = 100_000
-SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """The keys above both bounds; at most ``1 / share`` rows."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return small_table(counts.where((F.col("_n") > rows) & (F.col("_n") > F.lit(share) * total)).select(key))
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys of more than ``rows`` rows, with the parts of about that size that each is to be cut into."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    return small_table(counts.select(key, F.ceil(F.col("_n") / rows).cast("int").alias("_parts")))
 
 
 def fan_out_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner",
-                 share: float = HOT_SHARE, rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                 rows: int = HOT_ROWS) -> DataFrame:
     """Join many rows per key with one row per key.
 
-    Rows of a hot key are spread over ``salts`` partitions by ``spread_by`` and
-    the key's single right row is repeated that often; all other keys join as
-    they are.
+    Rows of a hot key are spread over parts of about ``rows`` rows by
+    ``spread_by``, and the key's single right row is repeated once for each; all
+    other keys join as they are.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how}")
-    hot = hot_keys(left, key, share, rows)
+    hot = hot_keys(left, key, rows)
     if hot.isEmpty():
         return left.join(right, key, how)
-    hot = hot.withColumn("_hot", F.lit(True))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    spread = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts")), F.lit(0)).cast("int")
+    spread = left.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_parts")
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")
 
 

@@ -30,8 +30,8 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 NON_NEGATIVE = ("nb", "complement_nb")
 
-# Coefficients (classes x features) that a linear model may keep on the driver.
-MAX_COEFFICIENTS = 200_000_000
+# The most that Spark ML's trees grow.
+MAX_DEPTH = 30
 
 
 def check_compatible(model: str, dense_features: bool) -> None:
@@ -68,7 +68,7 @@ def _linear_svm() -> PenaltyByC:
 
 def _forest() -> RandomForestClassifier:
     # Depth is unlimited in the models compared with; 30 is the most Spark grows.
-    return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", minInstancesPerNode=1, maxDepth=20, seed=0)
+    return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", minInstancesPerNode=1, maxDepth=MAX_DEPTH, seed=0)
 
 
 @dataclass
@@ -148,14 +148,17 @@ def number_terms(vocab: DataFrame, buckets: int = 4096) -> DataFrame:
         "term", (F.col("_s") + F.col("_i")).cast("int").alias("idx"))
 
 
-def sparse_input(features: DataFrame, vocab: DataFrame, docs: DataFrame, n_classes: int) -> DataFrame:
+def sparse_input(features: DataFrame, vocab: DataFrame, docs: DataFrame, n_classes: int,
+                 max_coefficients: int | None = None) -> DataFrame:
     """``doc_id, [fold], label, features`` with one sparse vector per document.
 
     ``features``: doc_id, term, weight; ``docs``: doc_id, label_idx, [fold], also
-    those without terms. Written once and read back with the vector type.
+    those without terms. Written once and read back with the vector type. A
+    linear model keeps classes x terms coefficients on the driver: bound them by
+    ``min_df``, or set ``max_coefficients`` to be refused instead.
     """
     size = vocab.count()
-    if size * n_classes > MAX_COEFFICIENTS:
+    if max_coefficients is not None and size * n_classes > max_coefficients:
         raise ValueError(f"{size} terms x {n_classes} classes is too large for a model kept on the driver; "
                          "raise min_df or use the Naive Bayes of this package")
     spark = features.sparkSession

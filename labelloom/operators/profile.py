@@ -64,8 +64,10 @@ def corpus_fingerprint(corpus: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 def vocabulary_facts(term_docs: DataFrame) -> DataFrame:
     """One row for a (doc_id, term, ...) table: vocabulary size, features, documents with a term."""
-    return term_docs.agg(F.count_distinct("term").alias("vocab_size"), F.count_distinct("doc_id").alias("n_rows"),
-                         F.count("*").alias("n_entries"))
+    terms = term_docs.groupBy("term").agg(F.count("*").alias("n")).agg(
+        F.count("term").alias("vocab_size"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_entries"))
+    docs = term_docs.groupBy("doc_id").agg(F.lit(1)).agg(F.count("doc_id").alias("n_rows"))
+    return terms.join(docs).select("vocab_size", "n_rows", "n_entries")  # one row each
 
 
 def vector_facts(vectors: DataFrame, column: str = "embedding") -> DataFrame:

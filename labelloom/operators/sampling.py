@@ -4,6 +4,9 @@ One rule serves all of them: within a class, documents are ordered by
 ``md5(seed|label|doc_id)``, ties by id. The order depends on nothing but the
 row itself, so every pick is repeatable and prefix-stable, and a split can be
 decided by comparing each row with its class's cut instead of sorting classes.
+
+Rows without a label are in no class: they count for no quota, get a null split
+and a null fold, and are never picked.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ def order_hash(seed: int, label: str, doc_id: str) -> Column:
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count("*").alias("n_class"))
+    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n_class"))
 
 
 def split_quota(sizes: DataFrame, label: str, test_size: float) -> DataFrame:
@@ -84,7 +87,8 @@ def stratified_split(df: DataFrame, *, test_size: float = 0.2, seed: int = 42, l
     quota = split_quota(class_sizes(df, label), label, test_size).withColumn("cut_no", F.lit(0))
     cuts = hash_cuts(df, small_table(quota), label=label, doc_id=doc_id, seed=seed)
     placed = cuts_passed(df, cuts, "split", label=label, doc_id=doc_id, seed=seed)
-    return placed.withColumn("split", F.when(F.col("split") == 0, F.lit("test")).otherwise(F.lit("train")))
+    side = F.when(F.col("split") == 0, F.lit("test")).otherwise(F.lit("train"))
+    return placed.withColumn("split", F.when(F.col(label).isNotNull(), side))
 
 
 def fold_cuts(df: DataFrame, k: int, *, seed: int, label: str, doc_id: str) -> DataFrame:
@@ -121,13 +125,14 @@ def short_classes(df: DataFrame, n: int, label: str = "label_name") -> DataFrame
 
 
 def pick_per_class(df: DataFrame, n: int | None, *, seed: int = 42, label: str = "label_name",
-                   doc_id: str = "doc_id", strict: bool = True) -> DataFrame:
-    """The first n rows of each class in hash order; null n keeps all rows.
+                   doc_id: str = "doc_id", strict: bool = True, window_pick: int = WINDOW_PICK) -> DataFrame:
+    """The first n rows of each class in hash order; null n keeps all rows that have a label.
 
     Raising n only ever adds rows. With ``strict``, a class of fewer than n rows
-    is an error. Small picks are a window trimmed before the shuffle; large ones
-    go by the class's cut.
+    is an error. Picks up to ``window_pick`` are a window trimmed before the
+    shuffle, larger ones go by the class's cut; the rows are the same.
     """
+    df = df.where(F.col(label).isNotNull())
     if n is None:
         return df
     if n <= 0:
@@ -136,7 +141,7 @@ def pick_per_class(df: DataFrame, n: int | None, *, seed: int = 42, label: str =
         short = short_classes(df, n, label).orderBy(label).first()
         if short is not None:
             raise ValueError(f"class {short[label]} has only {short['n_class']} rows but {n} were asked for")
-    if n <= WINDOW_PICK:
+    if n <= window_pick:
         rank = F.row_number().over(W.partitionBy(label).orderBy("_h", doc_id))
         ranked = df.withColumn("_h", order_hash(seed, label, doc_id)).withColumn("_rank", rank)
         return ranked.where(F.col("_rank") <= n).drop("_h", "_rank")
@@ -153,10 +158,13 @@ def simple_sample(df: DataFrame, n: int, *, seed: int = 0, doc_id: str = "doc_id
 
 
 def first_per_key(df: DataFrame, key: str, doc_id: str = "doc_id") -> DataFrame:
-    """One representative row per key, the one with the lowest id (partial aggregation, no sort)."""
-    rest = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.min_by(F.struct(*rest), doc_id).alias("_r"))
-    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    """One representative row per key, the one with the lowest id; ids are unique.
+
+    The lowest id is found on the two narrow columns by hash aggregation; the
+    other columns, texts among them, only move for the rows that are kept.
+    """
+    best = df.groupBy(F.col(key).alias("_key")).agg(F.min(doc_id).alias("_id"))
+    return df.join(best, (F.col(doc_id) == F.col("_id")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def first_rows(df: DataFrame, n: int | None, doc_id: str = "doc_id") -> DataFrame:

@@ -43,7 +43,7 @@ def run_incremental(corpus: DataFrame, settings: PromptedSettings, backend: Back
     """Pick a number of test documents per class, score the new ones, report over the whole store."""
     spark = corpus.sparkSession
     labels, train, test = prepare(corpus, settings)
-    selected = pick_per_class(test, settings.test_per_category, seed=settings.seed)
+    selected = pick_per_class(test, settings.test_per_category, seed=settings.seed, strict=settings.strict)
     folder = f"{folders.runs.rstrip('/')}/_stores/{settings.run_name}"
     added = score_new(selected, f"{folder}/predictions", settings, backend, folders, labels, train, retry_null)
     m = E.store_metrics(latest_rows(read_store(spark, f"{folder}/predictions"))).first()

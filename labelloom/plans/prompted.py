@@ -35,6 +35,7 @@ class PromptedSettings:
     temperature: float = 0.0
     smoke: int | None = None
     test_per_category: int | None = None
+    strict: bool = True  # a class of fewer test documents than asked for is an error
 
     @property
     def prompt_set(self) -> PromptSet:

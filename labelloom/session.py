@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,12 +38,18 @@ def build_session(app: str = "labelloom", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (single-machine tests) is a
-    folder of our own made, and then remembered for the session.
+    That is ``spark.checkpoint.dir``, or what was given to
+    ``SparkContext.setCheckpointDir``. Only where neither is set and the master
+    is local (single-machine tests) is a folder of our own made, and then
+    remembered for the session; on a cluster that is an error, as each executor
+    would write to its own disk and later reads would miss those files.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
     path = spark.conf.get("labelloom.shared.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="labelloom-")

@@ -118,18 +118,26 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def yaml_to_json(text: pd.Series) -> pd.Series:
-    """A YAML mapping as JSON text; anything else, or malformed YAML, as an empty object."""
+    """A YAML mapping as JSON text; anything else, or malformed YAML, as an empty object.
+
+    JSON is read as such. Where no YAML reader is installed, a config that is
+    not JSON is an error: it must not lose its settings without a word.
+    """
     try:
         import yaml
-        load, failure = yaml.safe_load, yaml.YAMLError
     except ImportError:
-        load, failure = json.loads, ValueError
+        yaml = None
 
     def convert(value):
         try:
-            data = load(value)
-        except failure:
-            return "{}"
+            data = json.loads(value)
+        except (ValueError, RecursionError):
+            if yaml is None:
+                raise ValueError("a config is not JSON, and PyYAML is not installed") from None
+            try:
+                data = yaml.safe_load(value)
+            except (yaml.YAMLError, RecursionError):
+                return "{}"
         return json.dumps(data, default=str) if isinstance(data, dict) else "{}"
     return text.map(convert, na_action="ignore").astype(object)
 

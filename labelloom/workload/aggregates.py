@@ -112,13 +112,13 @@ WITH {SQL_PREDS} SELECT s.label_idx AS true_idx, s.label_name AS true_label, cou
   count(*) FILTER (p.pred_idx = p.true_idx) AS correct,
   count(*) FILTER (p.doc_id IS NOT NULL AND p.pred_idx IS NULL) AS unparseable,
   round(count(*) FILTER (p.pred_idx = p.true_idx) / nullif(count(p.doc_id), 0), 3) AS acc
-FROM source_dim s LEFT JOIN preds p ON p.true_idx = s.label_idx AND p.doc_id % 20 <> s.label_idx
-  AND s.label_name <> 'src4' GROUP BY ALL""")
+FROM (SELECT * FROM source_dim UNION ALL SELECT CAST(count(*) AS INTEGER), '~ no document' FROM source_dim) s
+LEFT JOIN preds p ON p.true_idx = s.label_idx GROUP BY ALL""")
 def a09(spark, sf):
     preds, labels = _preds(spark, sf)
-    # One class without rows, to show the fill.
-    store = preds.where((F.col("doc_id") % 20 != F.col("true_idx")) & (F.col("true_label") != "src4"))
-    return E.coverage(store.withColumn("correct", E.correct_flag(F.col("true_idx"), F.col("pred_idx"))), labels)
+    # One more class, without rows, to show the fill.
+    labels = labels.unionByName(labels.agg(F.count("*").cast("int").alias("label_idx"), F.lit("~ no document").alias("label_name")))
+    return E.coverage(preds.withColumn("correct", E.correct_flag(F.col("true_idx"), F.col("pred_idx"))), labels)
 
 
 @query("a10_mean_summary_words", f"SELECT round(avg({sql_word_count('text')}), 6) AS mean_words FROM documents")

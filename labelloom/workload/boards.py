@@ -50,7 +50,7 @@ def record_files(spark, sf):
     ))
     # Kind 5 holds two objects, kind 7 an explicit null.
     value = F.when(t == 5, F.concat(record, record)).when(
-        t == 7, F.concat(F.lit('{"llm": {"fraction": null}, '), F.substring(record, 2, 1_000_000))).otherwise(record)
+        t == 7, F.concat(F.lit('{"llm": {"fraction": null}, '), F.substr(record, F.lit(2)))).otherwise(record)
     path = F.concat(F.lit("file:/runs/"), F.col("run"), F.lit("/metrics.json"))
     return g.select(path.alias("path"), value.alias("value"), "t")
 

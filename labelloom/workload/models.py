@@ -32,13 +32,13 @@ def _fit(spark, sf, name, grid):
 
 @query("m09_logistic_regression")
 def m09(spark, sf):
-    return _fit(spark, sf, "logreg", {"C": [1.0, 10.0]})
+    return _fit(spark, sf, "logreg", M.GRIDS["logreg"])
 
 
 @query("m10_linear_svm")
 def m10(spark, sf):
     train, test = _vectors(spark, sf)
-    return E.metrics(M.predict(M.tune(train, "linear_svm", n_folds=3, smallest_class=0).model, test))
+    return E.metrics(M.predict(M.tune(train, "linear_svm", n_folds=3, smallest_class=3).model, test))
 
 
 @query("m11_random_forest")
@@ -90,7 +90,7 @@ def m17_dense(spark, sf):
     runs = fresh_path(spark, "runs")
     enc = vector.Encoder(digest_encoder, "double:md5", fresh_path(spark, "embeddings"))
     settings = vector.VectorSettings(model="logreg", featurizer="double", n_per_category=10)
-    vector.run_vector(corpus(spark, sf, "lang"), settings, runs, encoder=enc, grid={"C": [1.0, 10.0]})
+    vector.run_vector(corpus(spark, sf, "lang"), settings, runs, encoder=enc)
     return scan_runs(spark, runs).select("run", "kind", "n_train", "n_test", "test_accuracy", "test_f1_macro", "cv_f1_macro_mean")
 
 

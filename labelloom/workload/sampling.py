@@ -61,10 +61,45 @@ def w03(spark, sf):
 
 
 @query("w03_large_pick", f"""
-WITH r AS (SELECT doc_id, label_name, {sql_rank('d')} AS rn FROM (SELECT doc_id, lang AS label_name FROM documents) d)
-SELECT doc_id, label_name FROM r WHERE rn <= 1200""")
+WITH sizes AS (SELECT count(*) AS n FROM documents GROUP BY lang),
+r AS (SELECT doc_id, label_name, {sql_rank('d')} AS rn FROM (SELECT doc_id, lang AS label_name FROM documents) d)
+SELECT doc_id, label_name FROM r WHERE rn <= (SELECT (min(n) + max(n)) // 2 FROM sizes)""")
 def w03_large(spark, sf):
-    return S.pick_per_class(corpus(spark, sf, "lang"), 1200, strict=False).select("doc_id", "label_name")
+    """By cuts, whatever n is; n lies between the smallest and the largest class."""
+    d = corpus(spark, sf, "lang").select("doc_id", "label_name")
+    n = S.class_sizes(d, "label_name").agg(((F.min("n_class") + F.max("n_class")) / 2).cast("int").alias("n")).first()["n"]
+    return S.pick_per_class(d, n, strict=False, window_pick=0).select("doc_id", "label_name")
+
+
+NULL_LABELS = "(SELECT doc_id, CASE WHEN n_chars % 5 > 0 THEN lang END AS label_name FROM documents)"
+
+
+def _null_labels(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.expr("CASE WHEN n_chars % 5 > 0 THEN lang END").alias("label_name"))
+
+
+@query("w01_null_labels", f"""
+WITH d AS {NULL_LABELS}, sizes AS (SELECT label_name, count(*) AS n_c FROM d WHERE label_name IS NOT NULL GROUP BY 1),
+shared AS (SELECT label_name, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(n_c) OVER ()) AS BIGINT) AS total, CAST(sum(n_c) OVER () AS BIGINT) AS n, n_c FROM sizes),
+placed AS (SELECT label_name, total * n_c // n AS base, total, row_number() OVER (ORDER BY total * n_c % n DESC, label_name) AS place FROM shared),
+quotas AS (SELECT label_name, base + CASE WHEN place <= total - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM placed),
+ranked AS (SELECT doc_id, label_name, {sql_rank('d')} AS rn FROM d WHERE label_name IS NOT NULL),
+split AS (SELECT r.doc_id, r.label_name, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM ranked r JOIN quotas q USING (label_name))
+SELECT d.doc_id, d.label_name, split.split FROM d LEFT JOIN split USING (doc_id)""")
+def w01_null_labels(spark, sf):
+    """Rows without a label are in neither side and count for no quota."""
+    return S.stratified_split(_null_labels(spark, sf)).select("doc_id", "label_name", "split")
+
+
+@query("w02_null_labels", f"""
+WITH d AS {NULL_LABELS}, r AS (SELECT doc_id, label_name, {sql_rank('d')} AS rn FROM d WHERE label_name IS NOT NULL)
+SELECT doc_id, label_name, way FROM r, (SELECT unnest(['window', 'cut']) AS way) WHERE rn <= 60""")
+def w02_null_labels(spark, sf):
+    """Both ways of picking give the same rows, and none without a label."""
+    d = _null_labels(spark, sf)
+    window, cut = (S.pick_per_class(d, 60, strict=False, window_pick=bound).withColumn("way", F.lit(way))
+                   for bound, way in ((60, "window"), (59, "cut")))
+    return window.unionByName(cut).select("doc_id", "label_name", "way")
 
 
 @query("w04_stratified_folds", f"""
@@ -153,10 +188,12 @@ def p10(spark, sf):
 
 
 @query("p11_short_classes", """
-SELECT source AS label_name, count(*) AS n_class FROM documents WHERE n_chars > 2000 GROUP BY 1 HAVING count(*) < 20""")
+SELECT lang AS label_name, count(*) AS n_class FROM documents GROUP BY 1 HAVING count(*) < (SELECT count(*) / count(DISTINCT lang) FROM documents)""")
 def p11(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars > 2000").withColumnRenamed("source", "label_name")
-    return S.short_classes(d, 20)
+    """Classes below the mean size."""
+    d = table(spark, sf, "documents").withColumnRenamed("lang", "label_name")
+    sizes = S.class_sizes(d, "label_name").agg(F.sum("n_class").alias("rows"), F.count("*").alias("classes")).first()
+    return S.short_classes(d, sizes["rows"] / sizes["classes"])
 
 
 @query("l04_first_rows", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 50")

@@ -186,7 +186,7 @@ WITH {SQL_SOURCE_DIM}, replies AS (
     WHEN 2 THEN concat('{{"category": "', source, '"}} trailing') WHEN 3 THEN '{{"category": 1}}' WHEN 4 THEN '[]'
     WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN '{{}}' WHEN 8 THEN '{{"category": "no such class"}}'
     WHEN 9 THEN concat('{{"category": "', source, '"}}{{"a":1}}') WHEN 10 THEN concat('{{"category": "', source, '"}}]')
-    ELSE source END AS content FROM documents)
+    ELSE CASE doc_id // 12 % 3 WHEN 0 THEN repeat('[', 20000) WHEN 1 THEN '{{"category": "\\ud800"}}' ELSE source END END AS content FROM documents)
 SELECT r.doc_id, s.label_name AS pred_label, s.label_idx AS pred_idx
 FROM replies r LEFT JOIN source_dim s ON s.label_name = r.source AND r.doc_id % 12 IN (0, 1)""")
 def f18(spark, sf):
@@ -195,7 +195,7 @@ def f18(spark, sf):
     WHEN 2 THEN concat('{"category": "', source, '"} trailing') WHEN 3 THEN '{"category": 1}' WHEN 4 THEN '[]'
     WHEN 5 THEN '' WHEN 6 THEN NULL WHEN 7 THEN '{}' WHEN 8 THEN '{"category": "no such class"}'
     WHEN 9 THEN concat('{"category": "', source, '"}{"a":1}') WHEN 10 THEN concat('{"category": "', source, '"}]')
-    ELSE source END""")
+    ELSE CASE doc_id DIV 12 % 3 WHEN 0 THEN repeat('[', 20000) WHEN 1 THEN '{"category": "\\\\ud800"}' ELSE source END END""")
     parsed = _docs(spark, sf).select("doc_id", R.reply_category(content).alias("said"))
     labels = source_labels(spark, sf).select(F.col("label_name").alias("pred_label"), F.col("label_idx").alias("pred_idx"))
     return parsed.join(labels, parsed.said == labels.pred_label, "left").select("doc_id", "pred_label", "pred_idx")

@@ -147,10 +147,10 @@ def test_salted_join_equals_plain_join(spark):
     left = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(
         F.concat(F.lit("k"), (F.col("id") % 90).cast("string"))).alias("key"))
     right = left.select("key").distinct().where("key <> 'k3'").withColumn("v", F.length("key"))
-    assert [r["key"] for r in J.hot_keys(left, "key", share=0.3, rows=100).collect()] == ["hot"]
+    assert [r["key"] for r in J.hot_keys(left, "key", rows=100).collect()] == ["hot"]
     for how in ("inner", "left"):
         plain = left.join(right, "key", how).select("doc_id", "key", "v")
-        salted = J.fan_out_join(left, right, "key", "doc_id", how, share=0.3, rows=100, salts=7).select("doc_id", "key", "v")
+        salted = J.fan_out_join(left, right, "key", "doc_id", how, rows=100).select("doc_id", "key", "v")
         assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
     with pytest.raises(ValueError):
         J.fan_out_join(left, right, "key", "doc_id", "full")
