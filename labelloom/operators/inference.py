@@ -162,8 +162,11 @@ def summarize(docs: DataFrame, fractions: float | list[float], *, backend: Backe
     known = caches.read_summaries(spark, cache_path, model_tag, prompts.version)
     wanted = keyed.where(F.col("cache_key") != RAW_KEY)
     ids = materialize(wanted.select("doc_id", "fraction", "cache_key", "target_words", "source_words"), "summary-keys")
-    misses = missing_keys(first_per_key(wanted, "cache_key"), known).drop("doc_id")
-    misses = materialize(misses, "summary-misses")
+    # Narrow keys meet the cache first; texts are fetched only for what it lacks. Rows of a key share text and lengths.
+    keys = ids.groupBy("cache_key").agg(*[F.min(c).alias(c) for c in ("doc_id", "fraction", "target_words", "source_words")])
+    lacking = materialize(missing_keys(keys, known), "summary-misses-keys")
+    fetched = lacking.join(docs.select("doc_id", "text"), "doc_id")
+    misses = materialize(first_per_key(fetched, "cache_key").drop("doc_id"), "summary-misses")
     replies = run_model(summary_requests(spread(misses, backend, "cache_key"), prompts), backend)
 
     answered = misses.join(replies.withColumnRenamed("custom_id", "cache_key"), "cache_key")
@@ -252,7 +255,9 @@ def embed(docs: DataFrame, encoder: EncoderFn, *, model_id: str, cache_path: str
     key = X.embedding_key(digest=X.doc_digest("text"), model_id=model_id, prefix=prefix, normalize=normalize)
     keyed = docs.select("doc_id", "text", key.alias("cache_key"))
     known = caches.read_embeddings(spark, cache_path, model_id)
-    misses = missing_keys(first_per_key(keyed, "cache_key"), known)
+    ids = materialize(keyed.select("doc_id", "cache_key"), "embedding-keys")
+    lacking = materialize(missing_keys(ids.groupBy("cache_key").agg(F.min("doc_id").alias("doc_id")), known), "embedding-misses")
+    misses = first_per_key(lacking.join(docs.select("doc_id", "text"), "doc_id"), "cache_key")
     inputs = misses.select("cache_key", X.with_prefix("text", prefix).alias("text"))
     inputs = inputs.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "cache_key")
     vectors = inputs.mapInPandas(encoder, VECTOR)
@@ -264,5 +269,4 @@ def embed(docs: DataFrame, encoder: EncoderFn, *, model_id: str, cache_path: str
     caches.append_embeddings(fresh, cache_path)
     hits = known.select("cache_key", "embedding").dropDuplicates(["cache_key"]).withColumn("cache_hit", F.lit(True))
     both = hits.unionByName(fresh.select("cache_key", "embedding").withColumn("cache_hit", F.lit(False)))
-    ids = materialize(keyed.select("doc_id", "cache_key"), "embedding-keys")
     return fan_out_join(ids, both, "cache_key", "doc_id").drop("cache_key")

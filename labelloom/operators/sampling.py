@@ -158,13 +158,14 @@ def simple_sample(df: DataFrame, n: int, *, seed: int = 0, doc_id: str = "doc_id
 
 
 def first_per_key(df: DataFrame, key: str, doc_id: str = "doc_id") -> DataFrame:
-    """One representative row per key, the one with the lowest id; ids are unique.
+    """One representative row per key, the one with the lowest id.
 
-    The lowest id is found on the two narrow columns by hash aggregation; the
-    other columns, texts among them, only move for the rows that are kept.
+    Rows are reduced before the shuffle, sorted by key in each task: reduce to
+    the keys of interest first where texts are among the columns.
     """
-    best = df.groupBy(F.col(key).alias("_key")).agg(F.min(doc_id).alias("_id"))
-    return df.join(best, (F.col(doc_id) == F.col("_id")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    rest = [c for c in df.columns if c != key]
+    best = df.groupBy(key).agg(F.min_by(F.struct(*rest), doc_id).alias("_r"))
+    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def first_rows(df: DataFrame, n: int | None, doc_id: str = "doc_id") -> DataFrame:
