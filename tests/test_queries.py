@@ -5,10 +5,11 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from labelloom.workload import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
-QUICK = [n for n in oracle_sql() if n[0] in "fsapwlju" and n[:3] not in ("s19",)]
+QUICK = [n for n in all_oracles() if n[0] in "fsapwlju" and n[:3] not in ("s19",)]
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +22,8 @@ def db():
 
 
 def test_registry():
-    assert set(oracle_sql()) <= set(queries())
-    assert all(name[0] in "safpjawlumix" and name[1:3].isdigit() and name[3] == "_" for name in queries())
+    assert set(oracle_sql()) <= set(queries()) and set(all_queries()) <= set(queries())
+    assert all(name[0] in "safpjawlumix" and name[1:3].isdigit() and name[3] == "_" for name in all_queries())
 
 
 @needs_data

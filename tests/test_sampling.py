@@ -110,3 +110,14 @@ def test_check_split_finds_leaks(labelled):
 
 def test_label_dictionary_is_alphabetical(labelled):
     assert [tuple(r) for r in label_dictionary(labelled).orderBy("label_idx").collect()] == [(i, f"c{i}") for i in range(5)]
+
+
+def test_rows_without_a_label_are_in_no_class(spark):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("c"), F.col("id") % 3)).alias("label_name"))
+    split = S.stratified_split(df).groupBy("split").agg(F.count("*").alias("n"), F.count("label_name").alias("named"))
+    assert {r["split"]: (r["n"], r["named"]) for r in split.collect()} == {None: (100, 0), "train": (160, 160), "test": (40, 40)}
+    assert S.stratified_folds(df, 3).where("label_name is null and fold is not null").isEmpty()
+    for bound in (1000, 0):
+        assert S.pick_per_class(df, 20, window_pick=bound).where("label_name is null").isEmpty()
+        assert S.pick_per_class(df, 20, window_pick=bound).count() == 40
+    assert S.pick_per_class(df, None).count() == 200
