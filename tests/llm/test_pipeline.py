@@ -41,6 +41,18 @@ def test_one_document_of_each_group_of_copies_stays(spark):
     assert pipeline.drop_copies(spark, docs.limit(0), SF).count() == 0
 
 
+@needs_data
+def test_stages_do_not_mind_odd_columns_and_nulls(spark):
+    rows = [(i, f"the {i} words of a plain text in here" if i % 3 else None, None if i % 5 == 0 else "en", None, None, "x", 0.1, {"a": 1})
+            for i in range(30)] + [(None, "no id", "en", "s", 5, "x", 0.2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text string, _toxicity double, _doc map<string,int>")
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and kept.count() <= len(rows), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(queries.all_oracles()))
 def test_query_equals_sql(spark, name):
