@@ -29,10 +29,12 @@ from pyspark.sql import types as T
 
 from labelloom.llm.common import query, slices, table
 
-# Distinct pieces a task remembers before it starts afresh.
-REMEMBERED = 500_000
+# Distinct pieces, and pairs of tokens, that a task remembers before it starts afresh.
+REMEMBERED = 250_000
+# Text bytes that are encoded together: what the merge replay holds grows with it.
+BLOCK_BYTES = 4 << 20
 # White space of any kind before a space: there a cut at spaces could part white space that belongs together.
-_SPACE_RUN = re.compile(r"[\t-\r\x1c-\x1f\x85\xa0  -     　] ")
+_SPACE_RUN = re.compile(r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _CHUNK = re.compile(r" *[^ ]+| +")
 
 
@@ -48,15 +50,15 @@ class MergeReplay:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
         self.byte_pairs = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
 
     def rank_of(self, left: int, right: int) -> int:
         """The rank of the token that two neighbours make, -1 if there is none."""
-        key = (left, right)
+        key = left << 32 | right
         rank = self.pairs.get(key)
         if rank is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
             rank = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return rank
@@ -251,7 +253,7 @@ def encode(df: DataFrame, *, ranks: str, pattern: str, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = encoder(shipped.value, pattern)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", BLOCK_BYTES):
             ids = work(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*keep, out])
 
@@ -268,8 +270,8 @@ def decode(df: DataFrame, *, ranks: str, ids: str = "ids", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {rank: token for token, rank in parse_ranks(shipped.value).items()}
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 texts = [b"".join(map(tokens.__getitem__, x)) if x else b"" for x in part.column("_ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, type=pa.binary())], [*keep, out])
 

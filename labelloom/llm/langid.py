@@ -49,7 +49,7 @@ _BOUNDS = np.array(sorted(lo for ranges in SCRIPTS.values() for lo, _ in ranges)
 _RANGES = sorted((lo, hi, s) for s, ranges in enumerate(SCRIPTS.values()) for lo, hi in ranges)
 OTHER = len(SCRIPTS)
 # Words whose scores a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)

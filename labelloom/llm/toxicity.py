@@ -51,7 +51,8 @@ HEADS = (5, 6, 8, None)
 EVIDENCE = 1.0
 # Words that stand for a bin's share of all words, as if seen in either kind of text.
 PRIOR = 2000.0
-REMEMBERED = 400_000
+# Words that a task remembers before it starts afresh.
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -155,12 +156,22 @@ class Distance:
         return len(self.plain.compress(raw)) - with_both, with_both - self.least
 
     def _bin(self, window: str) -> int:
-        found = self.known.get(window)
-        if found is None:
-            saved, needed = self(window)
-            found = (min(max(saved, LOW), HIGH) - LOW) * (NEEDED + 1) + min(max(needed, 0), NEEDED)
-            self.known[window] = found
-        return found
+        saved, needed = self(window)
+        return (min(max(saved, LOW), HIGH) - LOW) * (NEEDED + 1) + min(max(needed, 0), NEEDED)
+
+    def _bins(self, word: str) -> list[int]:
+        """Those of a word's windows; beginnings are shared by many words, so they are remembered."""
+        out = []
+        for k, n in enumerate(HEADS):
+            if n is None:
+                out.append(k * BINS + self._bin(f" {word} "))
+                continue
+            head = word[:n]
+            found = self.known.get(head)
+            if found is None:
+                found = self.known[head] = self._bin(f" {head}")
+            out.append(k * BINS + found)
+        return out
 
     def _places(self, text: str | None) -> np.ndarray:
         """A number for each word; ``bins`` has the distances of its windows."""
@@ -173,8 +184,7 @@ class Distance:
             if len(codes) + len(new) > len(self.bins):
                 more = np.zeros((len(self.bins) + len(new), len(HEADS)), dtype=np.int64)
                 self.bins = np.concatenate([self.bins, more])
-            self.bins[len(codes):len(codes) + len(new)] = [
-                [k * BINS + self._bin(f" {w[:n]}" if n else f" {w} ") for k, n in enumerate(HEADS)] for w in new]
+            self.bins[len(codes):len(codes) + len(new)] = [self._bins(w) for w in new]
             for w in new:
                 codes[w] = len(codes)
         return np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))

@@ -35,7 +35,7 @@ MARK = "▁"
 PENALTY = 10.0
 _BYTE = re.compile(r"<0x[0-9A-F]{2}>")
 # Parts of texts that a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def read_pieces(path: str) -> list[tuple[str, float]]:
