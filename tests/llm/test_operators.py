@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -263,6 +264,64 @@ def test_simhash_of_no_rows_and_null_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(some).collect()) == [(-1, -1), (-1, 9), (9, 9)]
 
 
+def jaccard(a, b, n=5):
+    a, b = ({tuple(t[i:i + n]) for i in range(len(t) - n + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def text_pair(name, size, shared):
+    """Two lists of words with this many five-word shingles each, ``shared`` of them the same."""
+    words = [f"{name}{i}" for i in range(size + 4)]
+    return words, words[:shared + 4] + [f"{name}other{i}" for i in range(size - shared)]
+
+
+def test_exact_links_keep_only_what_is_alike_enough():
+    rnd = random.Random(5)
+    texts = [t for k, wanted in enumerate([0.5, 0.6, 0.7, 0.79, 0.8, 0.85]) for t in text_pair(f"w{k}x", 90, round(90 * 2 * wanted / (1 + wanted)))]
+    long = [f"long{i}" for i in range(150)]
+    for _ in range(12):
+        at = rnd.randrange(120)
+        texts.append(long[:at] + [f"cut{rnd.random()}"] + long[at + rnd.randrange(12):])
+    sets = [simhash.shingle_set(simhash.hashes(" ".join(t), 5)) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(links) > 10 and (8, 9) in links and (6, 7) not in links
+    found = simhash.set_links(np.zeros((len(sets), 4), dtype=np.uint64), sets, None, 51, 0.8).tolist()
+    assert all(tuple(sorted(x)) in links for x in found)
+
+    def groups(pairs):
+        label = list(range(len(texts)))
+        for i, j in pairs:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
+
+    assert groups(found) == groups(links)
+
+
+@pytest.mark.parametrize("room", [simhash.ROOM, 300])
+def test_tiles_of_whole_sets_equal_one_tile(spark, room):
+    rnd, rows = random.Random(6), []
+    long = [f"long{i}" for i in range(150)]
+    for k in range(40):
+        at = rnd.randrange(120)
+        rows.append((k, " ".join(long[:at] + [f"cut{k % 9}"] + long[at + rnd.randrange(20):])))
+    rows += [(k + 100, t) for k, t in rows[::7]] + [(k + 200, " ".join(f"{k}z{i}" for i in range(9))) for k in range(5)] + [(None, rows[0][1]), (300, None)]
+    how = {"bits": 256, "blocks": 1, "width": 16, "radius": 90}
+    docs = materialize(documents(spark, rows).withColumn("k", F.xxhash64("doc_id", "text")), "d")
+    prints = materialize(simhash.fingerprints(docs, words=5, keep=("doc_id", "k"), sets=True, **how), "p")
+    got = simhash.exact_duplicates(prints, docs.select("k", "text"), ("k",), words=5, similarity=0.8, room=room, **how).collect()
+    texts = [(i, (t or "").split()) for i, t in rows]
+    print_of = [simhash.signature(t, 5, 4) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        near = np.bitwise_count(print_of[i] ^ print_of[j]).sum() <= 90
+        if near and texts[i][1] and texts[j][1] and jaccard(texts[i][1], texts[j][1]) >= 0.8:
+            label = [label[i] if x == label[j] else x for x in label]
+    smallest = {y: min(texts[k][0] for k, x in enumerate(label) if x == y and texts[k][0] is not None) for y in label}
+    assert len(set(label)) < 40
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in got) == sorted(
+        (-1 if i is None else i, smallest[label[k]]) for k, (i, _) in enumerate(texts))
+
+
 def test_components_of_chains_and_hubs(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3)]
     found = components.components(spark.createDataFrame(pairs, "a int, b int"), "a", "b").collect()

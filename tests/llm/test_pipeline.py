@@ -41,6 +41,18 @@ def test_one_document_of_each_group_of_copies_stays(spark):
     assert pipeline.drop_copies(spark, docs.limit(0), SF).count() == 0
 
 
+@pytest.mark.parametrize("share, linked", [(0.5, False), (0.6, False), (0.7, False), (0.85, True)])
+def test_copies_are_those_that_share_enough_shingles(spark, share, linked):
+    rows, size = [], 120
+    for k in range(12):
+        same = round(size * 2 * share / (1 + share))
+        words = [f"{k}w{i}" for i in range(size + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:same + 4] + [f"{k}o{i}" for i in range(size - same)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in pipeline.drop_copies(spark, docs, SF).collect())
+    assert kept == [i for i, _ in rows if not (linked and i % 2)]
+
+
 @needs_data
 def test_stages_do_not_mind_odd_columns_and_nulls(spark):
     rows = [(i, f"the {i} words of a plain text in here" if i % 3 else None, None if i % 5 == 0 else "en", None, None, "x", 0.1, {"a": 1})
