@@ -43,7 +43,7 @@ def m10(spark, sf):
 
 @query("m11_random_forest")
 def m11(spark, sf):
-    return _fit(spark, sf, "random_forest", {"n_estimators": [20], "max_features": ["sqrt"], "min_samples_leaf": [1, 5]})
+    return _fit(spark, sf, "random_forest", M.GRIDS["random_forest"])
 
 
 @query("m12_expand_grid", """

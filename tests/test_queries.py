@@ -41,3 +41,10 @@ def test_query_equals_sql(spark, db, name):
 def test_entry(spark):
     rows = entry(spark).collect()
     assert {"label_name", "precision", "recall", "f1", "support"} == set(rows[0].asDict()) and len(rows) == 4
+
+
+def test_forest_query_tunes_the_whole_grid(monkeypatch):
+    from labelloom.operators.models import GRIDS
+    from labelloom.workload import models
+    monkeypatch.setattr(models, "_fit", lambda spark, sf, name, grid: (name, grid))
+    assert queries()["m11_random_forest"](None, SF) == ("random_forest", GRIDS["random_forest"])
