@@ -9,7 +9,8 @@ distance occurs in toxic and in ordinary texts, measured on labelled texts kept
 from the training of the dictionaries, tells which distances are evidence. The
 evidence of all words of a whole text, against what a text of its length should
 hold, goes through a logistic curve fitted on the same texts; 0.5 is its
-calibrated threshold.
+calibrated threshold: each label counts by the inverse of its class's drawing
+rate, so that the curve sees the classes in the shares they have in the corpus.
 
 Labels learn from a bounded sample (``ToxicSettings``): texts that share their
 smallest shingle are copies of each other and count once, so that a large group
@@ -205,19 +206,20 @@ def _measure(evidence: float, words: int, rate: float) -> float:
     return min(max(evidence - rate * words, -6.0), 20.0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the likeliest logistic curve, slightly ridged, by Newton steps that never lose ground."""
+    weight = weight / weight.mean()
     middle, spread = x.mean(), x.std() or 1.0
     rows = np.stack([(x - middle) / spread, np.ones_like(x)], axis=1)
 
     def loss(w):
-        return np.logaddexp(0, np.where(y == 1, -1, 1) * (rows @ w)).sum() + 0.05 * w[0] ** 2
+        return (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (rows @ w))).sum() + 0.05 * w[0] ** 2
 
     w, now = np.zeros(2), loss(np.zeros(2))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        grad = rows.T @ (p - y) + np.array([0.1 * w[0], 0])
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.diag([0.1, 1e-6]), grad)
+        grad = rows.T @ (weight * (p - y)) + np.array([0.1 * w[0], 0])
+        step = np.linalg.solve((rows * (weight * p * (1 - p))[:, None]).T @ rows + np.diag([0.1, 1e-6]), grad)
         while loss(w - step) > now and np.abs(step).max() > 1e-9:
             step = step / 2
         w, before, now = w - step, now, loss(w - step)
@@ -236,8 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSetti
     if len(sizes) < 2:
         share = min(max(float(sizes.get(1, 0) > 0), 0.01), 0.99)
         return ToxicModel(b"", b"", (0.0,) * (BINS * len(HEADS)), 0.0, 1.0, float(np.log(share / (1 - share))))
-    share = F.when(F.col("toxic") == 1, min(1.0, settings.toxic_docs / sizes[1])).otherwise(
-        min(1.0, settings.ordinary_docs / sizes[0]))
+    drawing = np.minimum(1.0, np.array([settings.ordinary_docs / sizes[0], settings.toxic_docs / sizes[1]]))
+    share = F.when(F.col("toxic") == 1, float(drawing[1])).otherwise(float(drawing[0]))
     drawn = materialize(marked.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share * (1 << 40)), "toxic-ids")
 
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSetti
         return ToxicModel(toxic, ordinary, tuple(log_ratio.tolist()), 0.0, 1.0, float(np.log(sizes[1] / sizes[0])))
     rates = [hits[y == kind].sum() / max(1.0, words[y == kind].sum()) for kind in (0, 1)]
     rate = max(0.0, rates[1] - rates[0])
-    slope, offset = _logistic(np.array([_measure(e, n, rate) for e, n in zip(evidence, words)]), y)
+    slope, offset = _logistic(np.array([_measure(e, n, rate) for e, n in zip(evidence, words)]), y, 1 / drawing[y.astype(int)])
     return ToxicModel(toxic, ordinary, tuple(log_ratio.tolist()), float(rate), slope, offset)
 
 

@@ -473,6 +473,24 @@ def test_toxic_words_are_found_in_held_out_documents(spark, odd):
 
 # 1: mixing
 
+def test_toxic_curve_sees_the_true_shares_of_the_classes(spark, monkeypatch):
+    rnd, seen, curve = random.Random(8), [], toxicity._logistic
+    plain, bad = made_up(rnd, ["ba", "lo", "mi", "tu"], 300).split(), made_up(rnd, ["xo", "zak", "gru"], 40).split()
+    rows = [(i, " ".join(rnd.choices(plain, k=60) + rnd.choices(bad, k=12 * (i % 4 == 0)))) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, *weight: seen.append((y, *weight)) or curve(x, y, *weight))
+    toxicity.fit(documents(spark, rows), labels, toxicity.ToxicSettings(ordinary_docs=90))
+    y, weight = seen[0]
+    assert np.allclose(weight, np.where(y == 1, 1, 2))
+
+    x = np.concatenate([np.linspace(-3, 2, 900), np.linspace(0, 5, 300)])
+    y = np.repeat([0.0, 1.0], [900, 300])
+    some = np.concatenate([np.arange(0, 900, 9), np.arange(900, 1200)])
+    whole = toxicity._logistic(x, y, np.ones(1200))
+    drawn = toxicity._logistic(x[some], y[some], np.where(y[some] == 1, 1, 9))
+    assert np.allclose(whole, drawn, atol=0.1)
+
+
 def brute_probabilities(cells, alphas, budget):
     keys = list(cells)
     base = np.array([cells[k] for k in keys], float)
