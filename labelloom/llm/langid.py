@@ -217,14 +217,14 @@ class Labeller:
     def _viterbi(self, codes: list[np.ndarray]) -> list[np.ndarray]:
         """Texts side by side, longest first; step t advances those that have a word t."""
         penalty, k = np.float32(self.model.switch_penalty), len(self.model.languages)
-        n, steps = len(codes), len(codes[0])
+        n, steps, kind = len(codes), len(codes[0]), np.min_scalar_type(-max(k, 1))
         lengths = np.array([len(c) for c in codes])
         live = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
         grid = np.zeros((steps, n), dtype=np.int64)
         for i, c in enumerate(codes):
             grid[:len(c), i] = c
-        back = np.empty((steps, n, k), dtype=np.int8)
-        own = np.arange(k, dtype=np.int8)[None, :]
+        back = np.empty((steps, n, k), dtype=kind)
+        own = np.arange(k, dtype=kind)[None, :]
         best = self.rows[grid[0]].copy()
         for t in range(1, steps):
             m = live[t]
@@ -232,9 +232,9 @@ class Labeller:
             top = now.argmax(axis=1)
             other = now[np.arange(m), top][:, None] - penalty
             stay = now >= other
-            back[t, :m] = np.where(stay, own, top[:, None].astype(np.int8))
+            back[t, :m] = np.where(stay, own, top[:, None].astype(kind))
             best[:m] = np.maximum(now, other) + self.rows[grid[t, :m]]
-        path = np.empty((steps, n), dtype=np.int8)
+        path = np.empty((steps, n), dtype=kind)
         at = best.argmax(axis=1)
         for t in range(steps - 1, -1, -1):
             m = live[t]

@@ -413,6 +413,15 @@ def test_language_path_is_the_best_of_all():
         assert abs(value(path) - max(map(value, itertools.product(range(3), repeat=len(rows))))) < 1e-4
 
 
+@pytest.mark.parametrize("n", [4, 128, 129, 300])
+def test_language_paths_of_many_languages(n):
+    names = tuple(f"l{i:03}" for i in range(n))
+    labeller = langid.Labeller(langid.LanguageModel(names, np.zeros((8, n), np.float32), np.ones((langid.OTHER + 1, n), bool), 3, 1.0))
+    labeller.rows = 5 * np.eye(n, dtype=np.float32)
+    words = np.array([n - 1, 0, n - 1, n // 2, n - 2])
+    assert [p.tolist() for p in labeller._viterbi([words, words[:2]])] == [words.tolist(), words[:2].tolist()]
+
+
 # 9: chats
 
 def test_chat_layouts_and_exact_round_trip(spark):
