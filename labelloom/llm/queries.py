@@ -1,6 +1,6 @@
 """The registered queries of the subpackage."""
 
-from labelloom.llm import bpe, chat, common, digest, langid, mixing, mtree, negatives, packing, simhash, toxicity, unigram, urls  # noqa: F401
+from labelloom.llm import bpe, chat, common, digest, importance, langid, mixing, mtree, negatives, packing, simhash, toxicity, unigram, urls  # noqa: F401
 
 
 def all_queries():
