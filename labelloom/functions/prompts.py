@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from string import Formatter
 
@@ -18,6 +19,11 @@ class PromptSet:
     summary: str
     classify: str
 
+    @property
+    def cache_version(self) -> str:
+        """Version and digest of the summary template: an edited template does not find the summaries of another."""
+        return f"{self.version}.{hashlib.sha1(self.summary.encode()).hexdigest()[:8]}"
+
     @property
     def takes_examples(self) -> bool:
         return "{examples_block}" in self.classify

@@ -1,9 +1,11 @@
 """Batch inference over documents with an injected model function.
 
 A model function maps batches of requests (``custom_id, prompt, messages,
-max_tokens``) to batches of replies (``custom_id, content``). Everything around
-it is table work: keys, cache, one request per distinct document, prompts,
-distribution, parsing, and handing each reply back to all its documents.
+max_tokens, model, temperature, seed, num_ctx``) to batches of replies
+(``custom_id, content``, and where it knows them the tokens of ``USAGE`` and a
+``batch_id``). Everything around it is table work: keys, cache, one request per
+distinct document, prompts, distribution, parsing, and handing each reply back
+to all its documents.
 
 Replies are written before anything reads them. A plan that contained the model
 call could be evaluated twice, and would then call the model twice.
@@ -11,11 +13,12 @@ call could be evaluated twice, and would then call the model twice.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,18 +27,38 @@ from labelloom.functions.prompts import PromptSet, classify_prompt, categories_b
 from labelloom.functions.replies import first_text, first_tool_input, reply_category, request_cost
 from labelloom.functions.vectors import l2_normalize
 from labelloom.operators.joins import fan_out_join, missing_keys
-from labelloom.operators.sampling import first_per_key
 from labelloom.session import materialize
 from labelloom.sources import caches
 
 ModelFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
-REPLY = T.StructType([T.StructField("custom_id", T.StringType()), T.StructField("content", T.StringType())])
+USAGE = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+REPLY = T.StructType([T.StructField("custom_id", T.StringType()), T.StructField("content", T.StringType()),
+                      *[T.StructField(c, T.LongType()) for c in USAGE], T.StructField("batch_id", T.StringType())])
 
 # Fixed value: output tokens allowed for a classification reply.
 CLASSIFY_MAX_TOKENS = 64
 RAW_KEY = "raw"
+NUM_CTX = 16384
+
+
+@dataclass
+class Meter:
+    """What the model calls of a run used: counted while replies are written, never by reading them again."""
+
+    totals: dict = field(default_factory=lambda: dict.fromkeys(("n_calls", *USAGE), 0) | {"total_cost_usd": 0.0})
+    batch_ids: set = field(default_factory=set)
+    seconds: dict = field(default_factory=dict)
+
+    def add(self, kind: str, counted: dict, seconds: float) -> None:
+        for name in self.totals:
+            self.totals[name] += counted.get(name) or 0
+        self.batch_ids.update(counted.get("batch_ids") or ())
+        self.seconds[kind] = self.seconds.get(kind, 0.0) + seconds
+
+    def usage(self) -> dict:
+        return self.totals | {"total_cost_usd": round(self.totals["total_cost_usd"], 6), "batch_ids": sorted(self.batch_ids)}
 
 
 @dataclass(frozen=True)
@@ -43,13 +66,22 @@ class Backend:
     """A model function and how to drive it.
 
     ``parallel_calls`` is the number of tasks that call the model at once,
-    ``rows_per_call`` the number of requests handed over at a time.
+    ``rows_per_call`` the number of requests handed over at a time. With
+    ``prompt_tokens`` a prompt that needs more than ``num_ctx`` tokens gets a
+    larger context window, up to ``max_ctx``. ``price`` is in dollars for a
+    million tokens (see ``request_cost``), halved for ``batch`` calls.
     """
 
     name: str
     fn: ModelFn
     parallel_calls: int | None = None
     rows_per_call: int | None = None
+    num_ctx: int = NUM_CTX
+    max_ctx: int | None = None
+    prompt_tokens: Callable[[Column], Column] | None = None
+    price: dict[str, float] | None = None
+    batch: bool = False
+    meter: Meter | None = None
 
 
 BACKENDS: dict[str, Callable[..., Backend]] = {}
@@ -70,19 +102,22 @@ def text_requests(df: DataFrame, custom_id: Column, prompt: Column, max_tokens:
                      max_tokens.cast("int").alias("max_tokens"))
 
 
-def chat_requests(df: DataFrame, custom_id: Column, prompt: Column, max_tokens: int = CLASSIFY_MAX_TOKENS) -> DataFrame:
-    message = F.struct(F.lit("user").alias("role"), prompt.alias("content"))
-    return df.select(custom_id.alias("custom_id"), F.lit(None).cast("string").alias("prompt"),
-                     F.array(message).alias("messages"), F.lit(max_tokens).alias("max_tokens"))
-
-
-def conversation_requests(turns: DataFrame, max_tokens: int = 1024) -> DataFrame:
+def conversation_requests(turns: DataFrame, max_tokens: int = 1024, **options) -> DataFrame:
     """One request per conversation (``conv_id, turn, role, text``), messages in turn order."""
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     messages = F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
     grouped = turns.groupBy("conv_id").agg(messages.alias("messages"))
-    return grouped.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("custom_id"),
-                          F.lit(None).cast("string").alias("prompt"), "messages", F.lit(max_tokens).alias("max_tokens"))
+    requests = grouped.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("custom_id"),
+                              F.lit(None).cast("string").alias("prompt"), "messages", F.lit(max_tokens).alias("max_tokens"))
+    return with_options(requests, **options)
+
+
+def with_options(requests: DataFrame, *, model: str | None = None, temperature: float = 0.0, seed: int = 0,
+                 num_ctx: Column | int = NUM_CTX) -> DataFrame:
+    """Requests with what a call is to be made with; every request names its own context window."""
+    window = num_ctx if isinstance(num_ctx, Column) else F.lit(int(num_ctx))
+    return requests.withColumns({"model": F.lit(model).cast("string"), "temperature": F.lit(float(temperature)),
+                                 "seed": F.lit(int(seed)), "num_ctx": window.cast("long")})
 
 
 def spread(df: DataFrame, backend: Backend, key: str) -> DataFrame:
@@ -92,14 +127,33 @@ def spread(df: DataFrame, backend: Backend, key: str) -> DataFrame:
     adaptive coalescing must not merge the calls. Done before prompts are
     rendered, so templates and worked examples are not shuffled with every row.
     """
-    tasks = backend.parallel_calls or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, key)
+    return df.repartition(_tasks(df, backend), key)
+
+
+def _tasks(df: DataFrame, backend: Backend) -> int:
+    return backend.parallel_calls or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def run_model(requests: DataFrame, backend: Backend) -> DataFrame:
-    """``custom_id, content`` for every request the model answered, written to the shared folder.
+def spread_by_window(df: DataFrame, backend: Backend, key: str, sizes: dict[int, int]) -> DataFrame:
+    """As ``spread``, but no task gets two context windows, so a backend sets its window once a task.
 
-    One task per partition of ``requests``; see ``spread``.
+    ``sizes`` has the rows of each ``num_ctx``, of which there are few: they are
+    powers of two. Each window gets tasks by its share of the rows, one at least.
+    """
+    total, tasks, first, placed = max(1, sum(sizes.values())), _tasks(df, backend), 0, F.lit(0)
+    for window, rows in sorted(sizes.items()):
+        share = max(1, round(tasks * rows / total))
+        at = F.lit(first) + F.pmod(F.xxhash64(key, "text"), F.lit(share))
+        placed = F.when(F.col("num_ctx") == window, at).otherwise(placed)
+        first += share
+    return df.repartitionById(max(1, first), placed.cast("int"))
+
+
+def run_model(requests: DataFrame, backend: Backend, kind: str = "requests") -> DataFrame:
+    """The replies of ``REPLY`` for every request the model answered, written to the shared folder.
+
+    One task per partition of ``requests``; see ``spread``. Calls, tokens and
+    cost are observed on the rows as they are written, for the backend's meter.
     """
     fn, rows = backend.fn, backend.rows_per_call
 
@@ -110,9 +164,20 @@ def run_model(requests: DataFrame, backend: Backend) -> DataFrame:
                 for start in range(0, len(pdf), step):
                     yield pdf.iloc[start:start + step]
         for reply in fn(chunks()):
-            yield reply[["custom_id", "content"]]
-
-    return materialize(requests.mapInPandas(call, REPLY), "replies")
+            reply = reply.reindex(columns=REPLY.names)
+            yield reply.astype({c: "Int64" for c in USAGE} | {"batch_id": object})
+
+    started = time.perf_counter()
+    replies, seen = requests.mapInPandas(call, REPLY), Observation()
+    if backend.meter is not None:
+        dollars = request_cost(F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read_input_tokens"),
+                               batch=backend.batch, price=backend.price)
+        replies = replies.observe(seen, F.count("*").alias("n_calls"), *[F.sum(c).alias(c) for c in USAGE],
+                                  F.sum(dollars).alias("total_cost_usd"), F.collect_set("batch_id").alias("batch_ids"))
+    replies = materialize(replies, "replies")
+    if backend.meter is not None:
+        backend.meter.add(kind, seen.get, time.perf_counter() - started)
+    return replies
 
 
 class MissingReplies(RuntimeError):
@@ -125,15 +190,15 @@ def keyed_documents(docs: DataFrame, fractions: list[float], *, model_tag: str,
 
     Fractions of 1 or more stand for the document itself: key "raw", no request.
     """
-    # Words and digest are taken once per document, below the explode.
-    counted = docs.select("doc_id", "text", X.word_count("text", at_least_one=True).alias("source_words"),
+    # Words and digest are taken once per document, below the explode. A null text counts as empty.
+    counted = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", X.word_count("text", at_least_one=True).alias("source_words"),
                           X.doc_digest("text").alias("_digest"))
     swept = counted.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     asked = F.greatest(F.lit(X.MIN_TARGET_WORDS), F.ceil(F.col("fraction") * F.col("source_words")).cast("int"))
     is_raw = F.col("fraction") >= 1.0
     sized = swept.withColumn("target_words", F.when(is_raw, F.col("source_words")).otherwise(asked))
     key = X.summary_key(digest="_digest", target="target_words", model_tag=model_tag,
-                        prompt_version=prompts.version, temperature=temperature, seed=seed)
+                        prompt_version=prompts.cache_version, temperature=temperature, seed=seed)
     return sized.withColumn("cache_key", F.when(is_raw, F.lit(RAW_KEY)).otherwise(key)).drop("_digest")
 
 
@@ -160,14 +225,23 @@ def summarize(docs: DataFrame, fractions: float | list[float], *, backend: Backe
     if all(f >= 1.0 for f in fractions):
         return raw
     known = caches.read_summaries(spark, cache_path, model_tag, prompts.version)
-    wanted = keyed.where(F.col("cache_key") != RAW_KEY)
-    ids = materialize(wanted.select("doc_id", "fraction", "cache_key", "target_words", "source_words"), "summary-keys")
+    ids = materialize(keyed.where(F.col("cache_key") != RAW_KEY).select(
+        "doc_id", "fraction", "cache_key", "target_words", "source_words", F.monotonically_increasing_id().alias("_row")), "summary-keys")
     # Narrow keys meet the cache first; texts are fetched only for what it lacks. Rows of a key share text and lengths.
-    keys = ids.groupBy("cache_key").agg(*[F.min(c).alias(c) for c in ("doc_id", "fraction", "target_words", "source_words")])
+    keys = ids.groupBy("cache_key").agg(F.min(F.xxhash64("doc_id")).alias("_place"), *[
+        F.min(c).alias(c) for c in ("fraction", "target_words", "source_words")])
+    keys = materialize(keys, "summary-distinct-keys")
     lacking = materialize(missing_keys(keys, known), "summary-misses-keys")
-    fetched = lacking.join(docs.select("doc_id", "text"), "doc_id")
-    misses = materialize(first_per_key(fetched, "cache_key").drop("doc_id"), "summary-misses")
-    replies = run_model(summary_requests(spread(misses, backend, "cache_key"), prompts), backend)
+
+    def key(digest: Column) -> Column:
+        return X.summary_key(digest=digest, target="target_words", model_tag=model_tag, prompt_version=prompts.cache_version,
+                             temperature=temperature, seed=seed)
+
+    misses = materialize(fetch_texts(docs, lacking, key, backend), "summary-misses")
+    _same_number(lacking, misses)
+    requests = with_options(summary_requests(spread(misses, backend, "cache_key"), prompts), model=model_tag,
+                            temperature=temperature, seed=seed, num_ctx=backend.num_ctx)
+    replies = run_model(requests, backend, "summarize")
 
     answered = misses.join(replies.withColumnRenamed("custom_id", "cache_key"), "cache_key")
     fresh = answered.where(F.col("content").isNotNull()).select(
@@ -175,18 +249,39 @@ def summarize(docs: DataFrame, fractions: float | list[float], *, backend: Backe
         "source_words", "fraction", F.lit(float(temperature)).alias("temperature"), F.lit(int(seed)).alias("seed"),
         F.lit(model_tag).alias("model_tag"), F.lit(prompts.version).alias("prompt_version"))
     fresh = materialize(fresh, "summaries")
+    # Which keys were there before is settled before the cache grows.
+    hits = materialize(caches.lookup(keys.join(lacking, "cache_key", "left_anti"), known, "text").withColumnRenamed("text", "summary"), "summary-hits")
     caches.append_summaries(fresh, cache_path)
     lost = misses.count() - fresh.count()
     if lost:
         raise MissingReplies(f"{lost} summaries missing; some requests failed or expired")
 
-    hits = known.select("cache_key", F.col("text").alias("summary")).dropDuplicates(["cache_key"])
     made = fresh.select("cache_key", F.col("text").alias("summary"))
     texts = hits.withColumn("cache_hit", F.lit(True)).unionByName(made.withColumn("cache_hit", F.lit(False)))
-    done = fan_out_join(ids, texts, "cache_key", "doc_id")
+    done = fan_out_join(ids, texts, "cache_key", "_row").drop("_row")
     return raw.unionByName(done)
 
 
+def fetch_texts(docs: DataFrame, lacking: DataFrame, key: Callable[[Column], Column], backend: Backend | None = None,
+                tasks: int | None = None) -> DataFrame:
+    """``lacking`` (unique ``cache_key``, ``_place``: a hash of the id of a document that has it) with the text of each key.
+
+    A place only finds candidates: ids may be null, repeated, or share a hash.
+    What a text is a text of is told by its key, made anew from its digest.
+    """
+    named = docs.select(F.xxhash64("doc_id").alias("_place"), F.coalesce("text", F.lit("")).alias("text"))
+    found = named.join(lacking, "_place").where(F.col("cache_key") == key(X.doc_digest("text"))).drop("_place")
+    tasks = tasks or (_tasks(docs, backend) if backend else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Copies of a text under one id meet in the task that will send it.
+    return found.repartition(tasks, "cache_key").dropDuplicates(["cache_key"])
+
+
+def _same_number(lacking: DataFrame, fetched: DataFrame) -> None:
+    wanted, got = lacking.count(), fetched.count()
+    if wanted != got:
+        raise RuntimeError(f"{wanted} keys lack a result but {got} texts were found for them; did the documents change meanwhile?")
+
+
 def join_replies(requests: DataFrame, replies: DataFrame, strict: bool = False) -> DataFrame:
     """Requests with their reply by id. Without a reply: null content, or an error when strict."""
     joined = requests.join(replies.select("custom_id", "content"), "custom_id", "left")
@@ -204,26 +299,51 @@ def parse_predictions(replies: DataFrame, labels: DataFrame) -> DataFrame:
     return said.join(dim, said["_said"] == dim["pred_label"], "left").drop("_said")
 
 
-def classify(texts: DataFrame, labels: DataFrame, *, backend: Backend, prompts: PromptSet,
-             examples_block: str = "", prompt_tokens: Callable[[Column], Column] | None = None,
-             num_ctx: int = 16384, max_ctx: int | None = None) -> DataFrame:
-    """``doc_id, pred_label, pred_idx`` for each ``doc_id, text``; null where the reply does not parse.
+def classify_requests(texts: DataFrame, labels: DataFrame, *, backend: Backend, prompts: PromptSet, examples_block: str = "",
+                      model: str | None = None, temperature: float = 0.0, seed: int = 0) -> DataFrame:
+    """Requests to classify each ``doc_id, text``, spread over tasks of one context window each.
 
-    With ``prompt_tokens`` the context needed is checked first; a prompt that
-    does not fit fails the job before any request is made.
+    Where the backend counts prompt tokens, each request names the window that
+    its prompt needs; a prompt that fits none fails the job before any request.
     """
     cats = categories_block(labels).first()
     prompt = classify_prompt(prompts.classify, n_categories=cats["n_categories"],
-                             categories_block=cats["categories_block"], text=F.col("text"),
-                             examples_block=examples_block)
-    if prompt_tokens is not None:
-        budget = X.context_budget(prompt_tokens(prompt), num_ctx=num_ctx, max_ctx=max_ctx)
-        worst = texts.agg(F.max(budget["required"]).alias("n"), F.count_if(budget["overflow"]).alias("over")).first()
-        if worst["over"]:
-            raise ValueError(f"{worst['over']} prompts exceed the context ceiling; the longest needs {worst['n']} tokens")
-    requests = chat_requests(spread(texts, backend, "doc_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")), prompt)
-    replies = run_model(requests, backend)
-    ids = texts.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("custom_id"))
+                             categories_block=cats["categories_block"], text=F.col("text"), examples_block=examples_block)
+    if backend.prompt_tokens is None:
+        placed = spread(texts.withColumn("num_ctx", F.lit(int(backend.num_ctx)).cast("long")), backend, "doc_id")
+    else:
+        budget = X.context_budget(backend.prompt_tokens(prompt), num_ctx=backend.num_ctx, max_ctx=backend.max_ctx)
+        sized = texts.select("*", budget.alias("_b")).select(*texts.columns, F.col("_b.num_ctx").alias("num_ctx"), "_b")
+        windows = sized.groupBy("num_ctx").agg(F.count("*").alias("n"), F.max("_b.required").alias("most"),
+                                               F.count_if("_b.overflow").alias("over")).collect()
+        over = sum(w["over"] for w in windows)
+        if over:
+            raise ValueError(f"{over} prompts exceed the context ceiling; the longest needs {max(w['most'] for w in windows)} tokens")
+        placed = spread_by_window(sized.drop("_b"), backend, "doc_id", {w["num_ctx"]: w["n"] for w in windows})
+    message = F.struct(F.lit("user").alias("role"), prompt.alias("content"))
+    requests = placed.select(request_id("doc_id").alias("custom_id"), F.lit(None).cast("string").alias("prompt"), F.array(message).alias("messages"),
+                             F.lit(CLASSIFY_MAX_TOKENS).alias("max_tokens"), "num_ctx")
+    return with_options(requests, model=model, temperature=temperature, seed=seed, num_ctx=F.col("num_ctx"))
+
+
+def request_id(doc_id: str) -> Column:
+    return F.concat(F.lit("doc"), F.col(doc_id).cast("string"))
+
+
+def classify(texts: DataFrame, labels: DataFrame, *, backend: Backend, prompts: PromptSet, examples_block: str = "",
+             prompt_tokens: Callable[[Column], Column] | None = None, num_ctx: int | None = None, max_ctx: int | None = None,
+             model: str | None = None, temperature: float = 0.0, seed: int = 0) -> DataFrame:
+    """``doc_id, pred_label, pred_idx`` for each ``doc_id, text``; null where the reply does not parse.
+
+    ``prompt_tokens``, ``num_ctx`` and ``max_ctx`` stand in for the backend's.
+    Ids are unique and not null here: a reply is handed back by id.
+    """
+    given = {"prompt_tokens": prompt_tokens, "num_ctx": num_ctx, "max_ctx": max_ctx}
+    backend = replace(backend, **{k: v for k, v in given.items() if v is not None})
+    requests = classify_requests(texts, labels, backend=backend, prompts=prompts, examples_block=examples_block,
+                                 model=model, temperature=temperature, seed=seed)
+    replies = run_model(requests, backend, "classify")
+    ids = texts.select("doc_id", request_id("doc_id").alias("custom_id"))
     return parse_predictions(join_replies(ids, replies), labels).select("doc_id", "pred_label", "pred_idx")
 
 
@@ -252,12 +372,17 @@ def embed(docs: DataFrame, encoder: EncoderFn, *, model_id: str, cache_path: str
     Only documents whose key is not cached are encoded, each distinct text once.
     """
     spark = docs.sparkSession
-    key = X.embedding_key(digest=X.doc_digest("text"), model_id=model_id, prefix=prefix, normalize=normalize)
-    keyed = docs.select("doc_id", "text", key.alias("cache_key"))
+
+    def key(digest: Column) -> Column:
+        return X.embedding_key(digest=digest, model_id=model_id, prefix=prefix, normalize=normalize)
+
     known = caches.read_embeddings(spark, cache_path, model_id)
-    ids = materialize(keyed.select("doc_id", "cache_key"), "embedding-keys")
-    lacking = materialize(missing_keys(ids.groupBy("cache_key").agg(F.min("doc_id").alias("doc_id")), known), "embedding-misses")
-    misses = first_per_key(lacking.join(docs.select("doc_id", "text"), "doc_id"), "cache_key")
+    digest = X.doc_digest(F.coalesce("text", F.lit("")))
+    ids = materialize(docs.select("doc_id", key(digest).alias("cache_key"), F.monotonically_increasing_id().alias("_row")), "embedding-keys")
+    keys = materialize(ids.groupBy("cache_key").agg(F.min(F.xxhash64("doc_id")).alias("_place")), "embedding-distinct-keys")
+    lacking = materialize(missing_keys(keys, known), "embedding-misses-keys")
+    misses = materialize(fetch_texts(docs, lacking, key, tasks=tasks), "embedding-misses")
+    _same_number(lacking, misses)
     inputs = misses.select("cache_key", X.with_prefix("text", prefix).alias("text"))
     inputs = inputs.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "cache_key")
     vectors = inputs.mapInPandas(encoder, VECTOR)
@@ -266,7 +391,8 @@ def embed(docs: DataFrame, encoder: EncoderFn, *, model_id: str, cache_path: str
     fresh = materialize(vectors.select(
         "cache_key", "embedding", F.lit(prefix).alias("passage_prefix"), F.lit(normalize).alias("normalize_embeddings"),
         F.lit(model_id).alias("model_id")), "embeddings")
+    hits = materialize(caches.lookup(keys.join(lacking, "cache_key", "left_anti"), known, "embedding"), "embedding-hits")
     caches.append_embeddings(fresh, cache_path)
-    hits = known.select("cache_key", "embedding").dropDuplicates(["cache_key"]).withColumn("cache_hit", F.lit(True))
-    both = hits.unionByName(fresh.select("cache_key", "embedding").withColumn("cache_hit", F.lit(False)))
-    return fan_out_join(ids, both, "cache_key", "doc_id").drop("cache_key")
+    both = hits.withColumn("cache_hit", F.lit(True)).unionByName(
+        fresh.select("cache_key", "embedding").withColumn("cache_hit", F.lit(False)))
+    return fan_out_join(ids, both, "cache_key", "_row").drop("cache_key", "_row")

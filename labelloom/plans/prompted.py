@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import time
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.functions.prompts import PROMPTS, PromptSet, examples_block
 from labelloom.functions.text import word_count
 from labelloom.operators import evaluation as E
-from labelloom.operators.inference import Backend, classify, summarize
+from labelloom.operators.inference import Backend, Meter, classify, summarize
 from labelloom.operators.profile import corpus_fingerprint
 from labelloom.operators.sampling import first_rows, pick_per_class, stratified_split
 from labelloom.session import materialize
@@ -143,7 +142,8 @@ def score_rows(test: DataFrame, settings: PromptedSettings, backend: Backend, fo
     summaries = summaries_of(test, settings, backend, folders)
     summaries = materialize(summaries.select("doc_id", "summary", "source_words"), "test-summaries")
     preds = classify(summaries.select("doc_id", F.col("summary").alias("text")), labels, backend=backend,
-                     prompts=settings.prompt_set, examples_block=block)
+                     prompts=settings.prompt_set, examples_block=block, model=settings.tag,
+                     temperature=settings.temperature, seed=settings.model_seed)
     return store_rows(test, summaries, preds, settings)
 
 
@@ -162,14 +162,16 @@ def store_rows(docs: DataFrame, summaries: DataFrame, preds: DataFrame, settings
 
 
 def run_prompted(corpus: DataFrame, settings: PromptedSettings, backend: Backend, folders: Folders) -> dict:
-    """Classify the whole held-out part once; returns the run record that was written."""
+    """Classify the whole held-out part once; returns the run record that was written.
+
+    ``elapsed_s`` is the time of the classification calls alone; usage counts every call of the run.
+    """
     spark = corpus.sparkSession
+    backend = replace(backend, meter=Meter())
     labels, train, test = prepare(corpus, settings)
     test = materialize(test, "test-docs")
     block, example_ids = example_text(train, settings, backend, folders)
-    started = time.perf_counter()
     rows = materialize(score_rows(test, settings, backend, folders, labels, block), "predictions")
-    elapsed = time.perf_counter() - started
     m = E.store_metrics(rows).first()
     mean_words = rows.agg(F.avg("summary_words").alias("w")).first()["w"]
     record = {
@@ -179,7 +181,8 @@ def run_prompted(corpus: DataFrame, settings: PromptedSettings, backend: Backend
         "prompts": {"name": settings.prompts, "version": settings.prompt_set.version},
         "few_shot": {"n_per_category": settings.shots, "example_train_indices": example_ids},
         "llm": {"provider": settings.provider, "tag": settings.tag, "fraction": settings.fraction,
-                "n_unparseable": m["n_unparseable"], "mean_summary_words": mean_words, "elapsed_s": elapsed},
+                "n_unparseable": m["n_unparseable"], "mean_summary_words": mean_words,
+                "elapsed_s": backend.meter.seconds.get("classify", 0.0), "usage": backend.meter.usage()},
     }
     write_run(spark, f"{folders.runs.rstrip('/')}/{settings.run_name}", record, config=asdict(settings), labels=labels,
               report=E.full_report(rows, labels), confusion=E.confusion_matrix(rows, labels))

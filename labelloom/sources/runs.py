@@ -116,6 +116,13 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     return parse_runs_strict(read_files(spark, f"{root}/*/{RECORD_FILE}"))
 
 
+def run_usage(spark: SparkSession, root: str) -> DataFrame:
+    """``run`` and the usage of its model calls, for every record below a root and its stores that has any."""
+    files = read_files(spark, f"{root}/*/{RECORD_FILE}").unionByName(read_files(spark, f"{root}/_stores/*/{RECORD_FILE}"))
+    r = files.select(_run_name(RECORD_FILE).alias("run"), F.from_json("value", RUN_RECORD).alias("r")).where("r.llm.usage is not null")
+    return r.select("run", "r.llm.usage.*")
+
+
 @F.pandas_udf(T.StringType())
 def yaml_to_json(text: pd.Series) -> pd.Series:
     """A YAML mapping as JSON text; anything else, or malformed YAML, as an empty object.

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.functions.prompts import ZERO_SHOT
 from labelloom.sources.corpus import label_dictionary, with_label_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +57,7 @@ def sql_target(text: str, fraction: str) -> str:
     return f"greatest(8, CAST(ceil(CAST({fraction} AS DOUBLE) * greatest(1, {sql_word_count(text)})) AS INTEGER))"
 
 
-def sql_summary_key(text: str, target: str, model_tag: str = "double:lead-words", version: str = "v1") -> str:
+def sql_summary_key(text: str, target: str, model_tag: str = "double:lead-words", version: str = ZERO_SHOT.cache_version) -> str:
     sep = "chr(1)"
     return (f"substr(sha1(concat_ws({sep}, '{version}', '{model_tag}', substr(sha1({text}), 1, 16), "
             f"CAST({target} AS VARCHAR), '0.0', '0')), 1, 24)")

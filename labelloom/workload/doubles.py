@@ -20,11 +20,10 @@ _TARGET = re.compile(r"approximately (\d+) words")
 def _reply(prompt: str | None, messages) -> str:
     if prompt is not None:
         k = int(_TARGET.search(prompt).group(1))
-        body = prompt.split("POST:\n", 1)[1].rsplit("\n\nSUMMARY:", 1)[0]
-        return "  " + " ".join(body.split()[:k]) + "\n"
+        return "  " + " ".join(_post(prompt, messages).split()[:k]) + "\n"
     body = messages[-1]["content"]
     names = [line[2:] for line in body.split("Categories:\n", 1)[1].split("\n\n", 1)[0].split("\n")]
-    text = body.rsplit("POST:\n", 1)[1].rsplit("\n\n", 1)[0]
+    text = _post(prompt, messages)
     h = hashlib.sha1(text.encode()).hexdigest()
     if h[0] == "0":
         return "I am not sure"
@@ -33,11 +32,21 @@ def _reply(prompt: str | None, messages) -> str:
     return '{"category": "' + names[int(h[1:5], 16) % len(names)] + '"}'
 
 
+def _post(prompt: str | None, messages) -> str:
+    if prompt is not None:
+        return prompt.split("POST:\n", 1)[1].rsplit("\n\nSUMMARY:", 1)[0]
+    return messages[-1]["content"].rsplit("POST:\n", 1)[1].rsplit("\n\n", 1)[0]
+
+
 def lead_words(batches):
-    """Summaries are the leading words; classes follow the digest of the text, a few replies do not parse."""
+    """Summaries are the leading words; classes follow the digest of the text, a few replies do not parse.
+
+    Every character of the post and of the reply counts as a token.
+    """
     for pdf in batches:
         content = [_reply(p, m) for p, m in zip(pdf["prompt"], pdf["messages"])]
-        yield pd.DataFrame({"custom_id": pdf["custom_id"], "content": content})
+        asked = [len(_post(p, m)) for p, m in zip(pdf["prompt"], pdf["messages"])]
+        yield pd.DataFrame({"custom_id": pdf["custom_id"], "content": content, "input_tokens": asked, "output_tokens": [len(c) for c in content]})
 
 
 def dropping(batches):
@@ -46,6 +55,14 @@ def dropping(batches):
         yield pdf[~pdf["custom_id"].str[0].isin(list("0123"))]
 
 
+def window_teller(batches):
+    """Replies name the request's context window, and how many windows the task has seen so far."""
+    seen = set()
+    for pdf in batches:
+        seen.update(pdf["num_ctx"].tolist())
+        yield pd.DataFrame({"custom_id": pdf["custom_id"], "content": [f"{n}|{len(seen)}" for n in pdf["num_ctx"]]})
+
+
 def digest_encoder(batches):
     """Eight numbers from the MD5 of the text."""
     for pdf in batches:

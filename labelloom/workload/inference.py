@@ -19,7 +19,7 @@ from labelloom.workload.base import (
     SQL_LANG_DIM, SQL_PREDS, SQL_SOURCE_DIM, SQL_WS, corpus, lang_labels, predictions, query, source_labels,
     sql_summary_key, sql_target, sql_word_count, sql_words, table,
 )
-from labelloom.workload.doubles import TAG, digest_encoder, lead_backend
+from labelloom.workload.doubles import TAG, digest_encoder, lead_backend, window_teller
 from labelloom.workload.sampling import sql_rank, sql_split
 
 FRACTION = 0.25
@@ -253,6 +253,24 @@ def i02_again(spark, sf):
     return prompted.summaries_of(d, _settings(), lead_backend(), folders).select("doc_id", "summary", "cache_hit")
 
 
+# Ids that many documents share, and some that are null.
+SQL_ODD_ID = "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 50 END"
+
+
+def _odd_ids(d):
+    return d.withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 50))
+
+
+@query("i02_repeated_and_null_ids", f"""
+WITH keyed AS (SELECT doc_id AS id, {SQL_ODD_ID} AS doc_id, text, {KEY} AS cache_key FROM documents)
+SELECT doc_id, {sql_lead('text')} AS summary, cache_key, cache_key IN (SELECT cache_key FROM keyed WHERE id % 3 = 0) AS cache_hit FROM keyed""")
+def i02_odd(spark, sf):
+    """Every document gets the summary of its own text, from the model or from the cache, whatever its id."""
+    folders, d = _folders(spark), corpus(spark, sf)
+    prompted.summaries_of(_odd_ids(d.where(F.col("doc_id") % 3 == 0)), _settings(), lead_backend(), folders)
+    return prompted.summaries_of(_odd_ids(d), _settings(), lead_backend(), folders).select("doc_id", "summary", "cache_key", "cache_hit")
+
+
 @query("s20_summary_cache", f"""
 SELECT {KEY} AS cache_key, min({sql_lead('text')}) AS text, min(substr(sha1(text), 1, 16)) AS doc_sha1,
   min({sql_target('text', '0.25')}) AS target_words, '{TAG}' AS model_tag, 'v1' AS prompt_version FROM documents GROUP BY 1""")
@@ -368,6 +386,41 @@ def i07(spark, sf):
                     "n_unparseable")
 
 
+def sql_usage(summarized, classified):
+    """Calls, characters asked and answered, and their price, for tables of distinct (text, summary) and of (summary, pred_idx)."""
+    return f"""said AS (SELECT length(text) AS i, length(summary) + 3 AS o FROM {summarized} UNION ALL
+SELECT length(summary), CASE substr(sha1(summary), 1, 1) WHEN '0' THEN 13 WHEN '1' THEN 29 ELSE 16 + length(s.label_name) END
+  FROM {classified} c LEFT JOIN source_dim s ON s.label_idx = c.pred_idx)
+SELECT count(*) AS n_calls, CAST(coalesce(sum(i), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(o), 0) AS BIGINT) AS output_tokens,
+  round(coalesce(sum(i / 1e6 * 3.0 + o / 1e6 * 15.0), 0), 6)::DOUBLE AS total_cost_usd FROM said"""
+
+
+@query("i07_run_usage", f"""
+WITH {sql_run(1)}, examples AS (SELECT text FROM (SELECT text, {sql_rank('split_docs', 0)} AS rn FROM split_docs WHERE split = 'train') WHERE rn <= 1),
+summarized AS (SELECT DISTINCT text, {sql_lead('text')} AS summary FROM (SELECT text FROM examples UNION ALL SELECT text FROM test_docs)),
+{sql_usage('summarized', 'guessed')}""")
+def i07_usage(spark, sf):
+    """Calls, tokens and cost as the run record has them: of examples, summaries and classifications."""
+    from labelloom.sources.runs import run_usage
+    folders = _folders(spark)
+    prompted.run_prompted(corpus(spark, sf), _settings(shots=1, prompts="few_shot_v1"), lead_backend(), folders)
+    return run_usage(spark, folders.runs).select("n_calls", "input_tokens", "output_tokens", "total_cost_usd")
+
+
+@query("i08_run_usage", f"""
+WITH {sql_run()}, grown AS (SELECT g.*, row_number() OVER (PARTITION BY label_name ORDER BY md5(concat('42|', label_name, '|', doc_id)), doc_id) AS rn
+  FROM guessed g), classified AS (SELECT * FROM grown WHERE rn > 2 AND rn <= 5),
+summarized AS (SELECT DISTINCT text, summary FROM classified WHERE text NOT IN (SELECT text FROM grown WHERE rn <= 2)),
+{sql_usage('summarized', 'classified')}""")
+def i08_usage(spark, sf):
+    """Usage of the second of two runs over a growing store kept as Parquet: only what is new was asked."""
+    from labelloom.sources.runs import run_usage
+    folders, d = _folders(spark), corpus(spark, sf)
+    for n in (2, 5):
+        incremental.run_incremental(d, _settings(test_per_category=n, strict=False), lead_backend(), folders, fmt="parquet")
+    return run_usage(spark, folders.runs).select("n_calls", "input_tokens", "output_tokens", "total_cost_usd")
+
+
 @query("i08_incremental_run", f"""
 WITH {sql_run()}, ranked AS (SELECT r.*, row_number() OVER (PARTITION BY true_label
     ORDER BY md5(concat('42|', true_label, '|', test_idx)), test_idx) AS rn FROM store_rows r),
@@ -386,11 +439,40 @@ def i08(spark, sf):
 
 @query("i12_conversation_requests", """
 SELECT 'conv' || conv_id AS custom_id, count(*) AS n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript,
-  1024 AS max_tokens FROM conversations GROUP BY conv_id""")
+  1024 AS max_tokens, 'm:7b' AS model, 0.2::DOUBLE AS temperature, 3 AS seed, CAST(8192 AS BIGINT) AS num_ctx FROM conversations GROUP BY conv_id""")
 def i12(spark, sf):
-    r = I.conversation_requests(table(spark, sf, "conversations"))
+    r = I.conversation_requests(table(spark, sf, "conversations"), model="m:7b", temperature=0.2, seed=3, num_ctx=8192)
     shown = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
-    return r.select("custom_id", F.size("messages").cast("long").alias("n_messages"), F.array_join(shown, "\n").alias("transcript"), "max_tokens")
+    return r.select("custom_id", F.size("messages").cast("long").alias("n_messages"), F.array_join(shown, "\n").alias("transcript"), "max_tokens",
+                    "model", "temperature", "seed", "num_ctx")
+
+
+_TEMPLATE_CHARS = len(P.ZERO_SHOT.classify.format(n_categories="", categories_block="", text=""))
+# The window of each document's prompt, by four characters a token, from 256 tokens up.
+SQL_WINDOWS = f"""{SQL_LANG_DIM}, asked AS (SELECT doc_id, text, ({_TEMPLATE_CHARS} + length(text) + (SELECT length(count(*)::VARCHAR)
+    + length(string_agg('- ' || label_name, chr(10))) FROM lang_dim)) // 4 + 64 AS required FROM documents),
+windows AS (SELECT doc_id, text, CASE WHEN required <= 256 THEN 256 ELSE CAST(pow(2, ceil(log2(required))) AS BIGINT) END AS num_ctx FROM asked)"""
+
+
+def _windowed(spark, sf):
+    backend = I.Backend("windows", window_teller, num_ctx=256, prompt_tokens=X.approx_tokens)
+    requests = I.classify_requests(corpus(spark, sf), lang_labels(spark, sf), backend=backend, prompts=P.ZERO_SHOT,
+                                   model=TAG, temperature=0.5, seed=7)
+    return backend, requests
+
+
+@query("i12_classify_requests", f"""
+WITH {SQL_WINDOWS} SELECT 'doc' || doc_id AS custom_id, 64 AS max_tokens, '{TAG}' AS model, 0.5::DOUBLE AS temperature, 7 AS seed, num_ctx FROM windows""")
+def i12_classify(spark, sf):
+    return _windowed(spark, sf)[1].select("custom_id", "max_tokens", "model", "temperature", "seed", "num_ctx")
+
+
+@query("i04_context_windows", f"WITH {SQL_WINDOWS} SELECT 'doc' || doc_id AS custom_id, num_ctx, 1 AS windows_in_task FROM windows")
+def i04_windows(spark, sf):
+    """The window that each request reached the backend with, and the most windows that a task has seen until then (one)."""
+    backend, requests = _windowed(spark, sf)
+    said = F.split("content", "[|]")
+    return I.run_model(requests, backend).select("custom_id", said[0].cast("long").alias("num_ctx"), said[1].cast("int").alias("windows_in_task"))
 
 
 @query("i12_summary_requests", f"""
@@ -448,6 +530,24 @@ def m06(spark, sf):
     return caches.embedding_info(I.embed(corpus(spark, sf), digest_encoder, model_id="double:md5", cache_path=path, prefix="p: "))
 
 
+def sql_byte_order(text):
+    """Places of the first eight bytes of an MD5, greatest byte first."""
+    values = ", ".join(f"{{'v': -CAST('0x' || substr(md5({text}), {2 * i + 1}, 2) AS INTEGER), 'i': {i}}}" for i in range(8))
+    return f"array_to_string(list_transform(list_sort([{values}]), lambda x: x.i), ',')"
+
+
+@query("m06_vectors_by_any_id", f"""
+SELECT {SQL_ODD_ID} AS doc_id, {sql_byte_order("'p: ' || text")} AS places,
+  sha1(text) IN (SELECT sha1(text) FROM documents WHERE doc_id % 2 = 0) AS cache_hit FROM documents""")
+def m06_vectors(spark, sf):
+    """The order of each vector's components, new and from the cache, where ids are repeated or null."""
+    path, d = fresh_path(spark, "embeddings"), corpus(spark, sf)
+    I.embed(_odd_ids(d.where(F.col("doc_id") % 2 == 0)), digest_encoder, model_id="double:md5", cache_path=path, prefix="p: ")
+    out = I.embed(_odd_ids(d), digest_encoder, model_id="double:md5", cache_path=path, prefix="p: ")
+    order = F.array_sort(F.transform("embedding", lambda x, i: F.struct((-x).alias("v"), i.alias("i"))))
+    return out.select("doc_id", F.array_join(F.transform(order, lambda e: e["i"].cast("string")), ",").alias("places"), "cache_hit")
+
+
 @query("s21_embedding_cache", """
 SELECT doc_id, sha1('p: ' || text) IN (SELECT sha1('p: ' || text) FROM documents WHERE doc_id % 2 = 0) AS cache_hit FROM documents""")
 def s21(spark, sf):
@@ -493,17 +593,32 @@ def s10(spark, sf):
                      F.count_if(has_all).alias("n_full"))
 
 
+@query("s10_append_twice", f"""
+WITH {SQL_PREDS} SELECT fmt, count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids FROM preds, (SELECT unnest(['json', 'parquet']) AS fmt) GROUP BY fmt""")
+def s10_twice(spark, sf):
+    """Two batches, each of them appended twice: every row is there once."""
+    rows, out = materialize(_store_rows(spark, sf), "store-rows"), []
+    for fmt in ("json", "parquet"):
+        path = fresh_path(spark, "store")
+        for batch in ("even", "odd", "even", "odd"):
+            store.append_batch(rows.where(F.col("test_idx") % 2 == int(batch == "odd")), path, batch, fmt)
+        out.append(store.read_store(spark, path, fmt=fmt).select(F.lit(fmt).alias("fmt"), "test_idx"))
+    both = out[0].unionByName(out[1])
+    return both.groupBy("fmt").agg(F.count("*").alias("n_rows"), F.count_distinct("test_idx").alias("n_ids"))
+
+
 @query("s22_list_stores", """
-SELECT lang, count(*) AS n, lang = (SELECT max(lang) FROM documents) AS is_newest FROM documents GROUP BY lang""")
+SELECT lang, count(*) AS n, lang IS NOT DISTINCT FROM (SELECT max(lang) FROM documents) AS is_newest FROM documents GROUP BY lang""")
 def s22(spark, sf):
     import time
     root, rows = fresh_path(spark, "stores"), table(spark, sf, "documents").select("doc_id", "lang")
-    for lang in sorted(r["lang"] for r in rows.select("lang").distinct().collect()):  # one store a language
-        store.append_store(rows.where(F.col("lang") == lang), f"{root}/{lang}")
+    langs = [r["lang"] for r in rows.select("lang").distinct().collect()]
+    for lang in sorted(langs, key=lambda x: (x is not None, x)):  # one store a language, that without one first
+        store.append_store(rows.where(F.col("lang").eqNullSafe(lang)), f"{root}/{'-' if lang is None else lang}")
         time.sleep(0.05)
     stores = store.list_stores(spark, f"{root}/*")
     newest = store.newest_store(stores)
-    return stores.select(F.regexp_extract("store", r"([^/]+)$", 1).alias("lang"), "n",
+    return stores.select(F.nullif(F.regexp_extract("store", r"([^/]+)$", 1), F.lit("-")).alias("lang"), "n",
                          (F.col("store") == newest.scalar()).alias("is_newest"))
 
 
@@ -546,6 +661,25 @@ def x01(spark, sf):
     return store.read_store(spark, path, schema)
 
 
+@query("x01_restart_with_repeats", f"""
+WITH {SQL_SOURCE_DIM}, p AS (SELECT doc_id, source, {sql_class('text', '(SELECT count(*) FROM source_dim)')} AS pred_idx FROM documents)
+SELECT doc_id AS test_idx, s.label_name AS pred_label, pred_idx FROM p LEFT JOIN source_dim s ON s.label_idx = pred_idx""")
+def x01_restart(spark, sf):
+    """A third of the documents arrives, then all of them; the stream is stopped between and goes on from its checkpoint."""
+    labels, path, inbox, checkpoint = source_labels(spark, sf), *(fresh_path(spark, n) for n in ("store", "inbox", "stream"))
+    docs, schema = table(spark, sf, "documents"), score_schema()
+
+    def score(batch):
+        preds = I.classify(batch.select("doc_id", "text"), labels, backend=lead_backend(), prompts=P.ZERO_SHOT)
+        return preds.withColumnRenamed("doc_id", "test_idx")
+
+    for part in (docs.where("doc_id % 3 = 0"), docs):
+        part.write.mode("append").parquet(inbox)
+        stream = arrivals.read_arrivals(spark, inbox, docs.schema)
+        arrivals.score_arrivals(stream, score, store_path=path, checkpoint=checkpoint, store_schema=schema).awaitTermination()
+    return store.read_store(spark, path, schema)
+
+
 def score_schema():
     from pyspark.sql import types as T
     return T.StructType([f for f in store.PREDICTION if f.name in ("test_idx", "pred_label", "pred_idx")])

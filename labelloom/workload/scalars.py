@@ -54,7 +54,7 @@ def f03(spark, sf):
 SELECT doc_id, {sql_summary_key("text", sql_target("text", "0.25"), "qwen2.5:7b-instruct")} AS cache_key FROM documents""")
 def f04(spark, sf):
     key = X.summary_key(digest=X.doc_digest("text"), target=X.target_words("text", 0.25),
-                        model_tag="qwen2.5:7b-instruct", prompt_version="v1")
+                        model_tag="qwen2.5:7b-instruct", prompt_version=P.ZERO_SHOT.cache_version)
     return _docs(spark, sf).select("doc_id", key.alias("cache_key"))
 
 
