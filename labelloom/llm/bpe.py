@@ -15,6 +15,7 @@ whole. Decoding null ids gives empty bytes; an id outside the vocabulary fails.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ BLOCK_BYTES = 4 << 20
 # White space of any kind before a space: there a cut at spaces could part white space that belongs together.
 _SPACE_RUN = re.compile(r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _CHUNK = re.compile(r" *[^ ]+| +")
+# Fixed value: the pattern no match of which reaches over a cut at spaces; texts under any other are matched as they are.
+_CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -201,7 +204,7 @@ def gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.nda
 def encoder(rank_file: bytes, pattern: str):
     """A function from texts to a list array of ids; it remembers the pieces it has seen."""
     replay, words_of = MergeReplay(parse_ranks(rank_file)), regex.compile(pattern)
-    state = {}
+    state, cut = {}, pattern == _CUT_AT_SPACES
 
     def fresh():
         state.update(codes=_Codes(), ids=np.empty(0, np.int32), sizes=np.empty(0, np.int64))
@@ -215,7 +218,7 @@ def encoder(rank_file: bytes, pattern: str):
         code_of = codes.__getitem__
         for text in texts:
             if text:
-                seq.extend(map(code_of, (words_of if _SPACE_RUN.search(text) else _CHUNK).findall(text)))
+                seq.extend(map(code_of, (_CHUNK if cut and not _SPACE_RUN.search(text) else words_of).findall(text)))
             ends.append(len(seq))
         if codes.new:
             words = _Codes()
@@ -280,13 +283,32 @@ def decode(df: DataFrame, *, ranks: str, ids: str = "ids", keep: tuple[str, ...]
 
 
 def token_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Count and digest of the ids of each document, and the digest of what they decode to."""
-    encoded = encode(docs, ranks=ranks, pattern=pattern)
-    both = decode(encoded, ranks=ranks, keep=("doc_id", "ids"))
-    return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Count and digest of the ids of each document, and the digest of what they decode to.
+
+    Ids are encoded, told and decoded by one worker: they never leave it.
+    """
+    with open(ranks, "rb") as f:
+        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = encoder(shipped.value, pattern)
+        by_rank = {rank: token for token, rank in parse_ranks(shipped.value).items()}
+        token_of, written = by_rank.__getitem__, {rank: str(rank) for rank in by_rank}.__getitem__
+        for batch in slices(batches, "_text", BLOCK_BYTES):
+            found = work(batch.column("_text").to_pylist())
+            values, ends = found.values.to_numpy(), found.offsets.to_numpy().tolist()
+            told, decoded = [], []
+            for a, b in zip(ends, ends[1:]):
+                ids = values[a:b].tolist()
+                told.append(hashlib.sha256(",".join(map(written, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(token_of, ids))).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(told, pa.string()),
+                                              pa.array(decoded, pa.string())], names)
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                           T.StructField("decoded_sha256", T.StringType())])
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 @query("op6_byte_bpe")

@@ -207,3 +207,25 @@ def test_ties_go_to_the_smaller_id_and_ranks_have_no_gaps(spark):
     got = importance.draw(df, importance.ResampleSettings(percent=50)).collect()
     drawn = sorted((r["rank"], -r.score, r.doc_id) for r in got if r["rank"] is not None)
     assert [d[0] for d in drawn] == list(range(1, 100)) and [d[1:] for d in drawn] == sorted((-r.score, r.doc_id) for r in got if r.doc_id)[:99]
+
+
+# 6: patterns other than the proved one
+
+def test_bpe_under_a_pattern_that_matches_across_spaces(spark):
+    import base64
+
+    import tiktoken
+
+    from labelloom.llm import bpe
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = r"\w+ \w+|\s+|\S+"
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one two three four", "in the end  of it", "", "a b c d e\nf g!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in bpe.encode(docs, ranks=file, pattern=pattern).collect()} == want
+    for r in bpe.token_digests(docs, file, pattern).collect():
+        assert r.n_tokens == len(want[r.doc_id]) and r.ids_sha256 == hashlib.sha256(",".join(map(str, want[r.doc_id])).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
