@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 64
+BUCKETS = 32
 
 SUMMARY = T.StructType([
     T.StructField("cache_key", T.StringType()),
