@@ -144,6 +144,14 @@ def smallest_class(df: DataFrame, label: str = "label_name") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("min_class_count"))
 
 
+SCORINGS = ("accuracy", "f1_macro", "f1_weighted")
+
+
+def check_scoring(scoring: str) -> None:
+    if scoring not in SCORINGS:
+        raise ValueError(f"unknown scoring {scoring!r}; known: {', '.join(SCORINGS)}")
+
+
 def candidate_scores(fold_scores: DataFrame, score: str = "f1_macro") -> DataFrame:
     """Mean and population deviation of each candidate over its folds."""
     return fold_scores.groupBy("candidate").agg(F.avg(score).alias("mean_score"),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.operators.evaluation import metrics
+from labelloom.operators.evaluation import check_scoring, metrics
 from labelloom.session import fresh_path
 
 # The parameter grids of the five classifiers.
@@ -116,12 +116,17 @@ def param_maps(name: str, estimator: Estimator, grid: dict[str, list] | None = N
     return builder.build()
 
 
-class MacroF1(Evaluator):
-    """Held-out macro F1 over the classes seen in truth or prediction."""
+class HeldOut(Evaluator):
+    """A held-out score by name: accuracy, or F1 over the classes seen in truth or prediction."""
+
+    def __init__(self, scoring: str = "f1_macro"):
+        super().__init__()
+        check_scoring(scoring)
+        self.scoring = scoring
 
     def _evaluate(self, dataset: DataFrame) -> float:
         preds = dataset.select(F.col("label").cast("int").alias("true_idx"), F.col("prediction").cast("int").alias("pred_idx"))
-        return float(metrics(preds).first()["f1_macro"])
+        return float(metrics(preds).first()[self.scoring])
 
     def isLargerBetter(self) -> bool:
         return True
@@ -149,7 +154,7 @@ def number_terms(vocab: DataFrame, buckets: int = 4096) -> DataFrame:
 
 
 def sparse_input(features: DataFrame, vocab: DataFrame, docs: DataFrame, n_classes: int,
-                 max_coefficients: int | None = None) -> DataFrame:
+                 max_coefficients: int | None = None, keep: tuple[str, ...] = ("doc_id", "fold")) -> DataFrame:
     """``doc_id, [fold], label, features`` with one sparse vector per document.
 
     ``features``: doc_id, term, weight; ``docs``: doc_id, label_idx, [fold], also
@@ -164,7 +169,7 @@ def sparse_input(features: DataFrame, vocab: DataFrame, docs: DataFrame, n_class
     spark = features.sparkSession
     entries = features.select("doc_id", "term", "weight").join(number_terms(vocab), "term").groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e"))
-    keep = [c for c in ("doc_id", "fold") if c in docs.columns]
+    keep = [c for c in keep if c in docs.columns]
     rows = docs.select(*keep, F.col("label_idx").cast("double").alias("label")).join(entries, "doc_id", "left")
     none = F.array().cast("array<struct<idx:int,weight:double>>")
     e = F.coalesce("e", none)
@@ -186,8 +191,8 @@ class Tuned:
 
 
 def tune(train: DataFrame, name: str, *, n_folds: int, smallest_class: int, grid: dict[str, list] | None = None,
-         parallelism: int = 4) -> Tuned:
-    """Grid search by macro F1 over given folds, then a refit on all rows of the best candidate.
+         parallelism: int = 4, scoring: str = "f1_macro") -> Tuned:
+    """Grid search by ``scoring`` over given folds, then a refit on all rows of the best candidate.
 
     With fewer rows in the smallest class than folds, tuning is skipped and the
     defaults are fitted. ``train`` should be a stored table, as it is read once
@@ -197,7 +202,7 @@ def tune(train: DataFrame, name: str, *, n_folds: int, smallest_class: int, grid
     if smallest_class < n_folds:
         return Tuned(estimator.fit(train), None, None, None)
     maps = param_maps(name, estimator, grid)
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=n_folds,
+    search = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=HeldOut(scoring), numFolds=n_folds,
                             foldCol="fold", parallelism=parallelism).fit(train)
     best = max(range(len(maps)), key=lambda i: (round(search.avgMetrics[i], 9), -i))
     back = {v: k for k, v in MODELS[name].params.items()}
@@ -212,7 +217,8 @@ def predict(model, data: DataFrame) -> DataFrame:
 
 
 def save_model(model, path: str) -> None:
-    PipelineModel(stages=[model]).write().overwrite().save(path)
+    """A fitted model, or the fitted stages of a pipeline in their order."""
+    PipelineModel(stages=model if isinstance(model, list) else [model]).write().overwrite().save(path)
 
 
 def load_model(path: str) -> PipelineModel:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from labelloom.session import small_table
+from labelloom.session import materialize, small_table
 
 # Hash prefix length of a histogram bucket: 16**4 buckets per class.
 BUCKET_DIGITS = 4
@@ -46,17 +46,25 @@ def split_quota(sizes: DataFrame, label: str, test_size: float) -> DataFrame:
     return shared.select(label, "n_class", (F.col("_base") + F.when(place <= short, 1).otherwise(0)).alias("quota"))
 
 
-def hash_cuts(df: DataFrame, quotas: DataFrame, *, label: str, doc_id: str, seed: int) -> DataFrame:
+def hash_histogram(df: DataFrame, *, label: str, doc_id: str, seed: int) -> DataFrame:
+    """``label, _b, _n``: rows per class and hash prefix, at most 16**BUCKET_DIGITS counts a class."""
+    prefix = F.substring(order_hash(seed, label, doc_id), 1, BUCKET_DIGITS)
+    return df.where(F.col(label).isNotNull()).groupBy(label, prefix.alias("_b")).agg(F.count("*").alias("_n"))
+
+
+def hash_cuts(df: DataFrame, quotas: DataFrame, *, label: str, doc_id: str, seed: int, counts: DataFrame | None = None) -> DataFrame:
     """``label, cuts``: where, in each class's hash order, the first ``quota`` rows end.
 
     ``quotas``: label, cut_no, quota. A class is never sorted as a whole. Rows
     are counted per (class, hash prefix); the running sum over at most
     16**BUCKET_DIGITS counts finds the buckets that hold a cut, and only those
-    buckets' rows are ranked. A quota of 0 has no cut.
+    buckets' rows are ranked. A quota of 0 has no cut. ``counts`` may hold the
+    histogram where it is known.
     """
+    if counts is None:
+        counts = hash_histogram(df, label=label, doc_id=doc_id, seed=seed)
     hashed = df.select(label, F.col(doc_id).alias("_id"), order_hash(seed, label, doc_id).alias("_h"))
     hashed = hashed.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    counts = hashed.groupBy(label, "_b").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(W.partitionBy(label).orderBy("_b"))
     edges = (
         counts.withColumn("_upto", upto).join(quotas.select(label, "cut_no", "quota"), label)
@@ -111,12 +119,31 @@ def stratified_folds(df: DataFrame, k: int, *, seed: int = 42, label: str = "lab
 
 def split_and_folds(df: DataFrame, k: int, *, test_size: float = 0.2, seed: int = 42, label: str = "label_name",
                     doc_id: str = "doc_id") -> DataFrame:
-    """Add ``split``, and ``fold`` for the training rows, in one pass over the corpus."""
-    split = stratified_split(df, test_size=test_size, seed=seed, label=label, doc_id=doc_id)
-    train = split.where(F.col("split") == "train")
-    cuts = fold_cuts(train, k, seed=seed, label=label, doc_id=doc_id)
-    placed = cuts_passed(split, cuts, "fold", label=label, doc_id=doc_id, seed=seed)
-    return placed.withColumn("fold", F.when(F.col("split") == "train", F.col("fold")))
+    """Add ``split``, and ``fold`` for the training rows: two passes over the corpus find all cuts.
+
+    The held-out rows are the first of a class in the order that its folds go
+    by, so a fold ends at a rank beyond the held-out ones. One histogram gives
+    the class sizes and the buckets of all cuts, a second pass ranks the rows of
+    those buckets. The result is that of a split followed by its folds.
+    """
+    counts = materialize(hash_histogram(df, label=label, doc_id=doc_id, seed=seed), "hash-histogram")
+    sizes = counts.groupBy(label).agg(F.sum("_n").alias("n_class"))
+    held = small_table(split_quota(sizes, label, test_size))
+    each = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    beyond = F.ceil(F.col("cut_no") * (F.col("n_class") - F.col("quota")) / F.lit(k))  # none for cut 0, the held-out part's
+    quotas = held.withColumn("cut_no", each).select(label, "cut_no", (F.col("quota") + beyond).alias("quota"))
+    cuts = hash_cuts(df, small_table(quotas), label=label, doc_id=doc_id, seed=seed, counts=counts)
+    placed = df.withColumn("_h", order_hash(seed, label, doc_id)).join(cuts, label, "left")
+    passed = F.filter("cuts", lambda c: (F.col("_h") > c["hash"]) | ((F.col("_h") == c["hash"]) & (F.col(doc_id) > c["id"])))
+
+    def has_first(some) -> Column:
+        return F.exists(some, lambda c: c["cut_no"] == 0)
+
+    is_test = F.coalesce(has_first(F.col("cuts")) & ~has_first(F.col("_passed")), F.lit(False))
+    side = F.when(F.col(label).isNotNull(), F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+    fold = F.when(F.col("split") == "train", F.size(F.filter("_passed", lambda c: c["cut_no"] > 0)))
+    placed = placed.withColumn("_passed", passed).withColumn("split", side).withColumn("fold", fold)
+    return placed.select(*df.columns, "split", "fold")
 
 
 def short_classes(df: DataFrame, n: int, label: str = "label_name") -> DataFrame:

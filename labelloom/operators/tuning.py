@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators.bayes import Candidate, fit_bayes, score
-from labelloom.operators.evaluation import best_candidate, candidate_scores, metrics
+from labelloom.operators.evaluation import best_candidate, candidate_scores, check_scoring, metrics
 
 
 def cross_validate_bayes(features: DataFrame, docs: DataFrame, vocab_size: int, candidates: list[Candidate],
@@ -21,9 +21,11 @@ def cross_validate_bayes(features: DataFrame, docs: DataFrame, vocab_size: int,
     return metrics(preds, "candidate", "fold")
 
 
-def tune_bayes(features: DataFrame, docs: DataFrame, vocab_size: int, candidates: list[Candidate], n_folds: int):
-    """The winning candidate with its mean and deviation (one row reaches the driver)."""
-    scores = candidate_scores(cross_validate_bayes(features, docs, vocab_size, candidates, n_folds))
+def tune_bayes(features: DataFrame, docs: DataFrame, vocab_size: int, candidates: list[Candidate], n_folds: int,
+               scoring: str = "f1_macro"):
+    """The winning candidate by ``scoring`` with its mean and deviation (one row reaches the driver)."""
+    check_scoring(scoring)
+    scores = candidate_scores(cross_validate_bayes(features, docs, vocab_size, candidates, n_folds), scoring)
     best = best_candidate(scores).first()
     return candidates[best["candidate"]], best["mean_score"], best["std_score"]
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labelloom.operators import bayes, evaluation as E, models, tuning
 from labelloom.operators.inference import EncoderFn, embed
 from labelloom.operators.sampling import check_split, pick_per_class, stratified_folds, stratified_split
+from labelloom.operators.stages import BayesModel, TfidfModel
 from labelloom.operators.tfidf import TfidfSettings, fit_transform_tfidf, save_vocabulary
 from labelloom.session import materialize
 from labelloom.sources.corpus import label_dictionary, with_label_index
@@ -55,6 +56,7 @@ def run_vector(corpus: DataFrame, settings: VectorSettings, runs: str, *, encode
     """
     spark = corpus.sparkSession
     models.check_compatible(settings.model, encoder is not None)
+    models.check_scoring(settings.scoring)
     labels = label_dictionary(corpus)
     n_classes = labels.count()
     ids = stratified_split(with_label_index(corpus.select("doc_id", "label_name"), labels),
@@ -96,18 +98,22 @@ def run_vector(corpus: DataFrame, settings: VectorSettings, runs: str, *, encode
         candidates = bayes.grid(kind, tuple(spec["alpha"]), tuple(spec.get("norm", (False,))))
         best, mean, std = bayes.Candidate(0, kind), None, None
         if smallest >= settings.n_folds:
-            best, mean, std = tuning.tune_bayes(rows, train, size, candidates, settings.n_folds)
+            best, mean, std = tuning.tune_bayes(rows, train, size, candidates, settings.n_folds, settings.scoring)
             best_params = best.params
         model = bayes.fit_bayes(rows, train, size)
         scored = bayes.score(model, features.join(test.select("doc_id"), "doc_id", "left_semi"), test, [best])
         preds = scored.join(test.select("doc_id", F.col("label_idx").alias("true_idx")), "doc_id")
-        model.terms.write.mode("overwrite").parquet(f"{folder}/best_model/terms")
-        model.classes.write.mode("overwrite").parquet(f"{folder}/best_model/classes")
+        # From text to class, as one model that load_model reads back.
+        models.save_model([TfidfModel(vocab).take(tfidf), BayesModel(model.terms, model.classes, size).take(best)], f"{folder}/best_model")
     else:
         if encoder is None:
-            fit_on = models.sparse_input(features, vocab, train, n_classes)
-            held_out = models.sparse_input(features, vocab, test, n_classes)
-        tuned = models.tune(fit_on, settings.model, n_folds=settings.n_folds, smallest_class=smallest, grid=grid)
+            # One table of vectors for both parts: rows outside the training pick have no fold.
+            sides = train.select("doc_id", "label_idx", "fold", F.lit("train").alias("side")).unionByName(
+                test.select("doc_id", "label_idx", F.lit(None).cast("int").alias("fold"), F.lit("test").alias("side")))
+            vectors = models.sparse_input(features, vocab, sides, n_classes, keep=("doc_id", "fold", "side"))
+            fit_on = vectors.where("side = 'train'").drop("side")
+            held_out = vectors.where("side = 'test'").drop("side", "fold")
+        tuned = models.tune(fit_on, settings.model, n_folds=settings.n_folds, smallest_class=smallest, grid=grid, scoring=settings.scoring)
         best_params, mean, std = tuned.best_params, tuned.best_mean, tuned.best_std
         preds = models.predict(tuned.model, held_out)
         models.save_model(tuned.model, f"{folder}/best_model")

@@ -184,6 +184,15 @@ def w07(spark, sf):
     return best.select("candidate", F.round("mean_score", 6).alias("mean_score"), F.round("std_score", 6).alias("std_score"))
 
 
+@query("w07_best_by_accuracy", sql_nb("complement", B.ALPHAS, (False, True)) + ", " + SQL_FOLD_SCORES + """
+SELECT CAST(candidate AS INTEGER) AS candidate, round(avg(accuracy), 6) AS mean_score, round(stddev_pop(accuracy), 6) AS std_score
+FROM fold_scores GROUP BY candidate ORDER BY round(avg(accuracy), 9) DESC, candidate LIMIT 1""")
+def w07_accuracy(spark, sf):
+    features, v, train, _ = nb_inputs(spark, sf)
+    best, mean, std = U.tune_bayes(features.where(F.col("split") == "train"), train, v, B.grid("complement"), 3, "accuracy")
+    return spark.createDataFrame([(best.number, round(mean, 6), round(std, 6))], "candidate INT, mean_score DOUBLE, std_score DOUBLE")
+
+
 @query("m14_nb_report", sql_nb("multinomial", (0.1,), folds=False) + """,
 sums2 AS (SELECT l.label_idx, l.label_name, count(*) FILTER (true_idx = l.label_idx AND pred_idx = l.label_idx) AS tp,
     count(*) FILTER (true_idx = l.label_idx) AS t, count(*) FILTER (pred_idx = l.label_idx) AS p

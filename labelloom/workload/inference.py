@@ -287,6 +287,19 @@ def i05(spark, sf):
     return prompted.summaries_of(corpus(spark, sf), _settings(), backend, _folders(spark)).select("doc_id", "summary")
 
 
+@query("g02_backend_by_name", f"""
+SELECT doc_id, {sql_lead('text')} AS summary, 'known: lead_words' AS other_name FROM documents""")
+def g02(spark, sf):
+    """Summaries by the backend that a name stands for; any other name is an error that lists the names."""
+    try:
+        I.make_backend("no such backend")
+        said = "taken"
+    except ValueError as err:
+        said = "known: " + str(err).rpartition("known: ")[2].strip("[]'")
+    out = prompted.summaries_of(corpus(spark, sf), _settings(), I.make_backend("lead_words", rows_per_call=100), _folders(spark))
+    return out.select("doc_id", "summary", F.lit(said).alias("other_name"))
+
+
 @query("i09_warm_summaries", f"""
 WITH f AS (SELECT unnest([0.1, 0.25, 0.5, 0.75]::DOUBLE[]) AS fraction),
 t AS (SELECT text, fraction, {sql_target('text', 'fraction')} AS target FROM documents, f)

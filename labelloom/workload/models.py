@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from labelloom.operators import evaluation as E
 from labelloom.operators import models as M
 from labelloom.operators import sampling as S
+from labelloom.operators import tfidf as T
+from labelloom.operators.optimum import hinge_optimum, softmax_optimum
 from labelloom.plans import vector
 from labelloom.session import fresh_path, materialize
 from labelloom.sources.runs import scan_runs
@@ -41,6 +43,34 @@ def m10(spark, sf):
     return E.metrics(M.predict(M.tune(train, "linear_svm", n_folds=3, smallest_class=3).model, test))
 
 
+@query("m09_optimum", """
+SELECT c, count(*) - CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_train, true AS gradient_vanishes, true AS changed_weights_are_worse
+FROM embeddings, (SELECT unnest([0.1, 1.0, 10.0]::DOUBLE[]) AS c) GROUP BY c""")
+def m09_optimum(spark, sf):
+    """Every candidate's fit on all training rows, judged by sums over the rows."""
+    train, rows = _vectors(spark, sf)[0], []
+    n = train.count()
+    for c in M.GRIDS["logreg"]["C"]:
+        estimator = M.make_model("logreg")
+        o = softmax_optimum(estimator.copy({estimator.C: c}).fit(train), train, 1.0 / (c * n))
+        rows.append((c, o["n"], o["gradient_norm"] < 1e-3, o["objective"] < o["least_changed"]))
+    return spark.createDataFrame(rows, "c DOUBLE, n_train LONG, gradient_vanishes BOOLEAN, changed_weights_are_worse BOOLEAN")
+
+
+@query("m10_optimum", """
+SELECT c, label_idx, (SELECT count(*) - CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) FROM embeddings) AS n_train, true AS changed_weights_are_worse
+FROM (SELECT DISTINCT label AS label_idx FROM embeddings), (SELECT unnest([0.1, 1.0, 10.0]::DOUBLE[]) AS c)""")
+def m10_optimum(spark, sf):
+    """Every candidate's fit on all training rows, class by class against the rest."""
+    train, rows = _vectors(spark, sf)[0], []
+    n = train.count()
+    for c in M.GRIDS["linear_svm"]["C"]:
+        estimator = M.make_model("linear_svm")
+        for o in hinge_optimum(estimator.copy({estimator.C: c}).fit(train), train, 1.0 / (c * n)):
+            rows.append((c, o["class"], o["n"], o["objective"] < o["least_changed"]))
+    return spark.createDataFrame(rows, "c DOUBLE, label_idx INT, n_train LONG, changed_weights_are_worse BOOLEAN")
+
+
 @query("m11_random_forest")
 def m11(spark, sf):
     return _fit(spark, sf, "random_forest", M.GRIDS["random_forest"])
@@ -84,6 +114,16 @@ def m17(spark, sf):
     return scan_runs(spark, runs).select("run", "kind", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in scores])
 
 
+@query("m17_experiment_by_accuracy", SQL_EXPERIMENT.replace("avg(f1_macro) AS m", "avg(accuracy) AS m").replace("cv_f1_macro_mean", "cv_accuracy_mean"))
+def m17_accuracy(spark, sf):
+    """As above, but the candidate is chosen by accuracy, which the record's cv then holds."""
+    runs = fresh_path(spark, "runs")
+    vector.run_vector(corpus(spark, sf, "lang"), vector.VectorSettings(scoring="accuracy"), runs)
+    scores = ("test_accuracy", "test_f1_macro")
+    return scan_runs(spark, runs).select("run", "kind", "n_train", "n_test", *[F.round(c, 6).alias(c) for c in scores],
+                                         F.round("cv_f1_macro_mean", 6).alias("cv_accuracy_mean"))
+
+
 @query("m17_dense_experiment")
 def m17_dense(spark, sf):
     from labelloom.workload.doubles import digest_encoder
@@ -94,6 +134,82 @@ def m17_dense(spark, sf):
     return scan_runs(spark, runs).select("run", "kind", "n_train", "n_test", "test_accuracy", "test_f1_macro", "cv_f1_macro_mean")
 
 
+@query("s14_bayes_round_trip", sql_nb("multinomial", (0.1,), folds=False) + " SELECT doc_id, true_idx, pred_idx FROM nb_preds")
+def s14_bayes(spark, sf):
+    """Held-out classes by vectorizer and Naive Bayes that were saved as one model and read back, from the texts on."""
+    from labelloom.operators import stages
+    from labelloom.operators.sampling import split_and_folds
+    from labelloom.sources.corpus import with_label_index
+    from labelloom.workload.base import lang_labels
+    docs = with_label_index(split_and_folds(corpus(spark, sf, "lang"), 3), lang_labels(spark, sf))
+    vectorizer = stages.Tfidf().fit(docs)
+    train = materialize(vectorizer.transform(docs.where("split = 'train'")), "train-terms")
+    model = stages.Bayes(alpha=0.1, vocabSize=vectorizer.vocabulary.count()).fit(train)
+    path = fresh_path(spark, "model")
+    M.save_model([vectorizer, model], path)
+    held_out = docs.where("split = 'test'").select("doc_id", "text", F.col("label_idx").alias("true_idx"))
+    return M.load_model(path).transform(held_out).select("doc_id", "true_idx", F.col("prediction").cast("int").alias("pred_idx"))
+
+
+@query("m16_pipeline_by_name", sql_nb("multinomial", (1.0,), folds=False) + " SELECT doc_id, true_idx, pred_idx FROM nb_preds")
+def m16(spark, sf):
+    """A pipeline made from a model's name, with the features that it takes, fitted and applied."""
+    from labelloom.workload.base import lang_labels
+    from labelloom.operators.sampling import split_and_folds
+    from labelloom.sources.corpus import with_label_index
+    docs = materialize(with_label_index(split_and_folds(corpus(spark, sf, "lang"), 3), lang_labels(spark, sf)), "docs")
+    features, vocab = T.fit_transform_tfidf(docs)
+    vectors = M.sparse_input(features, vocab, docs, docs.select("label_idx").distinct().count(), keep=("doc_id", "split"))
+    model = M.build_pipeline("nb").fit(vectors.where("split = 'train'"))
+    return M.predict(model, vectors.where("split = 'test'"))
+
+
+@query("g03_models_by_name", """
+SELECT name, count(DISTINCT label) AS n_classes FROM embeddings, (SELECT unnest(['linear_svm', 'logreg', 'random_forest']) AS name) GROUP BY name""")
+def g03(spark, sf):
+    """Classes that a model of each name has learned from the vectors; the names bar dense features from the other two."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("label_idx"), "embedding")
+    fit_on, out = materialize(M.dense_input(v), "vectors"), []
+    small = {"logreg": {"C": 0.01}, "linear_svm": {"C": 0.01}, "random_forest": {"numTrees": 2, "maxDepth": 3}}
+    for name, settings in small.items():
+        estimator = M.make_model(name)
+        fitted = estimator.copy({estimator.getParam(k): v for k, v in settings.items()}).fit(fit_on)
+        out.append((name, len(fitted.models) if name == "linear_svm" else fitted.numClasses))
+    return spark.createDataFrame(out, "name STRING, n_classes LONG")
+
+
+@query("p09_barred_models", """
+SELECT name, CASE WHEN name IN ('nb', 'complement_nb') AND (SELECT min(list_min(embedding)) FROM embeddings) < 0 THEN 'barred' ELSE 'taken' END AS outcome
+FROM (SELECT unnest(['nb', 'complement_nb', 'logreg', 'linear_svm', 'random_forest']) AS name)""")
+def p09(spark, sf):
+    """Which models take the table's vectors: those that need non-negative features are barred from vectors that have others."""
+    negative = table(spark, sf, "embeddings").agg(F.min(F.array_min("embedding")).alias("least")).first()["least"] < 0
+    rows = []
+    for name in M.GRIDS:
+        try:
+            M.check_compatible(name, dense_features=negative)
+            rows.append((name, "taken"))
+        except ValueError:
+            rows.append((name, "barred"))
+    return spark.createDataFrame(rows, "name STRING, outcome STRING")
+
+
+@query("a25_docs_per_second", """
+SELECT count(*) AS n_docs, 8 AS dim, false AS cache_hit, true AS rate_is_n_over_seconds FROM documents""")
+def a25(spark, sf):
+    """What the run record of a dense experiment says about encoding the whole corpus."""
+    from labelloom.sources.runs import RECORD_FILE
+    from labelloom.workload.doubles import digest_encoder
+    runs = fresh_path(spark, "runs")
+    docs = corpus(spark, sf, "lang")
+    enc = vector.Encoder(digest_encoder, "double:md5", fresh_path(spark, "embeddings"))
+    vector.run_vector(docs, vector.VectorSettings(model="logreg", featurizer="double", n_per_category=5), runs, encoder=enc, grid={"C": [1.0]})
+    record = spark.read.json(f"{runs}/*/{RECORD_FILE}").select("embedding.*")
+    n = F.round(F.col("docs_per_second") * F.greatest("encode_seconds", F.lit(1e-6))).cast("long")
+    return record.select(n.alias("n_docs"), F.col("dim").cast("int").alias("dim"), "cache_hit",
+                         (F.abs(F.col("docs_per_second") * F.col("encode_seconds") - docs.count()) < 0.5).alias("rate_is_n_over_seconds"))
+
+
 @query("s14_model_round_trip", """
 SELECT CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_test, count(*) * 0 AS n_changed FROM embeddings""")
 def s14(spark, sf):
