@@ -30,13 +30,15 @@ from pyspark.sql import types as T
 
 from labelloom.llm.common import query, slices, table
 
-# Distinct pieces, and pairs of tokens, that a task remembers before it starts afresh.
-REMEMBERED = 250_000
+# Distinct pieces, and pairs of tokens, that a task remembers before it starts afresh; words twice as many.
+REMEMBERED = 300_000
 # Text bytes that are encoded together: what the merge replay holds grows with it.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 # White space of any kind before a space: there a cut at spaces could part white space that belongs together.
 _SPACE_RUN = re.compile(r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _CHUNK = re.compile(r" *[^ ]+| +")
+# A word of Latin letters, and marks after it that are a match of their own (an apostrophe may begin a contraction).
+_WORD = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 # Fixed value: the pattern no match of which reaches over a cut at spaces; texts under any other are matched as they are.
 _CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -201,41 +203,53 @@ def gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.nda
     return ids[np.arange(len(shift)) + shift]
 
 
+class _Memory:
+    """Pieces in order of appearance, with their ids one after the other."""
+
+    def __init__(self):
+        self.codes, self.ids, self.sizes = _Codes(), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of ``codes.new``."""
+        self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.sizes, sizes])
+        self.codes.new = []
+
+    def ids_of(self, codes: np.ndarray) -> np.ndarray:
+        return gather(self.ids, np.cumsum(self.sizes) - self.sizes, self.sizes, codes)
+
+
 def encoder(rank_file: bytes, pattern: str):
-    """A function from texts to a list array of ids; it remembers the pieces it has seen."""
+    """A function from texts to a list array of ids; it remembers the pieces and the words that it has seen."""
     replay, words_of = MergeReplay(parse_ranks(rank_file)), regex.compile(pattern)
-    state, cut = {}, pattern == _CUT_AT_SPACES
-
-    def fresh():
-        state.update(codes=_Codes(), ids=np.empty(0, np.int32), sizes=np.empty(0, np.int64))
+    cut, state = pattern == _CUT_AT_SPACES, {}
 
-    fresh()
+    def split(piece: str, code_of) -> list[int]:
+        plain = _WORD.fullmatch(piece) if cut else None
+        if plain is None:
+            return list(map(code_of, words_of.findall(piece)))
+        return [code_of(plain[1]), code_of(plain[2])] if plain[2] else [code_of(piece)]
 
     def encode(texts: list[str | None]) -> pa.ListArray:
-        if len(state["codes"]) > REMEMBERED:
-            fresh()
-        codes, seq, ends = state["codes"], [], [0]
-        code_of = codes.__getitem__
+        if not state or len(state["words"].codes) > 2 * REMEMBERED:
+            state.update(pieces=_Memory(), words=_Memory())
+        if len(state["pieces"].codes) > REMEMBERED:  # pieces are soon put together again from their words
+            state.update(pieces=_Memory())
+        pieces, words, seq, ends = state["pieces"], state["words"], [], [0]
+        code_of = pieces.codes.__getitem__
         for text in texts:
             if text:
                 seq.extend(map(code_of, (_CHUNK if cut and not _SPACE_RUN.search(text) else words_of).findall(text)))
             ends.append(len(seq))
-        if codes.new:
-            words = _Codes()
-            parts = [[words[w] for w in words_of.findall(c)] for c in codes.new]
-            ids, sizes = replay.encode_words([w.encode() for w in words])
+        if pieces.codes.new:
+            parts = [split(piece, words.codes.__getitem__) for piece in pieces.codes.new]
+            if words.codes.new:
+                words.learn(*replay.encode_words([w.encode() for w in words.codes.new]))
             flat = np.fromiter(chain.from_iterable(parts), dtype=np.int64)
-            new = gather(ids, np.cumsum(sizes) - sizes, sizes, flat)
-            bounds = np.concatenate([[0], np.cumsum(sizes[flat])])
-            piece_ends = np.cumsum([0, *map(len, parts)])
-            state["ids"] = np.concatenate([state["ids"], new.astype(np.int32)])
-            state["sizes"] = np.concatenate([state["sizes"], np.diff(bounds[piece_ends])])
-            codes.new = []
-        sizes = state["sizes"]
+            bounds = np.concatenate([[0], np.cumsum(words.sizes[flat])])
+            pieces.learn(words.ids_of(flat), np.diff(bounds[np.cumsum([0, *map(len, parts)])]))
         seq = np.array(seq, dtype=np.int64)
-        out = gather(state["ids"], np.cumsum(sizes) - sizes, sizes, seq)
-        offsets = np.concatenate([[0], np.cumsum(sizes[seq])])[ends]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()))
+        offsets = np.concatenate([[0], np.cumsum(pieces.sizes[seq])])[ends]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pieces.ids_of(seq), pa.int32()))
 
     return encode
 
