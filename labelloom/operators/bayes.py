@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from labelloom.session import materialize, small_table
 
 KINDS = ("multinomial", "complement")
+# Gains of a term kept as one array: classes x candidates x (folds + 1) at most.
+DENSE = 256
 
 
 @dataclass(frozen=True)
@@ -154,37 +156,73 @@ def _class_constants(model: BayesModel, candidates: list[Candidate]) -> DataFram
     return flat.groupBy("slot").agg(F.sort_array(F.collect_list(entry)).alias("consts"))
 
 
-def score(model: BayesModel, features: DataFrame, docs: DataFrame, candidates: list[Candidate]) -> DataFrame:
-    """``doc_id, candidate, pred_idx`` for every document and candidate.
-
-    With folds, a document is scored by the sums that leave its fold out.
-    ``docs`` lists every document, also those without any known term. Ties go to the lowest class index (scores compared at 9 places).
-    """
-    slot = ((F.col("fold") + 1) if model.n_folds else F.lit(0)).cast("int").alias("slot")
+def _sparse_sums(model: BayesModel, hits: DataFrame, candidates: list[Candidate], labels: list[int]) -> DataFrame:
+    """``doc_id, g, w``: a row per posting and class that has seen its term, added up per class and then per document."""
     # One pseudo class (-1) carries what all classes share; a term unseen in training has nothing else.
     unseen = F.array(*[F.log(F.lit(c.alpha)) for c in candidates])
     shared = F.struct(F.lit(-1).alias("label_idx"), F.coalesce(F.col("shared")[F.col("slot")], unseen).alias("gains"))
     own = F.transform("classes", lambda x: F.struct(x["label_idx"].alias("label_idx"), x["gains"][F.col("slot")].alias("gains")))
     none = F.array().cast("array<struct<label_idx:int,gains:array<double>>>")
-    hits = features.select("doc_id", "term", "weight", slot).join(_term_gains(model, candidates), "term", "left")
-    each = hits.select("doc_id", "weight", F.inline(F.concat(F.array(shared), F.coalesce(own, none))))
-    w = F.col("weight")
+    joined = hits.join(_term_gains(model, candidates), "term", "left")
+    each = joined.select("doc_id", "weight", F.inline(F.concat(F.array(shared), F.coalesce(own, none))))
+    w, n = F.col("weight"), range(len(candidates))
     per_class = each.groupBy("doc_id", "label_idx").agg(
-        F.array(*[F.sum(w * F.col("gains")[i]) for i in range(len(candidates))]).alias("g"),
+        F.array(*[F.sum(w * F.col("gains")[i]) for i in n]).alias("g"),
         F.sum(F.when(F.col("label_idx") == -1, w).otherwise(0.0)).alias("w"))
     per_doc = per_class.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("label_idx", "g"))).alias("g"), F.sum("w").alias("w"))
+        F.map_from_entries(F.collect_list(F.struct("label_idx", "g"))).alias("m"), F.sum("w").alias("w"))
+
+    def of(label: int, i: int) -> Column:
+        return F.col("m")[-1][i] + F.coalesce(F.try_element_at(F.col("m"), F.lit(label))[i], F.lit(0.0))
+
+    return per_doc.select("doc_id", F.array(*[F.array(*[of(c, i) for i in n]) for c in labels]).alias("g"), "w")
+
+
+def _dense_sums(model: BayesModel, hits: DataFrame, candidates: list[Candidate], labels: list[int]) -> DataFrame:
+    """``doc_id, g, w``: each posting has one array, the gains of all classes and candidates, added element by element."""
+    slots, n = range(model.n_folds + 1), range(len(candidates))
+
+    def gains(s: int) -> Column:
+        def of(label: int) -> list[Column]:
+            mine = F.try_element_at(F.filter("classes", lambda x: x["label_idx"] == label), F.lit(1))["gains"][s]
+            return [F.col("shared")[s][i] + F.coalesce(mine[i], F.lit(0.0)) for i in n]
+        return F.array(*[value for label in labels for value in of(label)])
+
+    per_term = _term_gains(model, candidates).select("term", F.array(*[gains(s) for s in slots]).alias("all"))
+    unseen = F.array(*[F.log(F.lit(c.alpha)) for _ in labels for c in candidates])
+    joined = hits.join(per_term, "term", "left").select("doc_id", "weight", F.coalesce(F.col("all")[F.col("slot")], unseen).alias("v"))
+    places = range(len(labels) * len(candidates))
+    sums = joined.groupBy("doc_id").agg(*[F.sum(F.col("weight") * F.col("v")[j]).alias(f"s{j}") for j in places], F.sum("weight").alias("w"))
+    by_class = [F.array(*[F.col(f"s{c * len(candidates) + i}") for i in n]) for c in range(len(labels))]
+    return sums.select("doc_id", F.array(*by_class).alias("g"), "w")
+
+
+def score(model: BayesModel, features: DataFrame, docs: DataFrame, candidates: list[Candidate], dense: int = DENSE) -> DataFrame:
+    """``doc_id, candidate, pred_idx`` for every document and candidate.
+
+    With folds, a document is scored by the sums that leave its fold out.
+    ``docs`` lists every document, also those without any known term. Ties go to the lowest class index (scores compared at 9 places).
+
+    Where classes x candidates x folds are at most ``dense``, a term's gains for
+    all of them are one array, and one aggregation by document adds the arrays;
+    beyond, only the classes that have seen a term have gains, a row each.
+    """
+    slot = ((F.col("fold") + 1) if model.n_folds else F.lit(0)).cast("int").alias("slot")
+    labels = sorted(r["label_idx"] for r in model.classes.select("label_idx").collect())  # one row per class
+    hits = features.select("doc_id", "term", "weight", slot)
+    small = len(labels) * len(candidates) * (model.n_folds + 1) <= dense
+    per_doc = (_dense_sums if small else _sparse_sums)(model, hits, candidates, labels)
     consts = small_table(_class_constants(model, candidates))
     scored = docs.select("doc_id", slot).join(per_doc, "doc_id", "left").join(consts, "slot")
-    zero = F.array(*[F.lit(0.0) for _ in candidates])
-    scored = scored.select("doc_id", "consts", F.coalesce("w", F.lit(0.0)).alias("w"),
-                           F.coalesce("g", F.create_map(F.lit(-1), zero)).alias("g"))
+    zero = F.array(*[F.array(*[F.lit(0.0) for _ in candidates]) for _ in labels])
+    scored = scored.select("doc_id", "consts", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("g", zero).alias("g"))
+    places = F.array(*[F.lit(label) for label in labels])
 
     def best_class(i: int) -> Column:
         def class_score(k):
             p = k["p"][i]
-            seen = F.coalesce(F.try_element_at(F.col("g"), k["label_idx"])[i], F.lit(0.0))
-            value = p["prior"] + p["scale"] * (F.col("g")[-1][i] + seen - F.col("w") * p["log_den"])
+            seen = F.element_at(F.col("g"), F.array_position(places, k["label_idx"]).cast("int"))[i]
+            value = p["prior"] + p["scale"] * (seen - F.col("w") * p["log_den"])
             return F.struct(F.round(value, 9).alias("s"), (-k["label_idx"]).alias("l"))
         return F.array_max(F.transform("consts", class_score))
 
