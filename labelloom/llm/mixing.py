@@ -3,20 +3,24 @@
 Documents fall into cells (source, language, topic) that weigh their tokens.
 Cell weights are raked until their margins meet the target shares of sources,
 languages and topics; the raked weights, scaled to a token budget, give each
-cell the probability with which its documents are drawn. Everything is
+cell the probability with which its documents are drawn. No cell is ever raked
+beyond its own tokens, so the probabilities keep the margins. Everything is
 DataFrame expressions: the documents are read once to sum the cells, which are
 all that the rounds touch, and once to draw.
 
 Targets are shares by value, or a tempering exponent: a share in proportion to
 the tokens to that power (1 keeps the mixture, 0 makes all values equal).
-Shares of values that no document has are dealt out over the others.
+Shares of values that no document has are dealt out over the others; values
+that a named target leaves out have share 0. ``margins`` tells the target, the
+expected and the drawn share of every value.
 
 Defined results: null attributes are a value of their own, ``(none)``; null and
 empty texts weigh nothing and are drawn as their cell is, or always in a cell
-without tokens; where a probability would pass 1, the cell is taken whole and
-the rest of the budget goes to the others in proportion; rows that repeat an id
-share their draw; an empty table gives an empty result. Margins that cannot be
-met together stop at ``rounds``.
+without tokens; a value that holds too few tokens for its share of the budget is
+taken whole and the others share what is left as far as all margins allow; rows
+that repeat an id share their draw; an empty table gives an empty result.
+Margins that cannot be met together stop where rounds no longer bring them
+closer, or at ``rounds``.
 """
 
 from __future__ import annotations
@@ -77,49 +81,62 @@ def _targets(cells: DataFrame, margin: str, target: float | dict[str, float]) ->
 
 
 def rake(cells: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
-    """``source, lang, topic, base, weight``: weights sum to 1 and meet the target margins.
+    """``source, lang, topic, base, weight``: weights meet the target margins, none beyond its cell's share of the budget.
 
-    ``cells`` (source, lang, topic, base) should be a written table.
+    ``cells`` (source, lang, topic, base) should be a written table. A weight is
+    at most base / (budget * all tokens): the whole cell. Where a value's share
+    rises, only its cells below that bound take part.
     """
     targets = {m: _targets(cells, m, settings.targets[m]) for m in MARGINS if m in settings.targets}
-    total = cells.agg(F.sum("base").alias("n")).first()["n"] or 1
-    fitted = cells.select(*MARGINS, "base", (F.col("base") / F.lit(float(total))).alias("weight"))
+    total = float(cells.agg(F.sum("base").alias("n")).first()["n"] or 1)
+    most = F.col("base") / F.lit(max(settings.budget, 1e-12) * total)
+    full = F.col("weight") >= most * (1 - 1e-12)
+    fitted = cells.select(*MARGINS, "base", F.least(F.col("base") / F.lit(total), most).alias("weight"))
+    before = float("inf")
     for _ in range(settings.rounds):
         for margin, target in targets.items():
-            sums = fitted.groupBy(margin).agg(F.sum("weight").alias("_sum"))
+            sums = fitted.groupBy(margin).agg(F.sum("weight").alias("_sum"), F.sum(F.when(full, F.col("weight")).otherwise(0.0)).alias("_full"))
+            share, free = F.coalesce("share", F.lit(0.0)), F.col("_sum") - F.col("_full")
+            falls = F.when(F.col("_sum") > 0, share / F.col("_sum")).otherwise(0.0)
+            rises = F.when(free > 1e-15, (share - F.col("_full")) / free).otherwise(1.0)
             factors = sums.join(target, margin, "left").select(
-                margin, F.when(F.col("_sum") > 0, F.coalesce("share", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_factor"))
-            fitted = fitted.join(factors, margin).select(*MARGINS, "base", (F.col("weight") * F.col("_factor")).alias("weight"))
+                margin, (share > F.col("_sum")).alias("_up"), F.when(share > F.col("_sum"), rises).otherwise(falls).alias("_factor"))
+            grown = F.when(F.col("_up") & full, F.col("weight")).otherwise(F.least(F.col("weight") * F.col("_factor"), most))
+            fitted = fitted.join(factors, margin).select(*MARGINS, "base", grown.alias("weight"))
         fitted = materialize(fitted, "raked")
         gaps = [fitted.groupBy(m).agg(F.sum("weight").alias("sum")).join(t, m).agg(F.max(F.abs(F.col("sum") / F.col("share") - 1)).alias("gap"))
                 for m, t in targets.items()]
-        worst = 0.0
-        for gap in gaps[:-1]:  # the last margin has just been met
-            worst = max(worst, gap.first()["gap"] or 0.0)
-        if worst <= settings.tolerance:
+        worst = max([gap.first()["gap"] or 0.0 for gap in gaps], default=0.0)
+        if worst <= settings.tolerance or worst > before * 0.9999:
             break
+        before = worst
     return fitted
 
 
 def probabilities(raked: DataFrame, budget: float) -> DataFrame:
-    """``source, lang, topic, probability``: tokens drawn sum to ``budget`` of all, or to all that the targets allow."""
+    """``source, lang, topic, probability``: the share of each cell's tokens that its weight of the budget asks for."""
     total = raked.agg(F.sum("base").alias("n")).first()["n"] or 0
-    wanted = float(budget) * float(total)
-    ratio = F.when(F.col("base") > 0, F.col("weight") * F.lit(wanted) / F.col("base"))
-    cells = materialize(raked.select(*MARGINS, "base", ratio.alias("ratio")), "ratios")
-    scale = 1.0
-    while True:
-        whole = F.col("ratio") * F.lit(scale) >= 1
-        found = cells.agg(F.sum(F.when(whole, F.col("base"))).alias("whole"),
-                          F.sum(F.when(~whole, F.col("ratio") * F.col("base"))).alias("rest")).first()
-        rest = found["rest"] or 0.0
-        if rest <= 0:
-            break
-        better = (wanted - float(found["whole"] or 0)) / float(rest)
-        if better <= scale * (1 + 1e-12):
-            break
-        scale = better
-    return cells.select(*MARGINS, F.least(F.lit(1.0), F.coalesce(F.col("ratio") * F.lit(scale), F.lit(1.0))).alias("probability"))
+    ratio = F.when(F.col("base") > 0, F.col("weight") * F.lit(float(budget) * float(total)) / F.col("base"))
+    return raked.select(*MARGINS, F.least(F.lit(1.0), F.coalesce(ratio, F.lit(1.0))).alias("probability"))
+
+
+def margins(mixed: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
+    """``margin, value, target, expected, drawn``: shares of the tokens, for what ``mix`` returns (written, as it is read per margin).
+
+    ``expected`` is that of the probabilities, ``drawn`` that of the documents
+    sampled. Both fall short of a target where a value has too few tokens for it.
+    """
+    cells = materialize(mixed.groupBy(*MARGINS).agg(
+        F.sum("n_tokens").alias("base"), F.sum(F.col("n_tokens") * F.col("probability")).alias("expected"),
+        F.sum(F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)).alias("drawn")), "mixed-cells")
+    whole = cells.agg(F.sum("expected").alias("expected"), F.sum("drawn").alias("drawn")).first()
+    out = None
+    for margin in (m for m in MARGINS if m in settings.targets):
+        sums = cells.groupBy(margin).agg(*[(F.sum(c) / F.lit(float(whole[c] or 1))).alias(c) for c in ("expected", "drawn")])
+        rows = sums.join(_targets(cells, margin, settings.targets[margin]), margin, "left").select(
+            F.lit(margin).alias("margin"), F.col(margin).alias("value"), F.coalesce("share", F.lit(0.0)).alias("target"), "expected", "drawn")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def draw(doc_id: Column, seed: int) -> Column:

@@ -508,15 +508,22 @@ def brute_probabilities(cells, alphas, budget):
         sums = {v: sum(b for k, b in zip(keys, base) if k[m] == v) for v in {k[m] for k in keys}}
         whole = sum(s ** alpha for s in sums.values() if s)
         targets.append({v: s ** alpha / whole for v, s in sums.items()})
-    for _ in range(500):
+    most, before = base / (budget * base.sum()), np.inf
+    for _ in range(40):
         for m in range(3):
-            sums = {v: sum(x for k, x in zip(keys, w) if k[m] == v) for v in targets[m]}
-            w = np.array([x * targets[m][k[m]] / sums[k[m]] for k, x in zip(keys, w)])
-    ratio, low, high = w * budget * base.sum() / base, 0.0, 1e9
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (base * np.minimum(1, mid * ratio)).sum() < budget * base.sum() else (low, mid)
-    return dict(zip(keys, np.minimum(1, low * ratio)))
+            for v, share in targets[m].items():
+                mine = np.array([k[m] == v for k in keys])
+                full = mine & (w >= most * (1 - 1e-12))
+                if share <= w[mine].sum():
+                    w[mine] *= share / w[mine].sum()
+                elif w[mine].sum() - w[full].sum() > 1e-15:
+                    free = mine & ~full
+                    w[free] = np.minimum(w[free] * (share - w[full].sum()) / w[free].sum(), most[free])
+        worst = max(abs(sum(x for k, x in zip(keys, w) if k[m] == v) / share - 1) for m in range(3) for v, share in targets[m].items() if share)
+        if worst <= 1e-6 or worst > before * 0.9999:
+            break
+        before = worst
+    return dict(zip(keys, np.minimum(1, w / most)))
 
 
 def test_mixing_equals_brute_force(spark):
@@ -535,6 +542,23 @@ def test_mixing_equals_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in out if r.sampled}
 
 
+@pytest.mark.parametrize("budget, scarce", [(0.5, False), (0.8, True)])
+def test_mixing_meets_its_targets_wherever_they_can_be_met(spark, budget, scarce):
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.randint(5, 30) + rnd.choice(["", "license"]), rnd.choice(["en", "en", "de"]), rnd.choice(["s0"] * 4 + ["s1"])) for i in range(600)]
+    targets = {"source": {"s0": 0.7, "s1": 0.3}, "lang": {"en": 0.6, "de": 0.4}}  # s1 holds a fifth of all tokens
+    how = mixing.MixSettings(targets=targets, budget=budget)
+    mixed = materialize(mixing.mix(documents(spark, rows), how), "mixed")
+    got = {(r.margin, r.value): r for r in mixing.margins(mixed, how).collect()}
+    assert {k: round(r.target, 9) for k, r in got.items()} == {(m, v): t for m, t_ in targets.items() for v, t in t_.items()}
+    assert all(abs(r.expected / r.target - 1) < 0.01 for (m, v), r in got.items() if not (scarce and m == "source"))
+    if scarce:  # taken whole, and still short of its share
+        assert all(r.probability == 1 for r in mixed.collect() if r.source == "s1") and got["source", "s1"].expected < 0.29
+    expected = sum(r.n_tokens * r.probability for r in mixed.collect()) / sum(r.n_tokens for r in mixed.collect())
+    assert scarce or abs(expected / budget - 1) < 1e-3
+    assert all(abs(r.drawn - r.expected) < 0.06 for r in got.values())
+
+
 def test_mixing_of_nulls_empty_tables_and_named_targets(spark, odd):
     rows = [(1, None, None, None), (2, "a b", "en", None), (3, "c d", "en", "x"), (3, "c d", "en", "x"), (None, "e", "de", "x")]
     docs = documents(spark, rows)
@@ -547,6 +571,6 @@ def test_mixing_of_nulls_empty_tables_and_named_targets(spark, odd):
 
 def test_registry():
     names = queries.all_queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.all_oracles()) <= set(names)
     assert regex.compile(public_tokenizers.PATTERN)
