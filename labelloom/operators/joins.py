@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelloom.session import small_table
 
@@ -53,6 +56,21 @@ def new_work(selected: DataFrame, store: DataFrame, key: str = "doc_id", store_k
     return selected.join(store.select(F.col(store_key).alias(key)), key, "left_anti")
 
 
+def fill_groups(counts: DataFrame, groups: DataFrame, labels: DataFrame, group: str, label: str = "label_name", n: str = "n") -> DataFrame:
+    """``group``, the columns of ``labels`` and ``n``: every class of every group, 0 where nothing was counted.
+
+    Each group row carries the whole class list, which is a dictionary of few
+    rows: an array on one row, so nothing is paired by a join without keys.
+    Groups may be null.
+    """
+    classes = labels.agg(F.collect_list(F.struct(*labels.columns)).alias("_classes")).first()["_classes"]  # one row a class
+    known = F.from_json(F.lit(json.dumps([c.asDict() for c in classes])), T.ArrayType(labels.schema))
+    every = groups.select(group).distinct().select(group, F.inline(known))
+    counted = counts.select(F.col(group).alias("_group"), F.col(label).alias("_label"), F.col(n).alias("_n"))
+    met = F.col(group).eqNullSafe(F.col("_group")) & F.col(label).eqNullSafe(F.col("_label"))
+    return every.join(counted, met, "left").select(group, *labels.columns, F.coalesce("_n", F.lit(0)).cast("long").alias(n))
+
+
 def compare_example_sets(left: DataFrame, right: DataFrame, labels: DataFrame) -> DataFrame:
     """Per class: both id lists, what they share, and whether left is a subset of right.
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelloom.operators import forest
 from labelloom.operators.evaluation import check_scoring, metrics
 from labelloom.session import fresh_path
 
@@ -199,6 +200,8 @@ def tune(train: DataFrame, name: str, *, n_folds: int, smallest_class: int, grid
     per fit.
     """
     estimator = make_model(name)
+    if name == "random_forest":
+        return _tune_forest(train, estimator, n_folds=n_folds, tuned=smallest_class >= n_folds, grid=grid, scoring=scoring)
     if smallest_class < n_folds:
         return Tuned(estimator.fit(train), None, None, None)
     maps = param_maps(name, estimator, grid)
@@ -210,6 +213,19 @@ def tune(train: DataFrame, name: str, *, n_folds: int, smallest_class: int, grid
     return Tuned(search.bestModel, params, search.avgMetrics[best], search.stdMetrics[best])
 
 
+def _tune_forest(train: DataFrame, estimator, *, n_folds: int, tuned: bool, grid: dict[str, list] | None, scoring: str) -> Tuned:
+    """Candidates one after the other, each forest in stored groups of trees: the driver holds one group at a time."""
+    if not tuned:
+        return Tuned(forest.grow(train, estimator), None, None, None)
+    maps = param_maps("random_forest", estimator, grid)
+    scores = [forest.cross_validate(train, estimator.copy(m), n_folds=n_folds, scoring=scoring) for m in maps]
+    means = [sum(s) / len(s) for s in scores]
+    best = max(range(len(maps)), key=lambda i: (round(means[i], 9), -i))
+    back = {v: k for k, v in MODELS["random_forest"].params.items()}
+    std = (sum((x - means[best]) ** 2 for x in scores[best]) / len(scores[best])) ** 0.5
+    return Tuned(forest.grow(train, estimator.copy(maps[best])), {back[p.name]: v for p, v in maps[best].items()}, means[best], std)
+
+
 def predict(model, data: DataFrame) -> DataFrame:
     """``doc_id, true_idx, pred_idx`` of held-out rows."""
     return model.transform(data).select("doc_id", F.col("label").cast("int").alias("true_idx"),

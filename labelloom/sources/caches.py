@@ -44,7 +44,7 @@ EMBEDDING = T.StructType([
 ])
 
 
-def bucketed_table(spark: SparkSession, path: str, schema: T.StructType, *parts: str, buckets: int = BUCKETS) -> str:
+def bucketed_table(spark: SparkSession, path: str, schema: T.StructType, *parts: str, buckets: int | None = None) -> str:
     """Name of the table for ``parts`` below a cache folder, entered in this session's catalog where it is not.
 
     The name carries the place and the bucket count; the folder remembers the
@@ -56,6 +56,7 @@ def bucketed_table(spark: SparkSession, path: str, schema: T.StructType, *parts:
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
+        buckets = buckets or BUCKETS
         spark.range(1).selectExpr(f"'{int(buckets)}'").write.text(f"{place}-buckets")
     name = f"labelloom_cache_{hashlib.sha1(place.encode()).hexdigest()[:16]}"
     if not spark.catalog.tableExists(name):

@@ -205,8 +205,7 @@ LEFT JOIN n ON n.source = label_name AND n.lang = l.lang""")
 def j10(spark, sf):
     docs = table(spark, sf, "documents")
     n = docs.groupBy("lang", F.col("source").alias("label_name")).agg(F.count("*").alias("n"))
-    every = docs.select("lang").distinct().join(source_labels(spark, sf))  # languages by classes, two small dictionaries
-    return every.join(n, ["lang", "label_name"], "left").fillna(0, ["n"]).select("lang", "label_idx", "label_name", "n")
+    return J.fill_groups(n, docs, source_labels(spark, sf), "lang").select("lang", "label_idx", "label_name", "n")
 
 
 @query("j12_rows_by_id", f"""

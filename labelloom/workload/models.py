@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from labelloom.operators import evaluation as E
+from labelloom.operators import forest
 from labelloom.operators import models as M
 from labelloom.operators import sampling as S
 from labelloom.operators import tfidf as T
@@ -76,6 +77,26 @@ def m11(spark, sf):
     return _fit(spark, sf, "random_forest", M.GRIDS["random_forest"])
 
 
+@query("m11_forest_in_parts", """
+SELECT CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_test, 3 AS n_groups, count(*) * 0 AS n_changed_again, count(*) * 0 AS n_changed_reloaded,
+  true AS votes_of_all_trees FROM embeddings""")
+def m11_parts(spark, sf):
+    """A forest in three groups of trees, grown twice, and saved and read back: no prediction differs, every tree has voted."""
+    train, test = _vectors(spark, sf)
+    estimator = M.make_model("random_forest")
+    estimator = estimator.copy({estimator.numTrees: 24})
+    first, second = (forest.grow(train, estimator, group=8) for _ in range(2))
+    path = fresh_path(spark, "model")
+    M.save_model(first, path)
+    a = M.predict(first, test).select("doc_id", F.col("pred_idx").alias("a"))
+    b = M.predict(second, test).select("doc_id", F.col("pred_idx").alias("b"))
+    c = M.predict(M.load_model(path), test).select("doc_id", F.col("pred_idx").alias("c"))
+    total = first.votes(test).select("doc_id", F.aggregate("votes", F.lit(0.0), lambda s, v: s + v).alias("t"))
+    every = a.join(b, "doc_id").join(c, "doc_id").join(total, "doc_id")
+    return every.agg(F.count("*").alias("n_test"), F.lit(first.n_groups).alias("n_groups"), F.count_if(F.col("a") != F.col("b")).alias("n_changed_again"),
+                     F.count_if(F.col("a") != F.col("c")).alias("n_changed_reloaded"), F.bool_and(F.abs(F.col("t") - 24) < 1e-6).alias("votes_of_all_trees"))
+
+
 @query("m12_expand_grid", """
 SELECT lang, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY feat_place, leaf) - 1 AS INTEGER) AS candidate, trees, feat, leaf
 FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang), (SELECT 200 AS trees),
