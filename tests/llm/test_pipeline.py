@@ -77,3 +77,16 @@ def test_query_equals_sql(spark, name):
     cur = con.execute(queries.all_oracles()[name])
     columns = [d[0] for d in cur.description]
     assert table([tuple(r) for r in df.collect()], df.columns) == table(cur.fetchall(), columns)
+
+
+def test_filters_keep_what_they_do_not_reject(spark, tmp_path):
+    english, german, spanish = "the cat sat on the mat and then it went away", "der Hund lief schnell durch den großen Wald", "el perro corre por la calle con su amigo"
+    rows = [(i, (english, german, spanish)[i % 3], ("en", "de", "es")[i % 3]) for i in range(60)]
+    rows += [(100 + i, f"{english}. {german}. {spanish}.", None) for i in range(20)] + [(200, "12 + 3 = 15", "en"), (201, None, "en"), (202, "", None)]
+    docs = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in pipeline.keep_languages(spark, docs, SF).collect()}
+    assert kept == {r[0] for r in rows} - {200, 201, 202}
+    nothing_known = docs.withColumn("lang", pipeline.F.lit(None).cast("string"))
+    assert pipeline.keep_languages(spark, nothing_known, SF).count() == len(rows)
+    spark.createDataFrame([(i, 1, 1) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == len(rows)
