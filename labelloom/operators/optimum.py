@@ -2,7 +2,7 @@
 
 A solver is no oracle of itself, but a convex loss tells an optimum by sums over
 the rows: the gradient vanishes there, and no other weights do better. All sums
-are vector sums over the rows in one pass, so a check costs one reading of the
+are vector sums over the rows in one pass, so a check costs one scoring of the
 training rows; what reaches the driver has the size of the model.
 """
 
@@ -10,15 +10,28 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from labelloom.session import fresh_path
+
+# How Parquet keeps a vector: a dense one has its numbers in ``values``.
+_VECTOR = T.StructType([T.StructField("type", T.ByteType()), T.StructField("size", T.IntegerType()),
+                        T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
 # Weights scaled by the first and intercepts moved by the second number: each must do worse.
 CHANGES = ((0.9, 0.0), (1.1, 0.0), (1.0, 0.1), (1.0, -0.1), (0.9, 0.1), (1.1, -0.1))
 
 
+def _stored(scored: DataFrame, *plain: str) -> DataFrame:
+    """What a model has made of the rows, written once; the vectors of ``plain`` are read back as structs."""
+    path = fresh_path(scored.sparkSession, "scored")
+    scored.write.parquet(path)
+    schema = T.StructType([T.StructField(f.name, _VECTOR) if f.name in plain else f for f in scored.schema])
+    return scored.sparkSession.read.schema(schema).parquet(path)
+
+
 def softmax_optimum(model: LogisticRegressionModel, data: DataFrame, reg: float) -> dict:
     """``gradient_norm``, ``objective`` and the least objective of changed weights, of a multinomial logistic regression.
 
@@ -28,8 +41,9 @@ def softmax_optimum(model: LogisticRegressionModel, data: DataFrame, reg: float)
     """
     k = model.numClasses
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    scored = model.transform(data).select("features", F.col("label").cast("int").alias("y"), vector_to_array("probability").alias("p"),
-                                          vector_to_array("rawPrediction").alias("m"))
+    scored = _stored(model.transform(data).select("features", "label", "probability", "rawPrediction"), "probability", "rawPrediction")
+    scored = scored.select("features", F.col("label").cast("int").alias("y"), F.col("probability.values").alias("p"),
+                           F.col("rawPrediction.values").alias("m"))
     truth = [(F.col("y") == c).cast("double") for c in range(k)]
     total = Summarizer.metrics("sum")
     sums = scored.agg(
@@ -61,9 +75,9 @@ def hinge_optimum(model: OneVsRestModel, data: DataFrame, reg: float) -> list[di
     out, features = [], data.select("features", F.col("label").cast("int").alias("y"))
     for c, one in enumerate(model.models):
         weights, bias = one.coefficients.toArray(), float(one.intercept)
-        margin = vector_to_array("rawPrediction")[1]
         side = F.when(F.col("y") == c, 1.0).otherwise(-1.0)
-        rows = one.transform(features).select("features", side.alias("s"), margin.alias("m"))
+        rows = _stored(one.transform(features).select(side.alias("s"), "rawPrediction"), "rawPrediction")
+        rows = rows.select("s", F.col("rawPrediction.values")[1].alias("m"))
         penalty = reg / 2 * float(weights @ weights)
         changed = ((1.0, 0.0), *CHANGES)
         losses = rows.agg(F.count("*").alias("n"), *[
