@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +45,7 @@ NUM_CTX = 16384
 
 @dataclass
 class Meter:
-    """What the model calls of a run used: counted while replies are written, never by reading them again."""
+    """What the model calls of a run used, summed from the replies as they were written."""
 
     totals: dict = field(default_factory=lambda: dict.fromkeys(("n_calls", *USAGE), 0) | {"total_cost_usd": 0.0})
     batch_ids: set = field(default_factory=set)
@@ -152,8 +152,11 @@ def spread_by_window(df: DataFrame, backend: Backend, key: str, sizes: dict[int,
 def run_model(requests: DataFrame, backend: Backend, kind: str = "requests") -> DataFrame:
     """The replies of ``REPLY`` for every request the model answered, written to the shared folder.
 
-    One task per partition of ``requests``; see ``spread``. Calls, tokens and
-    cost are observed on the rows as they are written, for the backend's meter.
+    One task per partition of ``requests``; see ``spread``. For the backend's
+    meter, calls, tokens and cost are summed from the narrow columns of what was
+    written: contents are not read again, and a task that ran twice counts once.
+    (An observation on the write would do, but leaves its session unable to ship
+    linear models that were fitted in it: their closures then hold its manager.)
     """
     fn, rows = backend.fn, backend.rows_per_call
 
@@ -168,15 +171,14 @@ def run_model(requests: DataFrame, backend: Backend, kind: str = "requests") ->
             yield reply.astype({c: "Int64" for c in USAGE} | {"batch_id": object})
 
     started = time.perf_counter()
-    replies, seen = requests.mapInPandas(call, REPLY), Observation()
+    replies = materialize(requests.mapInPandas(call, REPLY), "replies")
     if backend.meter is not None:
+        elapsed = time.perf_counter() - started
         dollars = request_cost(F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read_input_tokens"),
                                batch=backend.batch, price=backend.price)
-        replies = replies.observe(seen, F.count("*").alias("n_calls"), *[F.sum(c).alias(c) for c in USAGE],
-                                  F.sum(dollars).alias("total_cost_usd"), F.collect_set("batch_id").alias("batch_ids"))
-    replies = materialize(replies, "replies")
-    if backend.meter is not None:
-        backend.meter.add(kind, seen.get, time.perf_counter() - started)
+        counted = replies.agg(F.count("*").alias("n_calls"), *[F.sum(c).alias(c) for c in USAGE],
+                              F.sum(dollars).alias("total_cost_usd"), F.collect_set("batch_id").alias("batch_ids")).first()
+        backend.meter.add(kind, counted.asDict(), elapsed)
     return replies
 
 

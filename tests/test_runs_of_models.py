@@ -65,7 +65,7 @@ def test_a_lookup_neither_shuffles_nor_sorts_what_is_cached(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_usage_is_counted_on_the_write(spark, odd, tmp_path):
+def test_usage_is_counted_once(spark, odd, tmp_path):
     meter = I.Meter()
     backend = I.Backend("lead", lead_words, price={"input": 2.0, "output": 4.0, "cache_read": 0.0}, batch=True, meter=meter)
     for _ in range(2):  # the second time nothing is asked
