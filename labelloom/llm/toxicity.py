@@ -13,8 +13,9 @@ calibrated threshold: each label counts by the inverse of its class's drawing
 rate, so that the curve sees the classes in the shares they have in the corpus.
 
 Labels learn from a bounded sample (``ToxicSettings``): texts that share their
-smallest shingle are copies of each other and count once, so that a large group
-of labelled copies cannot pass for a kind of speech. Scoring covers every text.
+smallest shingle are copies of each other and the one of smallest id counts, so
+that a large group of labelled copies cannot pass for a kind of speech. Scoring
+covers every text.
 
 Defined results: null and empty texts have no window and get the score of
 none; labels other than 0 and 1, null labels and labels without a document are
@@ -76,7 +77,7 @@ class ToxicModel:
     toxic: bytes
     ordinary: bytes
     log_ratio: tuple[float, ...]  # of each window's distances, zero where they are no evidence
-    rate: float  # evidence words that a toxic text has more than an ordinary one, to a word
+    rate: float  # words with evidence that a toxic text has more than an ordinary one, to a word
     slope: float
     offset: float
 
@@ -195,15 +196,16 @@ class Distance:
         at = self._places(text)
         return np.bincount(self.bins[at].ravel(), minlength=BINS * len(HEADS))
 
-    def evidence(self, text: str | None, log_ratio: np.ndarray) -> tuple[float, int, int]:
-        """Evidence of a text's words, each by its strongest window; how many words have any; how many there are."""
+    def evidence(self, text: str | None, log_ratio: np.ndarray) -> np.ndarray:
+        """That of each word of a text, by its strongest window."""
         at = self._places(text)
-        each = log_ratio[self.bins[at]].max(axis=1, initial=0.0)
-        return float(each.sum()), int(np.count_nonzero(each)), len(each)
+        return log_ratio[self.bins[at]].max(axis=1, initial=0.0)
 
 
-def _measure(evidence: float, words: int, rate: float) -> float:
-    return min(max(evidence - rate * words, -6.0), 20.0)
+def strongest_run(evidence: np.ndarray, rate: float) -> float:
+    """The greatest sum of evidence, less ``rate`` a word, of any run of words; 0 for the empty run, 20 at most."""
+    sums = np.concatenate([[0.0], np.cumsum(evidence - rate)])
+    return min(float((sums - np.minimum.accumulate(sums)).max()), 20.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -245,11 +247,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSetti
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([_family(t) for t in batch.column("text").to_pylist()], pa.int64())], ["toxic", "text", "family"])
+                [*batch.columns, pa.array([_family(t) for t in batch.column("text").to_pylist()], pa.int64())], ["id", "toxic", "text", "family"])
 
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("text is not null")
-    sample = texts.join(drawn, "id").select("toxic", "text").mapInArrow(families, "toxic int, text string, family bigint")
-    sample = materialize(sample.dropDuplicates(["family"]).withColumn("part", F.pmod(F.xxhash64("family"), F.lit(10))), "toxic-sample")
+    sample = texts.join(drawn, "id").select("id", "toxic", "text")
+    named = T.StructType([*sample.schema.fields, T.StructField("family", T.LongType())])
+    sample = sample.mapInArrow(families, named).groupBy("family").agg(F.min(F.struct("id", "toxic", "text")).alias("first"))
+    sample = materialize(sample.select("first.toxic", "first.text", "family").withColumn("part", F.pmod(F.xxhash64("family"), F.lit(10))), "toxic-sample")
     train, kept = sample.filter("part < 7").select("toxic", "text"), sample.filter("part >= 7").select("toxic", "text")
     of_class = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_plain = of_class.get(1, 0), of_class.get(0, 0)
@@ -312,19 +316,29 @@ def fit(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSetti
     log_ratio = np.subtract(*np.log((seen[::-1] + PRIOR * share) / (total[::-1] + PRIOR)))
     log_ratio = np.where(log_ratio >= EVIDENCE, log_ratio, 0.0)
 
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance, sums = Distance(toxic, ordinary), np.zeros((2, 2), dtype=np.int64)
+        for batch in slices(batches, "text"):
+            for kind, t in zip(*map(pa.Array.to_pylist, batch.columns)):
+                each = distance.evidence(t, log_ratio)
+                sums[kind] += np.count_nonzero(each), len(each)
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), *map(pa.array, sums.T)], ["toxic", "hits", "words"])
+
+    counted = kept.mapInArrow(hits, "toxic int, hits bigint, words bigint").groupBy("toxic").agg(F.sum("hits").alias("h"), F.sum("words").alias("w"))
+    of_kind = {r["toxic"]: r["h"] / max(1, r["w"]) for r in counted.collect()}
+    rate = max(0.0, of_kind.get(1, 0.0) - of_kind.get(0, 0.0))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(toxic, ordinary)
         for batch in slices(batches, "text"):
-            rows = [distance.evidence(t, log_ratio) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, zip(*rows))], ["toxic", "evidence", "hits", "words"])
+            runs = [strongest_run(distance.evidence(t, log_ratio), rate) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(runs, pa.float64())], ["toxic", "run"])
 
-    rows = kept.mapInArrow(measure, "toxic int, evidence double, hits bigint, words bigint").toArrow()
-    y, evidence, hits, words = (rows.column(c).to_numpy().astype(float) for c in rows.column_names)
+    rows = kept.mapInArrow(measure, "toxic int, run double").toArrow().sort_by([("toxic", "ascending"), ("run", "ascending")])
+    y, runs = (rows.column(c).to_numpy().astype(float) for c in rows.column_names)
     if len(np.unique(y)) < 2:
         return ToxicModel(toxic, ordinary, tuple(log_ratio.tolist()), 0.0, 1.0, float(np.log(sizes[1] / sizes[0])))
-    rates = [hits[y == kind].sum() / max(1.0, words[y == kind].sum()) for kind in (0, 1)]
-    rate = max(0.0, rates[1] - rates[0])
-    slope, offset = _logistic(np.array([_measure(e, n, rate) for e, n in zip(evidence, words)]), y, 1 / drawing[y.astype(int)])
+    slope, offset = _logistic(runs, y, 1 / drawing[y.astype(int)])
     return ToxicModel(toxic, ordinary, tuple(log_ratio.tolist()), float(rate), slope, offset)
 
 
@@ -334,9 +348,8 @@ def score(docs: DataFrame, model: ToxicModel, *, text: str = "text", keep: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance, ratio = Distance(model.toxic, model.ordinary), np.array(model.log_ratio)
         for batch in slices(batches, "_text"):
-            found = [distance.evidence(t, ratio) for t in batch.column("_text").to_pylist()]
-            sums = np.array([_measure(e, n, model.rate) for e, _, n in found])
-            odds = np.clip(model.slope * sums + model.offset, -30, 30)
+            runs = np.array([strongest_run(distance.evidence(t, ratio), model.rate) for t in batch.column("_text").to_pylist()])
+            odds = np.clip(model.slope * runs + model.offset, -30, 30)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-odds)), pa.float64())], [*keep, out])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
