@@ -235,7 +235,10 @@ FROM every GROUP BY conv_id"""
 
 @query("op9_chat_format", OP9_SQL)
 def op9(spark, sf_dir):
-    stored = canonical_table(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     one = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(F.array(
         *[F.struct(F.lit(r).alias("role"), F.lit(_TRICKY).alias("content")) for r in ("user", "assistant")]).alias("messages"))).alias("record"))
-    return format_digests(stored.unionByName(canonical_json(one, "record", ("conv_id",)).select("conv_id", "turns")))
+    added = canonical_json(one, "record", ("conv_id",)).select("conv_id", F.posexplode("turns").alias("turn", "said"))
+    # As rows of turns, so that a stored conversation of the same id and the added one are one conversation.
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        added.select("conv_id", "turn", "said.role", "said.text"))
+    return format_digests(canonical_table(rows))
