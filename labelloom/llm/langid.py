@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -261,13 +261,18 @@ class Labeller:
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())])
 
 
+def _ship(docs: DataFrame, model: LanguageModel):
+    """Buckets x languages numbers, whatever the corpus, as a plain tuple: workers need no class of this package to read it."""
+    return docs.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
+
+
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
              lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``keep`` columns with the predicted language of each text and the share of its letters in that language."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the corpus
+    shipped = _ship(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shipped.value)
+        labeller = Labeller(LanguageModel(*shipped.value))
         for batch in slices(batches, "_text"):
             langs, scores = labeller.label(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
@@ -279,10 +284,10 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
 
 def spans(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``spans``: runs of words in one language, by number of the first word and count of words."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = _ship(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, names = Labeller(shipped.value), shipped.value.languages
+        labeller, names = Labeller(LanguageModel(*shipped.value)), shipped.value[0]
         for batch in slices(batches, "_text"):
             out = []
             for _, path in labeller.paths(batch.column("_text").to_pylist()):
