@@ -14,9 +14,13 @@ their lower bound until none can hold a better vector, and entries are passed
 over without computing their distance where the stored one to their parent
 rules them out. Every vector is indexed; scores are exact integers.
 
+Components are 64-bit integers, kept in 32 bits where all of a table fit; products
+are summed in 64 bits where no sum of the table can leave them, and as Python's
+integers otherwise, so that any finite vector takes part.
+
 Defined results: vectors that are null, or hold a null or non-finite component,
-take no part, nor do those with a scaled component of 2^28 or more (their
-products would not fit 64 bits); shorter vectors count as padded with zeros; a
+take no part; scaled components and scores beyond 64 bits count as the greatest
+or least 64-bit number; shorter vectors count as padded with zeros; a
 row is no candidate of a query of the same id; ties go to the smaller id; rows
 that repeat an id are candidates each, and their queries share one ranking.
 """
@@ -38,7 +42,8 @@ from labelloom.session import materialize
 PIVOTS = 32
 # Vectors of a subtree, entries of a leaf page and of an inner page, queries of a block: all at most about.
 SUBTREE, LEAF, FAN, BLOCK = 8192, 128, 16, 2048
-LIMIT = 1 << 28
+# What a 64-bit integer holds.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 _NODE = ("subtree bigint, node int, leaf boolean, ids array<bigint>, objects binary, extra array<double>, "
          "radii array<double>, to_parent array<double>")
@@ -48,11 +53,19 @@ def quantized(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embe
     """``vec_id, parts``: floor(scale * x) of each component of the vectors that take part."""
     x = F.col(f"`{vector}`").cast("array<double>")
     parts = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c).cast("long"))
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) * F.lit(float(scale)) >= F.lit(float(LIMIT))))
+    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.when(~bad, parts).alias("parts"))
     return rows.filter("vec_id is not null and parts is not null")
 
 
+def products(objects: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Exact inner products, within 64 bits; rows of Python's integers where sums might not fit."""
+    if objects.dtype != object and target.dtype != object:
+        return objects @ target
+    exact = (objects.astype(object) * target.astype(object)).sum(axis=1)
+    return np.array([min(max(int(v), LEAST), MOST) for v in exact], dtype=np.int64)
+
+
 class Subtree:
     """Pages of one M-tree, by number; page 0 is the root."""
 
@@ -62,7 +75,7 @@ class Subtree:
     @classmethod
     def build(cls, ids: np.ndarray, objects: np.ndarray, extra: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> Subtree:
         tree = cls()
-        full = np.concatenate([objects, extra[:, None]], axis=1)
+        full = np.concatenate([objects.astype(float), extra[:, None]], axis=1)
 
         def page(rows: np.ndarray, center: int | None) -> int:
             number = len(tree.pages)
@@ -97,7 +110,8 @@ class Subtree:
     def search(self, target: np.ndarray, own: int, k: int, norm: float, floor_: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id) for a query, best first; only scores of ``floor_`` at least need be found."""
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst kept is on top
-        base = float(target @ target) + norm
+        flat = target.astype(float)
+        base = float(flat @ flat) + norm
         if not self.pages:
             return []
 
@@ -109,7 +123,9 @@ class Subtree:
                 score = floor_
             else:
                 return np.inf
-            return np.sqrt(max(0.0, base - 2.0 * score)) * (1 + 1e-9) + 1e-6
+            if score == LEAST:
+                return np.inf  # lower ones count as equal
+            return np.sqrt(max(0.0, base - 2.0 * score)) + 1e-7 * np.sqrt(base) + 1e-6  # beyond what rounding can do
 
         waiting = [(0.0, 0, np.nan)]  # lower bound, page, distance to the page's routing object
         while waiting:
@@ -123,7 +139,7 @@ class Subtree:
                 ids, objects, radii = ids[some], objects[some], radii[some]
             if not len(ids):
                 continue
-            scores = objects @ target
+            scores = products(objects, target)
             if leaf:
                 other = ids != own
                 for score, vec_id in zip(scores[other].tolist(), ids[other].tolist()):
@@ -133,42 +149,47 @@ class Subtree:
                     elif item > best[0]:
                         heapq.heapreplace(best, item)
             else:
-                away = np.sqrt(np.maximum(0.0, base - 2.0 * scores))
+                away = np.sqrt(np.maximum(0.0, base - 2.0 * (objects.astype(float) @ flat)))
                 for child, distance, lower in zip(ids.tolist(), away.tolist(), np.maximum(0.0, away - radii).tolist()):
                     if lower <= limit:
                         heapq.heappush(waiting, (lower, child, distance))
         return [(score, -neg) for score, neg in sorted(best, reverse=True)]
 
 
-def _packed(parts: Column, width: int) -> Column:
-    """Components as big-endian 32-bit integers, padded with zeros."""
+def _packed(parts: Column, width: int, size: int) -> Column:
+    """Components as big-endian integers of ``size`` bytes, padded with zeros."""
     padded = F.concat(parts, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), F.lit(width) - F.size(parts))))
-    digits = F.transform(padded, lambda c: F.lpad(F.hex(F.pmod(c, F.lit(1 << 32))), 8, "0"))
+    digits = F.transform(padded, lambda c: F.lpad(F.hex(c if size == 8 else F.pmod(c, F.lit(1 << 32))), 2 * size, "0"))
     return F.unhex(F.array_join(digits, ""))
 
 
-def _unpacked(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=">i4").reshape(-1, width).astype(np.int64)
+def _unpacked(column: pa.Array, width: int, size: int, exact: bool) -> np.ndarray:
+    """Rows of components, 64-bit integers or, where their products need more, Python's."""
+    found = np.frombuffer(b"".join(column.to_pylist()), dtype=f">i{size}").reshape(-1, width).astype(np.int64)
+    return found if exact else found.astype(object)
 
 
 def build_index(vectors: DataFrame) -> tuple[DataFrame, dict]:
     """Pages of the subtrees of ``vectors`` (vec_id, parts; a written table), and what a search must know of them."""
-    facts = vectors.agg(F.max(F.size("parts")).alias("width"), F.max(F.aggregate(
-        "parts", F.lit(0).cast("long"), lambda a, c: a + c * c)).alias("norm"), F.count("*").alias("n")).first()
-    width, norm = max(1, facts["width"] or 1), float(facts["norm"] or 0)
-    packed = vectors.select("vec_id", _packed(F.col("parts"), width).alias("object"))
+    wide = F.transform("parts", lambda c: c.cast("double"))
+    facts = vectors.agg(F.max(F.size("parts")).alias("width"), F.max(F.aggregate(wide, F.lit(0.0), lambda a, c: a + c * c)).alias("norm"),
+                        F.max(F.array_max(F.transform(wide, F.abs))).alias("largest")).first()
+    width, norm, largest = max(1, facts["width"] or 1), float(facts["norm"] or 0), float(facts["largest"] or 0)
+    shape = (width, 4 if largest < 2.0 ** 31 else 8, largest * largest * width < 2.0 ** 62)
+    packed = vectors.select("vec_id", _packed(F.col("parts"), width, shape[1]).alias("object"))
     pivots = packed.orderBy(F.xxhash64("vec_id"), "vec_id", "object").limit(PIVOTS).toArrow()
     pivot_ids = pivots.column("vec_id").to_numpy()
-    centers = _unpacked(pivots.column("object").combine_chunks(), width) if len(pivots) else np.zeros((1, width), np.int64)
+    centers = _unpacked(pivots.column("object").combine_chunks(), *shape) if len(pivots) else np.zeros((1, width), np.int64)
+    middles = centers.astype(float)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lift = np.sqrt(np.maximum(0.0, norm - (centers * centers).sum(axis=1)))
+        lift = np.sqrt(np.maximum(0.0, norm - (middles * middles).sum(axis=1)))
         for batch in batches:
             if batch.num_rows:
-                x = _unpacked(batch.column("object"), width)
+                x = _unpacked(batch.column("object"), *shape).astype(float)
                 own = (x * x).sum(axis=1)
                 extra = np.sqrt(np.maximum(0.0, norm - own))
-                apart = own[:, None] + (centers * centers).sum(axis=1) - 2 * (x @ centers.T) + (extra[:, None] - lift) ** 2
+                apart = own[:, None] + (middles * middles).sum(axis=1) - 2 * (x @ middles.T) + (extra[:, None] - lift) ** 2
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(apart.argmin(axis=1), pa.int64())], ["vec_id", "object", "cell"])
 
     dealt = materialize(packed.mapInArrow(nearest, "vec_id long, object binary, cell long"), "cells")
@@ -176,26 +197,26 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, dict]:
     placed = dealt.join(sizes, "cell").select("vec_id", "object", (F.col("cell") + PIVOTS * F.pmod(F.xxhash64("vec_id", "object"), F.col("parts"))).alias("subtree"))
 
     def grow(rows: pa.Table) -> pa.Table:
-        x = _unpacked(rows.column("object").combine_chunks(), width)
+        x = _unpacked(rows.column("object").combine_chunks(), width, shape[1], True)
         ids, number = rows.column("vec_id").to_numpy(), rows.column("subtree")[0].as_py()
         order = np.lexsort((*x.T[::-1], ids))
         x, ids = x[order], ids[order]
-        pages = Subtree.build(ids, x, np.sqrt(np.maximum(0.0, norm - (x * x).sum(axis=1)))).pages
+        pages = Subtree.build(ids, x, np.sqrt(np.maximum(0.0, norm - (x.astype(float) ** 2).sum(axis=1)))).pages
         return pa.table({
             "subtree": pa.array([number] * len(pages), pa.int64()), "node": pa.array(list(pages), pa.int32()),
             "leaf": [p[0] for p in pages.values()], "ids": pa.array([p[1].tolist() for p in pages.values()], pa.list_(pa.int64())),
-            "objects": pa.array([p[2].astype("<i4").tobytes() for p in pages.values()], pa.binary()),
+            "objects": pa.array([p[2].astype(f">i{shape[1]}").tobytes() for p in pages.values()], pa.binary()),
             **{name: pa.array([p[i].tolist() for p in pages.values()], pa.list_(pa.float64())) for i, name in ((3, "extra"), (4, "radii"), (5, "to_parent"))}})
 
     pages = materialize(placed.groupBy("subtree").applyInArrow(grow, _NODE), "mtree")
-    return pages, {"width": width, "norm": norm, "sample": (pivot_ids, centers if len(pivots) else centers[:0])}
+    return pages, {"shape": shape, "norm": norm, "sample": (pivot_ids, centers if len(pivots) else centers[:0])}
 
 
 def search(pages: DataFrame, known: dict, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` for ``queries`` (vec_id, parts), which should be a written table."""
-    width, norm, (sample_ids, sample) = known["width"], known["norm"], known["sample"]
+    shape, norm, (sample_ids, sample) = known["shape"], known["norm"], known["sample"]
     blocks = max(1, -(-queries.count() // BLOCK))
-    asked = queries.select(F.col("vec_id").alias("query_id"), _packed(F.col("parts"), width).alias("target"),
+    asked = queries.select(F.col("vec_id").alias("query_id"), _packed(F.col("parts"), *shape[:2]).alias("target"),
                            F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     trees = materialize(pages.select("subtree").distinct(), "subtrees")
     # The stated queries, in blocks, against every subtree.
@@ -206,13 +227,13 @@ def search(pages: DataFrame, known: dict, queries: DataFrame, k: int = 10) -> Da
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         tree = Subtree()
         for p in left.to_pylist():
-            objects = np.frombuffer(p["objects"], dtype="<i4").reshape(-1, width).astype(np.int64)
+            objects = _unpacked(pa.array([p["objects"]], pa.binary()), *shape)
             tree.pages[p["node"]] = (p["leaf"], np.array(p["ids"], dtype=np.int64), objects, None, np.array(p["radii"]), np.array(p["to_parent"]))
         out: list[tuple[int, int, int]] = []
         if len(right) and tree.pages:
-            targets = _unpacked(right.column("target").combine_chunks(), width)
+            targets = _unpacked(right.column("target").combine_chunks(), *shape)
             for own, target in zip(right.column("query_id").to_pylist(), targets):
-                first = np.sort((sample @ target)[sample_ids != own])
+                first = np.sort(products(sample, target)[sample_ids != own])
                 floor_ = int(first[-k]) if len(first) >= k else None
                 out += [(own, vec_id, score) for score, vec_id in tree.search(target, own, k, norm, floor_)]
         columns = list(zip(*out)) or [(), (), ()]
