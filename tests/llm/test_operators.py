@@ -140,6 +140,25 @@ def test_top_k_equals_brute_force_with_ties_and_odd_vectors(spark, monkeypatch):
         assert [got[q][k] for k in range(1, 11)] == [(i, -s) for s, i in best]
 
 
+def test_top_k_of_any_finite_vector_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "SUBTREE", 30)
+    monkeypatch.setattr(mtree, "LEAF", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(-2, 15)]) for i in range(0, 200, 2)]
+    rows += [(300, [1e300, 0.0, 0.0]), (301, [-1e300, 0.0, 0.0]), (303, [262144.0, 1.0, 0.0])]
+    vectors = materialize(mtree.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "wide")
+    pages, known = mtree.build_index(vectors)
+    got = {}
+    for r in mtree.search(pages, known, materialize(vectors.filter("vec_id % 100 = 0"), "q")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    kept = lambda v: min(max(v, mtree.LEAST), mtree.MOST)
+    parts = {i: [kept(int(np.floor(1024 * c))) for c in v] for i, v in rows}
+    assert set(got) == {0, 100, 300}
+    for q in got:
+        best = sorted((-kept(sum(a * b for a, b in zip(parts[q], v))), i) for i, v in parts.items() if i != q)[:10]
+        assert [got[q][k] for k in range(1, 11)] == [(i, -s) for s, i in best]
+
+
 def test_top_k_of_an_empty_table_and_of_few_rows(spark):
     for rows in ([], [(0, [1.0])], [(0, [1.0]), (1, [2.0])]):
         v = materialize(mtree.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), "v")
@@ -442,6 +461,16 @@ def test_chat_layouts_and_exact_round_trip(spark):
         chat.canonical_table(table_.select("conv_id", "text"))
 
 
+def test_a_stored_conversation_of_the_added_id_is_one_with_it(spark, tmp_path):
+    rows = [(-7, 2, "user", "more"), (1, 0, "user", "hi"), (1, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op9(spark, str(tmp_path)).collect()}
+    tricky = "\\### Assistant: </turn> ok"
+    whole = f"user\n{tricky}\nassistant\n{tricky}\nuser\nmore\n"
+    assert {k: r.n_turns for k, r in got.items()} == {-7: 3, 1: 2}
+    assert got[-7].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest() and got[-7].loss_chars == len(tricky)
+
+
 def test_json_records_choose_their_layout(spark):
     records = {'{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":null}],"id":3}': ("messages", [("user", "q"), ("assistant", "")]),
                '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}': ("shares", [("user", "q"), ("assistant", "a")]),
@@ -480,7 +509,35 @@ def test_toxic_words_are_found_in_held_out_documents(spark, odd):
     assert toxicity.score(odd, toxicity.fit(docs, marked.limit(0))).count() == len(ODD)
 
 
-# 1: mixing
+def test_strongest_run_is_that_of_all_runs():
+    rnd = random.Random(12)
+    for n in (0, 1, 2, 7, 30):
+        each = np.array([rnd.choice([0.0, 0.0, 1.5, 3.0]) for _ in range(n)])
+        runs = [each[a:b].sum() - 0.7 * (b - a) for a in range(n + 1) for b in range(a, n + 1)]
+        assert np.isclose(toxicity.strongest_run(each, 0.7), min(max(runs), 20.0))
+
+
+def test_toxic_passages_in_long_texts_and_copies_of_two_labels(spark):
+    rnd = random.Random(11)
+    parts, bad = ["the", "an", "tion", "er", "ing", "ou", "re"], ["zorgblat", "quixfump", "vlimsk"]
+    rows = []
+    for i in range(500):
+        words = made_up(rnd, parts, 60).split()
+        for _ in range(4 * (i % 3 == 0)):
+            words.insert(rnd.randrange(len(words)), rnd.choice(bad))
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[1][1]) for i in range(50)]  # copies, labelled at odds
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    models = [toxicity.fit(documents(spark, rows).repartition(n), spark.createDataFrame(labels, "doc_id long, toxic int").repartition(n))
+              for n in (1, 3, 8)]
+    assert models[0] == models[1] == models[2]
+    clean = made_up(rnd, parts, 10000).split()
+    passage = made_up(rnd, parts, 60).split()
+    for at in (5, 15, 25, 30, 44, 52):
+        passage.insert(at, rnd.choice(bad))
+    asked = documents(spark, [(1, " ".join(clean)), (2, " ".join(clean[:5000] + passage + clean[5000:])), (3, " ".join(passage))])
+    assert {r.doc_id: r.score >= 0.5 for r in toxicity.score(asked, models[0]).collect()} == {1: False, 2: True, 3: True}
+
 
 def test_toxic_curve_sees_the_true_shares_of_the_classes(spark, monkeypatch):
     rnd, seen, curve = random.Random(8), [], toxicity._logistic
@@ -526,6 +583,8 @@ def brute_probabilities(cells, alphas, budget):
     return dict(zip(keys, np.minimum(1, w / most)))
 
 
+# 1: mixing
+
 def test_mixing_equals_brute_force(spark):
     rnd = random.Random(11)
     rows = [(i, "w " * rnd.randint(1, 30) + rnd.choice(["", "a@b", "license"]), rnd.choice(["en", "en", "de"]), rnd.choice(["s0"] * 5 + ["s1", "s2"])) for i in range(400)]
