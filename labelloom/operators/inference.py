@@ -16,6 +16,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,8 @@ REPLY = T.StructType([T.StructField("custom_id", T.StringType()), T.StructField(
 CLASSIFY_MAX_TOKENS = 64
 RAW_KEY = "raw"
 NUM_CTX = 16384
+# Characters of text for a task that calls the model, where the number of those tasks is fixed.
+CALL_CHARS = 1 << 27
 
 
 @dataclass
@@ -65,7 +68,8 @@ class Meter:
 class Backend:
     """A model function and how to drive it.
 
-    ``parallel_calls`` is the number of tasks that call the model at once,
+    ``parallel_calls`` is the number of tasks that call the model at once (more
+    text than these hold is sent in rounds, one after the other),
     ``rows_per_call`` the number of requests handed over at a time. With
     ``prompt_tokens`` a prompt that needs more than ``num_ctx`` tokens gets a
     larger context window, up to ``max_ctx``. ``price`` is in dollars for a
@@ -192,9 +196,19 @@ def keyed_documents(docs: DataFrame, fractions: list[float], *, model_tag: str,
 
     Fractions of 1 or more stand for the document itself: key "raw", no request.
     """
+    return _keyed(docs, fractions, model_tag=model_tag, prompts=prompts, temperature=temperature, seed=seed).drop("_place", "_chars")
+
+
+def _place() -> Column:
+    """Where a text is looked for: a hash of its id and of the text itself, so ids that many texts share find few candidates."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def _keyed(docs: DataFrame, fractions: list[float], *, model_tag: str, prompts: PromptSet, temperature: float, seed: int) -> DataFrame:
+    """As ``keyed_documents``, with the place and the length of each text."""
     # Words and digest are taken once per document, below the explode. A null text counts as empty.
     counted = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", X.word_count("text", at_least_one=True).alias("source_words"),
-                          X.doc_digest("text").alias("_digest"))
+                          X.doc_digest("text").alias("_digest"), _place().alias("_place"), F.length("text").cast("long").alias("_chars"))
     swept = counted.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     asked = F.greatest(F.lit(X.MIN_TARGET_WORDS), F.ceil(F.col("fraction") * F.col("source_words")).cast("int"))
     is_raw = F.col("fraction") >= 1.0
@@ -220,7 +234,7 @@ def summarize(docs: DataFrame, fractions: float | list[float], *, backend: Backe
     """
     spark = docs.sparkSession
     fractions = fractions if isinstance(fractions, list) else [fractions]
-    keyed = keyed_documents(docs, fractions, model_tag=model_tag, prompts=prompts, temperature=temperature, seed=seed)
+    keyed = _keyed(docs, fractions, model_tag=model_tag, prompts=prompts, temperature=temperature, seed=seed)
     raw = keyed.where(F.col("cache_key") == RAW_KEY).select(
         "doc_id", "fraction", F.col("text").alias("summary"), "cache_key", F.lit(True).alias("cache_hit"),
         "target_words", "source_words")
@@ -228,54 +242,75 @@ def summarize(docs: DataFrame, fractions: float | list[float], *, backend: Backe
         return raw
     known = caches.read_summaries(spark, cache_path, model_tag, prompts.version)
     ids = materialize(keyed.where(F.col("cache_key") != RAW_KEY).select(
-        "doc_id", "fraction", "cache_key", "target_words", "source_words", F.monotonically_increasing_id().alias("_row")), "summary-keys")
+        "doc_id", "fraction", "cache_key", "target_words", "source_words", "_place", "_chars", F.monotonically_increasing_id().alias("_row")), "summary-keys")
     # Narrow keys meet the cache first; texts are fetched only for what it lacks. Rows of a key share text and lengths.
-    keys = ids.groupBy("cache_key").agg(F.min(F.xxhash64("doc_id")).alias("_place"), *[
-        F.min(c).alias(c) for c in ("fraction", "target_words", "source_words")])
+    keys = ids.groupBy("cache_key").agg(*[F.min(c).alias(c) for c in ("_place", "_chars", "fraction", "target_words", "source_words")])
     keys = materialize(keys, "summary-distinct-keys")
     lacking = materialize(missing_keys(keys, known), "summary-misses-keys")
 
-    def key(digest: Column) -> Column:
-        return X.summary_key(digest=digest, target="target_words", model_tag=model_tag, prompt_version=prompts.cache_version,
+    def key(digest: Column, asked: Column) -> Column:
+        return X.summary_key(digest=digest, target=asked["target_words"], model_tag=model_tag, prompt_version=prompts.cache_version,
                              temperature=temperature, seed=seed)
 
-    misses = materialize(fetch_texts(docs, lacking, key, backend), "summary-misses")
-    _same_number(lacking, misses)
-    requests = with_options(summary_requests(spread(misses, backend, "cache_key"), prompts), model=model_tag,
-                            temperature=temperature, seed=seed, num_ctx=backend.num_ctx)
-    replies = run_model(requests, backend, "summarize")
-
-    answered = misses.join(replies.withColumnRenamed("custom_id", "cache_key"), "cache_key")
+    # A text is moved and stored once, with all keys that want it; it is repeated only where its prompts are written.
+    n_rounds = _rounds(lacking, backend)
+    misses = fetch_texts(docs, lacking, key).withColumn("_round", F.pmod(F.xxhash64(F.col("asked")[0]["cache_key"]), F.lit(n_rounds)).cast("int"))
+    misses = materialize(misses, "summary-misses", ("_round",) if n_rounds > 1 else ())
+    _same_number(lacking, misses.select(F.explode("asked")))
+    replies = []
+    for n in range(n_rounds):
+        texts = misses.where(F.col("_round") == n) if n_rounds > 1 else misses
+        spread_texts = spread(texts.withColumn("_first", F.col("asked")[0]["cache_key"]), backend, "_first")
+        requests = with_options(summary_requests(spread_texts.select("text", F.inline("asked")), prompts), model=model_tag,
+                                temperature=temperature, seed=seed, num_ctx=backend.num_ctx)
+        replies.append(run_model(requests, backend, "summarize"))
+    replies = reduce(DataFrame.unionByName, replies)
+
+    # What is kept of a text beside its summary is narrow: texts are not moved again.
+    answered = misses.select("digest", F.inline("asked")).join(replies.withColumnRenamed("custom_id", "cache_key"), "cache_key")
     fresh = answered.where(F.col("content").isNotNull()).select(
-        "cache_key", X.strip_spaces("content").alias("text"), X.doc_digest("text").alias("doc_sha1"), "target_words",
+        "cache_key", X.strip_spaces("content").alias("text"), F.col("digest").alias("doc_sha1"), "target_words",
         "source_words", "fraction", F.lit(float(temperature)).alias("temperature"), F.lit(int(seed)).alias("seed"),
         F.lit(model_tag).alias("model_tag"), F.lit(prompts.version).alias("prompt_version"))
     fresh = materialize(fresh, "summaries")
     # Which keys were there before is settled before the cache grows.
     hits = materialize(caches.lookup(keys.join(lacking, "cache_key", "left_anti"), known, "text").withColumnRenamed("text", "summary"), "summary-hits")
     caches.append_summaries(fresh, cache_path)
-    lost = misses.count() - fresh.count()
+    lost = lacking.count() - fresh.count()
     if lost:
         raise MissingReplies(f"{lost} summaries missing; some requests failed or expired")
 
     made = fresh.select("cache_key", F.col("text").alias("summary"))
     texts = hits.withColumn("cache_hit", F.lit(True)).unionByName(made.withColumn("cache_hit", F.lit(False)))
-    done = fan_out_join(ids, texts, "cache_key", "_row").drop("_row")
+    done = fan_out_join(ids.drop("_place", "_chars"), texts, "cache_key", "_row").drop("_row")
     return raw.unionByName(done)
 
 
-def fetch_texts(docs: DataFrame, lacking: DataFrame, key: Callable[[Column], Column], backend: Backend | None = None,
-                tasks: int | None = None) -> DataFrame:
-    """``lacking`` (unique ``cache_key``, ``_place``: a hash of the id of a document that has it) with the text of each key.
+def _rounds(lacking: DataFrame, backend: Backend) -> int:
+    """How often the model's tasks have to be filled so that none gets more than about ``CALL_CHARS`` of text.
+
+    Only a number of calls that the backend fixes needs this; else the session's shuffle partitions go by the input.
+    """
+    if backend.parallel_calls is None:
+        return 1
+    texts = lacking.groupBy("_place").agg(F.max("_chars").alias("n")).agg(F.sum("n").alias("n")).first()["n"] or 0
+    return max(1, -(-texts // (backend.parallel_calls * CALL_CHARS)))
+
+
+def fetch_texts(docs: DataFrame, lacking: DataFrame, key: Callable[[Column, Column], Column]) -> DataFrame:
+    """``text, digest, asked``: each distinct text that ``lacking`` wants, with its rows there as an array of structs.
 
-    A place only finds candidates: ids may be null, repeated, or share a hash.
-    What a text is a text of is told by its key, made anew from its digest.
+    ``lacking`` has unique ``cache_key`` and ``_place``, see above, of a document that
+    has the text. A place only finds candidates, as hashes may be shared. What a
+    text is a text of is told by its keys, made anew from its digest.
     """
-    named = docs.select(F.xxhash64("doc_id").alias("_place"), F.coalesce("text", F.lit("")).alias("text"))
-    found = named.join(lacking, "_place").where(F.col("cache_key") == key(X.doc_digest("text"))).drop("_place")
-    tasks = tasks or (_tasks(docs, backend) if backend else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Copies of a text under one id meet in the task that will send it.
-    return found.repartition(tasks, "cache_key").dropDuplicates(["cache_key"])
+    wanted = lacking.groupBy("_place").agg(F.collect_list(F.struct(*[c for c in lacking.columns if c not in ("_place", "_chars")])).alias("asked"))
+    named = docs.select(_place().alias("_place"), F.coalesce("text", F.lit("")).alias("text"))
+    # The texts stream past the keys and are not sorted; what is taken apart by key is a text's own array.
+    found = named.join(wanted.hint("shuffle_hash"), "_place").withColumn("digest", X.doc_digest("text"))
+    own = found.withColumn("asked", F.filter("asked", lambda a: a["cache_key"] == key(F.col("digest"), a))).where(F.size("asked") > 0)
+    # Copies of a text under one id share their place, and so the task.
+    return own.dropDuplicates(["_place", "digest"]).drop("_place")
 
 
 def _same_number(lacking: DataFrame, fetched: DataFrame) -> None:
@@ -380,10 +415,11 @@ def embed(docs: DataFrame, encoder: EncoderFn, *, model_id: str, cache_path: str
 
     known = caches.read_embeddings(spark, cache_path, model_id)
     digest = X.doc_digest(F.coalesce("text", F.lit("")))
-    ids = materialize(docs.select("doc_id", key(digest).alias("cache_key"), F.monotonically_increasing_id().alias("_row")), "embedding-keys")
-    keys = materialize(ids.groupBy("cache_key").agg(F.min(F.xxhash64("doc_id")).alias("_place")), "embedding-distinct-keys")
+    ids = materialize(docs.select("doc_id", key(digest).alias("cache_key"), _place().alias("_place"), F.monotonically_increasing_id().alias("_row")), "embedding-keys")
+    keys = materialize(ids.groupBy("cache_key").agg(F.min("_place").alias("_place")), "embedding-distinct-keys")
     lacking = materialize(missing_keys(keys, known), "embedding-misses-keys")
-    misses = materialize(fetch_texts(docs, lacking, key, tasks=tasks), "embedding-misses")
+    found = fetch_texts(docs, lacking, lambda digest, _: key(digest)).select("text", F.inline("asked"))
+    misses = materialize(found, "embedding-misses")
     _same_number(lacking, misses)
     inputs = misses.select("cache_key", X.with_prefix("text", prefix).alias("text"))
     inputs = inputs.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "cache_key")
@@ -397,4 +433,4 @@ def embed(docs: DataFrame, encoder: EncoderFn, *, model_id: str, cache_path: str
     caches.append_embeddings(fresh, cache_path)
     both = hits.withColumn("cache_hit", F.lit(True)).unionByName(
         fresh.select("cache_key", "embedding").withColumn("cache_hit", F.lit(False)))
-    return fan_out_join(ids, both, "cache_key", "_row").drop("cache_key", "_row")
+    return fan_out_join(ids.drop("_place"), both, "cache_key", "_row").drop("cache_key", "_row")

@@ -168,3 +168,36 @@ def test_embedding_cache_and_normalization(spark, dupes, tmp_path):
     assert all(r["cache_hit"] for r in I.embed(dupes, encoder, model_id="e", cache_path=path).collect())
     raw = I.embed(dupes, encoder, model_id="e", cache_path=path, prefix="q: ", normalize=False).collect()
     assert {tuple(r["embedding"]) for r in raw} == {(3.0 * (len(t) + 3), 4.0 * (len(t) + 3)) for t in DUPES}
+
+
+def test_ids_that_texts_share_find_each_text_once(spark, monkeypatch):
+    """300 texts under three ids: as many candidates as texts, not a text for every other text of its id."""
+    docs = spark.createDataFrame([(i % 3 or None, f"text number {i} of this small corpus") for i in range(300)], "doc_id LONG, text STRING")
+    keyed = I._keyed(docs, [0.25, 0.5], model_tag="m", prompts=P.ZERO_SHOT, temperature=0.0, seed=0)
+    places = keyed.select("_place", "text").distinct()
+    assert places.count() == places.select("_place").distinct().count() == 300
+    lacking = keyed.drop("doc_id", "text")
+    found = I.fetch_texts(docs.union(docs), lacking, lambda digest, a: I.X.summary_key(
+        digest=digest, target=a["target_words"], model_tag="m", prompt_version=P.ZERO_SHOT.cache_version)).collect()
+    assert len(found) == 300 and all(len(r["asked"]) == 2 for r in found)  # a text once, with both of its rows
+
+
+def test_more_text_than_the_calls_hold_goes_in_rounds(spark, tmp_path, monkeypatch):
+    sizes = str(tmp_path / "sizes")
+
+    def noting(batches):
+        import os
+        import uuid
+        os.makedirs(sizes, exist_ok=True)
+        rows = [pdf.assign(content=pdf["prompt"].str.split("POST:\n").str[1].str[:12])[["custom_id", "content"]] for pdf in batches]
+        open(f"{sizes}/{sum(map(len, rows))}-{uuid.uuid4().hex}", "w").close()
+        yield from rows
+
+    import os
+    monkeypatch.setattr(I, "CALL_CHARS", 1000)
+    docs = spark.createDataFrame([(i, f"{i:012d} " + "word " * 20) for i in range(100)], "doc_id LONG, text STRING")
+    backend = I.Backend("t", noting, parallel_calls=2, meter=I.Meter())
+    out = I.summarize(docs, 0.25, backend=backend, model_tag="m", prompts=P.ZERO_SHOT, cache_path=str(tmp_path / "cache")).collect()
+    assert {r["doc_id"]: r["summary"] for r in out} == {i: f"{i:012d}" for i in range(100)}
+    seen = [int(f.split("-")[0]) for f in os.listdir(sizes)]
+    assert sum(seen) == backend.meter.totals["n_calls"] == 100 and max(seen) < 30  # about 9 texts a task; all in two tasks would be 50
