@@ -272,15 +272,17 @@ def summarize(docs: DataFrame, fractions: float | list[float], *, backend: Backe
         "cache_key", X.strip_spaces("content").alias("text"), F.col("digest").alias("doc_sha1"), "target_words",
         "source_words", "fraction", F.lit(float(temperature)).alias("temperature"), F.lit(int(seed)).alias("seed"),
         F.lit(model_tag).alias("model_tag"), F.lit(prompts.version).alias("prompt_version"))
-    fresh = materialize(fresh, "summaries")
     # Which keys were there before is settled before the cache grows.
     hits = materialize(caches.lookup(keys.join(lacking, "cache_key", "left_anti"), known, "text").withColumnRenamed("text", "summary"), "summary-hits")
-    caches.append_summaries(fresh, cache_path)
-    lost = lacking.count() - fresh.count()
+    caches.append_summaries(fresh, cache_path, model_tag, prompts.version)
+    arrived = replies.where(F.col("content").isNotNull()).select(F.col("custom_id").alias("cache_key"))
+    lost = lacking.join(arrived, "cache_key", "left_anti").count()
     if lost:
         raise MissingReplies(f"{lost} summaries missing; some requests failed or expired")
 
-    made = fresh.select("cache_key", F.col("text").alias("summary"))
+    # The new summaries are read from the cache, where they are stored anyway.
+    grown = caches.read_summaries(spark, cache_path, model_tag, prompts.version)
+    made = caches.lookup(lacking, grown, "text").withColumnRenamed("text", "summary")
     texts = hits.withColumn("cache_hit", F.lit(True)).unionByName(made.withColumn("cache_hit", F.lit(False)))
     done = fan_out_join(ids.drop("_place", "_chars"), texts, "cache_key", "_row").drop("_row")
     return raw.unionByName(done)

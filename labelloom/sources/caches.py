@@ -77,9 +77,9 @@ def read_summaries(spark: SparkSession, path: str, model_tag: str, prompt_versio
     return spark.table(bucketed_table(spark, path, SUMMARY, model_tag, prompt_version))
 
 
-def append_summaries(rows: DataFrame, path: str) -> None:
-    """Add rows, all of one model and prompt version."""
-    one = rows.select("model_tag", "prompt_version").first()
+def append_summaries(rows: DataFrame, path: str, *parts: str) -> None:
+    """Add rows, all of one model and prompt version; ``parts`` names these two where the rows are not to be asked for them."""
+    one = parts or rows.select("model_tag", "prompt_version").first()
     if one is not None:
         _append(rows, bucketed_table(rows.sparkSession, path, SUMMARY, *one))
 
