@@ -56,8 +56,11 @@ def ngrams(toks: Column, ngram_range: tuple[int, int]) -> Column:
     def of_length(n: int) -> Column:
         if n == 1:
             return toks
-        starts = F.sequence(F.lit(1), F.size(toks) - (n - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(n)), " "))
+        # Token by token beside its neighbours: no slice and join for every single n-gram.
+        whole = F.size(toks) - (n - 1)
+        grams = F.slice(toks, F.lit(1), whole)
+        for i in range(2, n + 1):
+            grams = F.zip_with(grams, F.slice(toks, F.lit(i), whole), lambda a, b: F.concat(a, F.lit(" "), b))
         return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
 
     sets = [of_length(n) for n in range(ngram_range[0], ngram_range[1] + 1)]

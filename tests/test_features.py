@@ -152,3 +152,13 @@ def test_documents_are_spread_over_the_tasks_asked_for(spark):
     df = spark.createDataFrame([(i, "aa bb") for i in range(50)], "doc_id LONG, text STRING")
     assert T.document_tokens(df, T.TfidfSettings(partitions=7)).rdd.getNumPartitions() == 7
     assert T.document_tokens(df, T.TfidfSettings()).rdd.getNumPartitions() == 4
+
+
+def test_ngrams_of_three_lengths(spark):
+    texts = [[], ["a"], ["a", "b"], ["a", "b", "c"], ["d", "d", "d", "d"]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, toks ARRAY<STRING>")
+    got = {r["i"]: r["g"] for r in rows.select("i", T.ngrams(F.col("toks"), (1, 3)).alias("g")).collect()}
+    assert got == {i: [" ".join(t[s:s + n]) for n in (1, 2, 3) for s in range(len(t) - n + 1)] for i, t in enumerate(texts)}
+    # Each token is joined with its neighbours, not cut out of the list again for every n-gram.
+    plan = rows.select(T.ngrams(F.col("toks"), (2, 2)).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan and "array_join" not in plan
