@@ -1,9 +1,10 @@
 """TF-IDF in long form: one row per (document, term).
 
-Fitted on the whole corpus. Documents are spread by id once, so counting terms
-per document needs no further exchange, and document frequencies shuffle only
-partial counts per term, so a term that occurs in nearly every document costs
-one row per task.
+Fitted on the whole corpus. Documents are dealt over blocks by id, a task each.
+Terms are counted and weighed inside their block: only one row per block and
+term goes to the term's count of documents, and one comes back with its idf, so
+that postings are never shuffled and a term of nearly every document costs one
+row per block.
 """
 
 from __future__ import annotations
@@ -67,18 +68,30 @@ def ngrams(toks: Column, ngram_range: tuple[int, int]) -> Column:
     return sets[0] if len(sets) == 1 else F.concat(*sets)
 
 
+def _tasks(spark: SparkSession, settings: TfidfSettings) -> int:
+    return settings.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def document_tokens(corpus: DataFrame, settings: TfidfSettings, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, [keep], toks``: the tokens of each document without stop words.
 
     Documents are spread by id over an explicit number of tasks, as n-grams
     multiply the text and adaptive coalescing would go by the text alone.
     """
-    tasks = settings.partitions or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = _tasks(corpus.sparkSession, settings)
     spread = corpus.select("doc_id", *keep, "text").repartition(tasks, "doc_id")
     toks = drop_stop_words(tokens("text", settings.lowercase), settings.stop_words)
     return spread.select("doc_id", *keep, toks.alias("toks"))
 
 
+def block_tokens(corpus: DataFrame, settings: TfidfSettings, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``block, doc_id, [keep], toks``: as above, in blocks by id with a task each; equal ids share a block."""
+    tasks = _tasks(corpus.sparkSession, settings)
+    placed = corpus.select(F.pmod(F.hash("doc_id"), F.lit(tasks)).alias("block"), "doc_id", *keep, "text").repartitionById(tasks, "block")
+    toks = drop_stop_words(tokens("text", settings.lowercase), settings.stop_words)
+    return placed.select("block", "doc_id", *keep, toks.alias("toks"))
+
+
 def term_counts(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, [keep], term, tf``. ``keep`` names columns of the document to carry along."""
     # The n-grams are exploded as an expression: for a plain column Spark infers
@@ -95,23 +108,46 @@ def document_frequencies(corpus: DataFrame, settings: TfidfSettings = TfidfSetti
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def block_frequencies(corpus: DataFrame, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
+    """``block, term, n``: the documents of each block that have a term, counted within the block."""
+    grams = F.array_distinct(ngrams(F.col("toks"), settings.ngram_range))
+    terms = block_tokens(corpus, settings).select("block", F.explode(grams).alias("term"))
+    return terms.groupBy("block", "term").agg(F.count("*").alias("n"))
+
+
 def vocabulary(frequencies: DataFrame, n_docs: Column, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
-    """``term, df, idf`` of the terms in at least min_df and at most max_df * n documents."""
+    """``term, df, idf, [more]`` of the terms in at least min_df and at most max_df * n documents."""
     df = F.col("df")
+    more = [c for c in frequencies.columns if c not in ("term", "df")]
     kept = frequencies.where((df >= settings.min_df) & (df <= F.lit(float(settings.max_df)) * n_docs))
-    return kept.select("term", "df", (F.log((n_docs + 1.0) / (df + 1.0)) + 1.0).alias("idf"))
+    return kept.select("term", "df", (F.log((n_docs + 1.0) / (df + 1.0)) + 1.0).alias("idf"), *more)
+
+
+def _weight(settings: TfidfSettings) -> Column:
+    tf = F.col("tf").cast("double")
+    return (F.log(tf) + 1.0 if settings.sublinear_tf else tf) * F.col("idf")
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
-    """``doc_id, [keep], term, weight`` with unit length per document.
+def weigh(corpus: DataFrame, block_terms: DataFrame, settings: TfidfSettings = TfidfSettings(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``block, doc_id, [keep], term, tf, idf, norm``: what ``unit_weights`` makes weights of unit length from.
 
-    A document without any term of the vocabulary has no rows.
+    ``block_terms``: block, term, idf of the terms known to each block, which
+    are sent there. A document without any of them has no rows.
     """
-    keep = [c for c in counts.columns if c not in ("term", "tf")]
-    tf = F.log(F.col("tf").cast("double")) + 1.0 if settings.sublinear_tf else F.col("tf").cast("double")
-    raw = counts.join(vocab.select("term", "idf"), "term").select(*keep, "term", (tf * F.col("idf")).alias("_w"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("doc_id")))
-    return raw.select(*keep, "term", (F.col("_w") / norm).alias("weight"))
+    # The n-grams are exploded as an expression, as in term_counts.
+    grams = ngrams(F.col("toks"), settings.ngram_range)
+    terms = block_tokens(corpus, settings, keep).select("block", "doc_id", *keep, F.explode(grams).alias("term"))
+    counts = terms.groupBy("block", "doc_id", *keep, "term").agg(F.count("*").alias("tf"))
+    sent = block_terms.select("block", "term", "idf").repartitionById(_tasks(corpus.sparkSession, settings), "block")
+    w = _weight(settings)
+    norm = F.sqrt(F.sum(w * w).over(W.partitionBy("block", "doc_id")))
+    return counts.join(sent.hint("shuffle_hash"), ["block", "term"]).select("block", "doc_id", *keep, "term", "tf", "idf", norm.alias("norm"))
+
+
+def unit_weights(weighed: DataFrame, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
+    """``doc_id, [keep], term, weight``."""
+    keep = [c for c in weighed.columns if c not in ("block", "term", "tf", "idf", "norm")]
+    return weighed.select(*keep, "term", (_weight(settings) / F.col("norm")).alias("weight"))
 
 
 def fit_tfidf(corpus: DataFrame, settings: TfidfSettings = TfidfSettings()) -> DataFrame:
@@ -121,7 +157,8 @@ def fit_tfidf(corpus: DataFrame, settings: TfidfSettings = TfidfSettings()) -> D
 
 def transform_tfidf(corpus: DataFrame, vocab: DataFrame, settings: TfidfSettings = TfidfSettings(),
                     keep: tuple[str, ...] = ()) -> DataFrame:
-    return weigh(term_counts(corpus, settings, keep), vocab, settings)
+    known = block_frequencies(corpus, settings).join(vocab.select("term", "idf"), "term")
+    return unit_weights(weigh(corpus, known, settings, keep), settings)
 
 
 def fit_transform_tfidf(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(),
@@ -129,11 +166,18 @@ def fit_transform_tfidf(corpus: DataFrame, settings: TfidfSettings = TfidfSettin
     """Features and vocabulary, both written once to the shared folder.
 
     The corpus is tokenized twice, which is cheaper than keeping every term of
-    every document; the vocabulary read back has exact size statistics, so
-    Catalyst broadcasts it when it is small and shuffles on the term when not.
+    every document. The vocabulary is written with a row for each block that has
+    a term, ``first`` marking one of them.
+    Weights are written as what they are made of, counts, idf and norm, which
+    repeat and so take few bytes; reading makes the same doubles of them.
     """
-    vocab = materialize(fit_tfidf(corpus, settings), "vocabulary")
-    return materialize(transform_tfidf(corpus, vocab, settings, keep), "tfidf"), vocab
+    # A term has one row per block at most, so its rows are few, and the window has nothing to gather.
+    of_term = W.partitionBy("term")
+    in_blocks = block_frequencies(corpus, settings).select(
+        "term", "block", F.sum("n").over(of_term).alias("df"), (F.col("block") == F.min("block").over(of_term)).alias("first"))
+    known = materialize(vocabulary(in_blocks, corpus.agg(F.count("*").cast("double")).scalar(), settings), "vocabulary")
+    weighed = materialize(weigh(corpus, known, settings, keep).drop("block"), "tfidf")
+    return unit_weights(weighed, settings), known.where("first").select("term", "df", "idf")
 
 
 def save_vocabulary(vocab: DataFrame, path: str) -> None:

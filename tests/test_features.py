@@ -162,3 +162,31 @@ def test_ngrams_of_three_lengths(spark):
     # Each token is joined with its neighbours, not cut out of the list again for every n-gram.
     plan = rows.select(T.ngrams(F.col("toks"), (2, 2)).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" in plan and "array_join" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, "aa bb cc dd" if i % 2 else "bb cc ee") for i in range(50)], "doc_id LONG, text STRING")
+    known = spark.createDataFrame([(b, "bb", 1.5) for b in range(4)], "block INT, term STRING, idf DOUBLE")
+    # The texts go to their blocks and the terms known there follow; nothing else moves.
+    plan = plan_of(T.unit_weights(T.weigh(df, known)))
+    assert plan.count("Exchange") == 2 and plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_repeated_and_null_ids_are_weighed_as_one_document(spark):
+    rows = [(1, "aa bb"), (1, "bb cc"), (None, "aa"), (None, "cc cc"), (2, "aa bb cc"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    settings = T.TfidfSettings(stop_words=(), ngram_range=(1, 1), max_df=1.0)
+    got, vocab = T.fit_transform_tfidf(df, settings)
+    idf = {r["term"]: r["idf"] for r in vocab.collect()}
+    assert {r["term"]: r["df"] for r in vocab.collect()} == {"aa": 3, "bb": 3, "cc": 3}
+    want = {}
+    for doc, counts in ((1, {"aa": 1, "bb": 2, "cc": 1}), (None, {"aa": 1, "cc": 2}), (2, {"aa": 1, "bb": 1, "cc": 1})):
+        raw = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        want |= {(doc, t): round(w / norm, 9) for t, w in raw.items()}
+    for weights in (got, T.transform_tfidf(df, vocab, settings)):
+        assert {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in weights.collect()} == want
