@@ -190,3 +190,23 @@ def test_repeated_and_null_ids_are_weighed_as_one_document(spark):
         want |= {(doc, t): round(w / norm, 9) for t, w in raw.items()}
     for weights in (got, T.transform_tfidf(df, vocab, settings)):
         assert {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in weights.collect()} == want
+
+
+def test_naive_bayes_of_very_long_vectors(spark):
+    """No array as long as the vectors is made: two of these would be 32 GB."""
+    from pyspark.ml.linalg import Vectors
+    size = 2_000_000_000
+    rows = [(float(i % 2), Vectors.sparse(size, {i % 2: 2.0, size - 1 - i: 1.0})) for i in range(12)] + [(0.0, Vectors.sparse(size, {}))]
+    data = spark.createDataFrame(rows, ["label", "features"])
+    model = M.build_pipeline("nb").fit(data)
+    got = model.transform(data).select("label", "prediction").collect()
+    assert len(got) == 13 and all(r.label == r.prediction for r in got)
+
+
+def test_a_saved_naive_bayes_of_vectors_predicts_the_same(spark, tmp_path):
+    from pyspark.ml.linalg import Vectors
+    data = spark.createDataFrame([(i % 5, float(i % 2), Vectors.dense([float(i % 2), 1.0, float(i % 3)])) for i in range(20)], ["doc_id", "label", "features"])
+    model = M.build_pipeline("nb").fit(data)
+    M.save_model(model.stages, str(tmp_path / "m"))
+    want = sorted(tuple(r) for r in M.predict(model, data).collect())
+    assert sorted(tuple(r) for r in M.predict(M.load_model(str(tmp_path / "m")), data).collect()) == want and len(want) == 20
