@@ -192,6 +192,21 @@ def test_repeated_and_null_ids_are_weighed_as_one_document(spark):
         assert {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in weights.collect()} == want
 
 
+def test_documents_have_few_rows_of_sums(spark):
+    docs = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id LONG, label_idx INT")
+    rows = docs.select("doc_id", "label_idx", F.concat(F.lit("t"), (F.col("doc_id") % 4).cast("string")).alias("term"), F.lit(1.0).alias("weight"))
+    model = B.fit_bayes(rows, docs, 4)
+    assert model.terms.count() == 4
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 3 * B.JOIN_TASKS)
+    try:
+        plan = plan_of(B.score(model, rows, docs, [B.Candidate(0)]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    by_term = [line for line in plan.splitlines() if "hashpartitioning(term" in line]
+    assert len(by_term) == 2 and all(f", {B.JOIN_TASKS})" in line for line in by_term)
+
+
 def test_naive_bayes_of_very_long_vectors(spark):
     """No array as long as the vectors is made: two of these would be 32 GB."""
     from pyspark.ml.linalg import Vectors
