@@ -9,7 +9,7 @@ row per block.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -30,6 +30,9 @@ theirs them themselves then there these they this those through to too under unt
 when where whether which while who whom whose why will with within without would you your yours yourself yourselves
 """.split()
 
+# Bytes of text that a block has on average at most, as its terms are hashed in memory.
+BLOCK_BYTES = 2**25
+
 
 @dataclass(frozen=True)
 class TfidfSettings:
@@ -39,7 +42,8 @@ class TfidfSettings:
     max_df: float = 0.95
     sublinear_tf: bool = True
     lowercase: bool = True
-    # Tasks the documents are spread over; None is the session's shuffle partitions.
+    # Tasks the documents are spread over; None is the session's shuffle partitions,
+    # or as many blocks as the text needs where terms are weighed.
     partitions: int | None = None
 
 
@@ -72,6 +76,14 @@ def _tasks(spark: SparkSession, settings: TfidfSettings) -> int:
     return settings.partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_blocks(corpus: DataFrame, settings: TfidfSettings) -> TfidfSettings:
+    """The settings with enough tasks for blocks of ``BLOCK_BYTES``, unless their number is given."""
+    if settings.partitions:
+        return settings
+    size = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return replace(settings, partitions=max(_tasks(corpus.sparkSession, settings), -(-size // BLOCK_BYTES)))
+
+
 def document_tokens(corpus: DataFrame, settings: TfidfSettings, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, [keep], toks``: the tokens of each document without stop words.
 
@@ -157,6 +169,7 @@ def fit_tfidf(corpus: DataFrame, settings: TfidfSettings = TfidfSettings()) -> D
 
 def transform_tfidf(corpus: DataFrame, vocab: DataFrame, settings: TfidfSettings = TfidfSettings(),
                     keep: tuple[str, ...] = ()) -> DataFrame:
+    settings = in_blocks(corpus, settings)
     known = block_frequencies(corpus, settings).join(vocab.select("term", "idf"), "term")
     return unit_weights(weigh(corpus, known, settings, keep), settings)
 
@@ -171,12 +184,13 @@ def fit_transform_tfidf(corpus: DataFrame, settings: TfidfSettings = TfidfSettin
     Weights are written as what they are made of, counts, idf and norm, which
     repeat and so take few bytes; reading makes the same doubles of them.
     """
+    settings = in_blocks(corpus, settings)
     # A term has one row per block at most, so its rows are few, and the window has nothing to gather.
     of_term = W.partitionBy("term")
-    in_blocks = block_frequencies(corpus, settings).select(
+    counted = block_frequencies(corpus, settings).select(
         "term", "block", F.sum("n").over(of_term).alias("df"), (F.col("block") == F.min("block").over(of_term)).alias("first"))
-    known = materialize(vocabulary(in_blocks, corpus.agg(F.count("*").cast("double")).scalar(), settings), "vocabulary")
-    weighed = materialize(weigh(corpus, known, settings, keep).drop("block"), "tfidf")
+    known = materialize(vocabulary(counted, corpus.agg(F.count("*").cast("double")).scalar(), settings), "vocabulary", compression="zstd")
+    weighed = materialize(weigh(corpus, known, settings, keep).drop("block"), "tfidf", compression="zstd")
     return unit_weights(weighed, settings), known.where("first").select("term", "df", "idf")
 
 

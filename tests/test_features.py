@@ -192,6 +192,22 @@ def test_repeated_and_null_ids_are_weighed_as_one_document(spark):
         assert {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in weights.collect()} == want
 
 
+def test_blocks_are_bounded_by_their_text(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "aa bb cc dd" if i % 2 else "bb cc ee") for i in range(40)] + [(40, None)], "doc_id LONG, text STRING")
+
+    def rounded(weights):
+        return sorted((r["doc_id"], r["term"], round(r["weight"], 9)) for r in weights.collect())
+
+    want = rounded(T.fit_transform_tfidf(df)[0])
+    assert T.in_blocks(df, T.TfidfSettings()).partitions == 4
+    monkeypatch.setattr(T, "BLOCK_BYTES", 20)
+    assert T.in_blocks(df, T.TfidfSettings()).partitions == 19  # 380 bytes
+    assert T.in_blocks(df, T.TfidfSettings(partitions=3)).partitions == 3
+    weights, vocab = T.fit_transform_tfidf(df)
+    assert rounded(weights) == want and len(want) > 40
+    assert rounded(T.transform_tfidf(df, vocab)) == want
+
+
 def test_documents_have_few_rows_of_sums(spark):
     docs = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id LONG, label_idx INT")
     rows = docs.select("doc_id", "label_idx", F.concat(F.lit("t"), (F.col("doc_id") % 4).cast("string")).alias("term"), F.lit(1.0).alias("weight"))
