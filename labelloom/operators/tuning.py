@@ -10,32 +10,32 @@ from labelloom.operators.evaluation import best_candidate, candidate_scores, che
 
 
 def cross_validate_bayes(features: DataFrame, docs: DataFrame, vocab_size: int, candidates: list[Candidate],
-                         n_folds: int) -> DataFrame:
+                         n_folds: int, blocks: int | None = None) -> DataFrame:
     """``candidate, fold, accuracy, f1_macro, f1_weighted``, all candidates and folds in one job.
 
-    Both inputs are training rows that carry ``label_idx`` and ``fold``.
+    Both inputs are training rows that carry ``label_idx`` and ``fold``; ``blocks`` as in ``score``.
     """
     model = fit_bayes(features, docs, vocab_size, n_folds)
-    preds = score(model, features, docs, candidates).join(
+    preds = score(model, features, docs, candidates, blocks=blocks).join(
         docs.select("doc_id", "fold", F.col("label_idx").alias("true_idx")), "doc_id")
     return metrics(preds, "candidate", "fold")
 
 
 def tune_bayes(features: DataFrame, docs: DataFrame, vocab_size: int, candidates: list[Candidate], n_folds: int,
-               scoring: str = "f1_macro"):
+               scoring: str = "f1_macro", blocks: int | None = None):
     """The winning candidate by ``scoring`` with its mean and deviation (one row reaches the driver)."""
     check_scoring(scoring)
-    scores = candidate_scores(cross_validate_bayes(features, docs, vocab_size, candidates, n_folds), scoring)
+    scores = candidate_scores(cross_validate_bayes(features, docs, vocab_size, candidates, n_folds, blocks), scoring)
     best = best_candidate(scores).first()
     return candidates[best["candidate"]], best["mean_score"], best["std_score"]
 
 
 def predict_bayes(features: DataFrame, train: DataFrame, held_out: DataFrame, vocab_size: int,
-                  candidate: Candidate) -> DataFrame:
+                  candidate: Candidate, blocks: int | None = None) -> DataFrame:
     """``doc_id, true_idx, pred_idx, score`` of held-out documents by a model fitted on all training rows.
 
     ``features`` carries ``split``.
     """
     model = fit_bayes(features.where(F.col("split") == "train"), train, vocab_size)
-    preds = score(model, features.where(F.col("split") == "test"), held_out, [candidate]).drop("candidate")
+    preds = score(model, features.where(F.col("split") == "test"), held_out, [candidate], blocks=blocks).drop("candidate")
     return preds.join(held_out.select("doc_id", F.col("label_idx").alias("true_idx")), "doc_id")

@@ -12,7 +12,7 @@ from labelloom.operators import bayes, evaluation as E, models, tuning
 from labelloom.operators.inference import EncoderFn, embed
 from labelloom.operators.sampling import check_split, pick_per_class, stratified_folds, stratified_split
 from labelloom.operators.stages import BayesModel, TfidfModel
-from labelloom.operators.tfidf import TfidfSettings, fit_transform_tfidf, save_vocabulary
+from labelloom.operators.tfidf import TfidfSettings, fit_transform_in_blocks, fit_transform_tfidf, home, save_vocabulary
 from labelloom.session import materialize
 from labelloom.sources.corpus import label_dictionary, with_label_index
 from labelloom.sources.runs import write_run
@@ -85,23 +85,31 @@ def run_vector(corpus: DataFrame, settings: VectorSettings, runs: str, *, encode
         fit_on = materialize(models.dense_input(train.join(vectors, "doc_id")), "train-vectors")
         held_out = models.dense_input(test.join(vectors, "doc_id"))
     else:
-        features, vocab = fit_transform_tfidf(corpus, tfidf)
+        if settings.model in _BAYES:
+            features, vocab, homes = fit_transform_in_blocks(corpus, tfidf)
+        else:
+            features, vocab = fit_transform_tfidf(corpus, tfidf)
         size = vocab.count()
         tfidf_info = {"vocab_size": size, "n_features": size}
         save_vocabulary(vocab, f"{folder}/vocabulary")
 
     best_params = cv = None
     if settings.model in _BAYES:
-        rows = materialize(features.join(train.select("doc_id", "label_idx", "fold"), "doc_id"), "train-features")
+        def placed(ids, *columns):
+            where = ids.select(home("doc_id", homes).alias("home"), "doc_id", *columns)
+            return where.repartition(len(homes), "home").hint("shuffle_hash")
+
+        # The ids go to the features, which stay in their buckets.
+        rows = features.join(placed(train, "label_idx", "fold"), ["home", "doc_id"])
         kind = _BAYES[settings.model]
         spec = grid or models.GRIDS[settings.model]
         candidates = bayes.grid(kind, tuple(spec["alpha"]), tuple(spec.get("norm", (False,))))
         best, mean, std = bayes.Candidate(0, kind), None, None
         if smallest >= settings.n_folds:
-            best, mean, std = tuning.tune_bayes(rows, train, size, candidates, settings.n_folds, settings.scoring)
+            best, mean, std = tuning.tune_bayes(rows, train, size, candidates, settings.n_folds, settings.scoring, len(homes))
             best_params = best.params
         model = bayes.fit_bayes(rows, train, size)
-        scored = bayes.score(model, features.join(test.select("doc_id"), "doc_id", "left_semi"), test, [best])
+        scored = bayes.score(model, features.join(placed(test), ["home", "doc_id"], "left_semi"), test, [best], blocks=len(homes))
         preds = scored.join(test.select("doc_id", F.col("label_idx").alias("true_idx")), "doc_id")
         # From text to class, as one model that load_model reads back.
         models.save_model([TfidfModel(vocab).take(tfidf), BayesModel(model.terms, model.classes, size).take(best)], f"{folder}/best_model")

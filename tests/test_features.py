@@ -241,3 +241,33 @@ def test_a_saved_naive_bayes_of_vectors_predicts_the_same(spark, tmp_path):
     M.save_model(model.stages, str(tmp_path / "m"))
     want = sorted(tuple(r) for r in M.predict(model, data).collect())
     assert sorted(tuple(r) for r in M.predict(M.load_model(str(tmp_path / "m")), data).collect()) == want and len(want) == 20
+
+
+def test_naive_bayes_in_blocks_equals_that_of_moved_postings(spark):
+    from labelloom.session import buckets_in_place
+    texts = ["red apple pie", "green apple tree", "red car red road", "fast car road", None]
+    rows = [(i, f"{texts[i % 5]} w{i % 7}" if texts[i % 5] else None, i % 2 if i % 5 != 3 else 1, i % 3) for i in range(60)]
+    rows += [rows[1], rows[2], (None, "red apple", 0, 1), (None, "fast car", 1, 1)]  # repeated and null ids
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, label_idx INT, fold INT")
+    settings = T.TfidfSettings(min_df=1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        # Blocks go by the text and the cores, not by the session's partitions.
+        assert T.in_blocks(docs, settings).partitions == spark.sparkContext.defaultParallelism
+        moved, vocab = T.fit_transform_tfidf(docs, settings, keep=("label_idx", "fold"))
+        placed, again, homes = T.fit_transform_in_blocks(docs, settings, keep=("label_idx", "fold"))
+        assert sorted(again.collect()) == sorted(vocab.collect())
+        with buckets_in_place(spark):
+            sums = placed.groupBy("home", "doc_id", "term").count()
+            assert not [line for line in plan_of(sums).splitlines() if "hashpartitioning" in line and "term" in line]
+        for cands in (B.grid("multinomial"), B.grid("complement")):
+            found = []
+            for features, blocks in ((moved, None), (placed, len(homes))):
+                model = B.fit_bayes(features, docs, vocab.count(), 3)
+                for dense in (B.DENSE, 0):
+                    got = B.score(model, features, docs, cands, dense=dense, blocks=blocks).collect()
+                    found.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["candidate"], r["pred_idx"], round(r["score"], 7)) for r in got))
+            assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 64 * len(cands)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
