@@ -54,6 +54,25 @@ _CHARACTERS = {byte: 0x100 + k for k, byte in enumerate(b for b in range(256) if
 _MEMORIES: dict[str, Words] = {}
 
 
+class AfterSpace(dict):
+    """Ids of a space and the word that is the key, remembered like chunks: so no string is made for a word that is known."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words, self.older = words, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.words.find(f" {word}")
+        if len(word) < LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Words(dict):
     """Ids of chunks of text, as little-endian 32-bit integers; the less used half is forgotten when it is full."""
 
@@ -64,6 +83,7 @@ class Words(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.older: dict[str, bytes] = {}
+        self.after = AfterSpace(self)
         settings = json.loads(file)
         before = settings.get("pre_tokenizer") or {}
         # Other kinds of file encode whole texts.
@@ -72,17 +92,7 @@ class Words(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            plain = _WORD.fullmatch(chunk)
-            lines = () if plain else chunk.split("\n")
-            if len(lines) > 1 and "" not in lines and not _INNER_SPACE.search(chunk):  # single line feeds between words
-                return self["\n"].join(map(self.__getitem__, lines))
-            if plain is None:
-                parts = [part for part, _ in self.split.pre_tokenize_str(chunk)]
-                ids = array("I", [token.id for part in parts for token in self.model.tokenize(part)]).tobytes()
-            elif plain[2]:
-                ids = self[plain[1]] + self[plain[2]]
-            else:
-                ids = array("I", [token.id for token in self.model.tokenize(self._written(chunk))]).tobytes()
+            ids = self.find(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -90,6 +100,19 @@ class Words(dict):
             self[chunk] = ids
         return ids
 
+    def find(self, chunk: str) -> bytes:
+        """The ids of a chunk that is not remembered."""
+        plain = _WORD.fullmatch(chunk)
+        lines = () if plain else chunk.split("\n")
+        if len(lines) > 1 and "" not in lines and not _INNER_SPACE.search(chunk):  # single line feeds between words
+            return self["\n"].join(map(self.__getitem__, lines))
+        if plain is None:
+            parts = [part for part, _ in self.split.pre_tokenize_str(chunk)]
+            return array("I", [token.id for part in parts for token in self.model.tokenize(part)]).tobytes()
+        if plain[2]:
+            return (self.after[plain[1][1:]] if chunk[0] == " " else self[plain[1]]) + self[plain[2]]
+        return array("I", [token.id for token in self.model.tokenize(self._written(chunk))]).tobytes()
+
     @staticmethod
     def _written(word: str) -> str:
         """A word in the characters by which byte-level vocabularies write bytes: those that can't be printed from U+0100 on."""
@@ -108,7 +131,7 @@ class Words(dict):
         if _BESIDE_SPACE.search(text):
             return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
         first, *rest = text.split(" ")
-        return b"".join([self[first] if first else b"", *map(self.__getitem__, map(" ".__add__, rest))])
+        return b"".join([self[first] if first else b"", *map(self.after.__getitem__, rest)])
 
 
 def _words(file: bytes) -> Words:

@@ -633,3 +633,35 @@ def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.all_oracles()) <= set(names)
     assert regex.compile(public_tokenizers.PATTERN)
+
+
+def test_evidence_compresses_twice_only_where_it_may_count():
+    told = toxicity.Distance(b" foolish idiot", b" the weather is fine today")
+    ratio = np.zeros(toxicity.BINS * len(toxicity.HEADS))
+    ratio[toxicity.NEEDED + 1] = 2.0  # nothing saved, nothing needed: the only evidence, in the first window
+    texts = ["the weather is foolish today", "Foolish idiots talk", None, "", "the idiot"]
+    plain = [told.bins[told._places(t)] for t in texts]
+    want = [ratio[b].max(axis=1, initial=0.0) for b in plain]
+    distance, calls = toxicity.Distance(b" foolish idiot", b" the weather is fine today"), []
+
+    class Counting:
+        def compress(self, raw):
+            calls.append(raw)
+            return told.plain.compress(raw)
+    distance.plain = Counting()
+    assert all(np.array_equal(distance.evidence(t, ratio), w) for t, w in zip(texts, want))
+    evidence_calls = len(calls)
+    # Histograms after it tell all distances apart.
+    assert all(np.array_equal(distance.histogram(t), np.bincount(b.ravel(), minlength=len(ratio))) for t, b in zip(texts, plain))
+    assert evidence_calls < len(calls) - evidence_calls
+
+
+def test_words_after_a_space_are_remembered_without_it():
+    import public_tokenizers
+    from labelloom.llm import packing
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        words = packing.Words(f.read())
+    for text in ("the cat, the cat\nand the cat ", " a  b", "it's the cat's \n hat", ""):
+        ids = np.frombuffer(words.encode(text), dtype="<u4").tolist()
+        assert ids == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"cat", "the"} <= set(words.after)
