@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -129,12 +130,21 @@ def _phrase_book(samples: list[bytes], size: int) -> bytes:
     return b"".join(reversed(out))
 
 
+class _Codes(dict):
+    """A number for each word, in the order in which they first come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 class Distance:
     """Bytes that the toxic dictionary saves on each word of a text."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.plain, self.both = self._compressor(ordinary + TAIL), self._compressor(toxic + ordinary + TAIL)
         self.least = len(self.both.compress(TAIL))
+        self.ratio, self.idle = None, np.zeros(NEEDED + 1, dtype=bool)
         self._forget()
 
     @staticmethod
@@ -147,9 +157,17 @@ class Distance:
         return zstandard.ZstdCompressor(compression_params=how, dict_data=known)
 
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.known: dict[str, int] = {}
         self.bins = np.zeros((1024, len(HEADS)), dtype=np.int64)
+        self.strength, self.judged = np.zeros(0), 0
+
+    def _judge_by(self, log_ratio: np.ndarray | None) -> None:
+        """What is known of words holds for one use: where a number of bytes needed is never evidence, bytes saved are not told."""
+        if self.ratio is not log_ratio:
+            self._forget()
+            self.ratio = log_ratio
+            self.idle = np.zeros(NEEDED + 1, dtype=bool) if log_ratio is None else ~np.reshape(log_ratio, (-1, NEEDED + 1)).any(axis=0)
 
     def __call__(self, window: str) -> tuple[int, int]:
         """Bytes saved, and bytes still needed."""
@@ -158,8 +176,13 @@ class Distance:
         return len(self.plain.compress(raw)) - with_both, with_both - self.least
 
     def _bin(self, window: str) -> int:
-        saved, needed = self(window)
-        return (min(max(saved, LOW), HIGH) - LOW) * (NEEDED + 1) + min(max(needed, 0), NEEDED)
+        raw = window.encode() + TAIL
+        with_both = len(self.both.compress(raw))
+        needed = min(max(with_both - self.least, 0), NEEDED)
+        if self.idle[needed]:
+            return needed
+        saved = len(self.plain.compress(raw)) - with_both
+        return (min(max(saved, LOW), HIGH) - LOW) * (NEEDED + 1) + needed
 
     def _bins(self, word: str) -> list[int]:
         """Those of a word's windows; beginnings are shared by many words, so they are remembered."""
@@ -180,26 +203,33 @@ class Distance:
         words = text.lower().split() if text else []
         if len(self.codes) > REMEMBERED:
             self._forget()
-        codes = self.codes
-        new = [w for w in dict.fromkeys(words) if w not in codes]
-        if new:
-            if len(codes) + len(new) > len(self.bins):
-                more = np.zeros((len(self.bins) + len(new), len(HEADS)), dtype=np.int64)
+        codes, held = self.codes, len(self.codes)
+        at = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(codes) > held:
+            if len(codes) > len(self.bins):
+                more = np.zeros((len(codes), len(HEADS)), dtype=np.int64)
                 self.bins = np.concatenate([self.bins, more])
-            self.bins[len(codes):len(codes) + len(new)] = [self._bins(w) for w in new]
-            for w in new:
-                codes[w] = len(codes)
-        return np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
+            new = [*islice(reversed(codes), len(codes) - held)][::-1]
+            self.bins[held:len(codes)] = [self._bins(w) for w in new]
+        return at
 
     def histogram(self, text: str | None) -> np.ndarray:
         """How many windows of a text's words are at each distance."""
+        self._judge_by(None)
         at = self._places(text)
         return np.bincount(self.bins[at].ravel(), minlength=BINS * len(HEADS))
 
     def evidence(self, text: str | None, log_ratio: np.ndarray) -> np.ndarray:
         """That of each word of a text, by its strongest window."""
+        self._judge_by(log_ratio)
         at = self._places(text)
-        return log_ratio[self.bins[at]].max(axis=1, initial=0.0)
+        known = len(self.codes)
+        if self.judged < known:  # a word's evidence is found once
+            if len(self.strength) < known:
+                self.strength = np.concatenate([self.strength, np.zeros(len(self.bins) - len(self.strength))])
+            self.strength[self.judged:known] = log_ratio[self.bins[self.judged:known]].max(axis=1, initial=0.0)
+            self.judged = known
+        return self.strength[at]
 
 
 def strongest_run(evidence: np.ndarray, rate: float) -> float:
