@@ -12,11 +12,16 @@ term, weight``), so neither fitting nor scoring joins features with documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from labelloom.operators import blocks as block
+from labelloom.operators.blocks import Cells
+from labelloom.operators.tfidf import Blocks
 from labelloom.session import buckets_in_place, materialize, small_table
 
 KINDS = ("multinomial", "complement")
@@ -165,7 +170,7 @@ def _dense_weight_sums(model: BayesModel, candidates: list[Candidate], labels: l
     return rows.select("n_terms", F.inline("rows")).select("slot", "label_idx", "n_terms", each.alias("gain"), none.alias("shared"))
 
 
-def _class_constants(model: BayesModel, candidates: list[Candidate], labels: list[int], dense: int) -> DataFrame:
+def _class_constants(model: BayesModel | BlockModel, candidates: list[Candidate], weight_sums: Callable[[], DataFrame]) -> DataFrame:
     """``slot, consts``: per slot one array over classes with what scoring needs of each candidate."""
     slots = F.explode(F.sequence(F.lit(0), F.lit(model.n_folds))).alias("slot")
     flat = model.classes.select("label_idx", "n_docs", "total", slots).select(
@@ -174,7 +179,7 @@ def _class_constants(model: BayesModel, candidates: list[Candidate], labels: lis
     flat = flat.join(sums, "slot").where(F.col("n") > 0)
     v = F.lit(float(model.vocab_size))
     if any(c.norm for c in candidates):
-        flat = flat.join(_weight_sums(model, candidates, labels, dense), ["slot", "label_idx"], "left")
+        flat = flat.join(weight_sums(), ["slot", "label_idx"], "left")
     per_candidate = []
     for i, c in enumerate(candidates):
         if c.kind == "multinomial":
@@ -271,15 +276,29 @@ def score(model: BayesModel, features: DataFrame, docs: DataFrame, candidates: l
     ``blocks`` is the number of blocks of features that carry their ``home``
     (``tfidf.fit_transform_in_blocks``); an id is in one block only.
     """
-    slot = ((F.col("fold") + 1) if model.n_folds else F.lit(0)).cast("int").alias("slot")
-    labels = _labels(model.classes)
-    # Candidates that differ in norm alone share their sums.
-    shared = list({(c.kind, c.alpha): c for c in candidates}.values())
-    place = [next(j for j, c in enumerate(shared) if (c.kind, c.alpha) == (d.kind, d.alpha)) for d in candidates]
+    slot, labels = _slot(model), _labels(model.classes)
+    shared = _shared_sums(candidates)
     hits = features.select(*(["home"] if blocks else []), "doc_id", "term", "weight", slot)
     small = len(labels) * len(candidates) * (model.n_folds + 1) <= dense
     per_doc = _dense_sums(model, hits, shared, labels, blocks) if small else _sparse_sums(model, hits, shared, labels)
-    consts = small_table(_class_constants(model, candidates, labels, dense))
+    return _decide(model, per_doc, docs, candidates, labels, lambda: _weight_sums(model, candidates, labels, dense))
+
+
+def _slot(model: BayesModel | BlockModel) -> Column:
+    return ((F.col("fold") + 1) if model.n_folds else F.lit(0)).cast("int").alias("slot")
+
+
+def _shared_sums(candidates: list[Candidate]) -> list[Candidate]:
+    """Candidates that differ in norm alone share their sums."""
+    return list({(c.kind, c.alpha): c for c in candidates}.values())
+
+
+def _decide(model: BayesModel | BlockModel, per_doc: DataFrame, docs: DataFrame, candidates: list[Candidate], labels: list[int],
+            weight_sums: Callable[[], DataFrame]) -> DataFrame:
+    """``doc_id, candidate, pred_idx, score`` from the sums of each document, ``g`` [class][shared candidate] and ``w``."""
+    shared, slot = _shared_sums(candidates), _slot(model)
+    place = [next(j for j, c in enumerate(shared) if (c.kind, c.alpha) == (d.kind, d.alpha)) for d in candidates]
+    consts = small_table(_class_constants(model, candidates, weight_sums))
     scored = docs.select("doc_id", slot).join(per_doc, "doc_id", "left").join(consts, "slot")
     zero = F.array(*[F.array(*[F.lit(0.0) for _ in shared]) for _ in labels])
     scored = scored.select("doc_id", "consts", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("g", zero).alias("g"))
@@ -297,3 +316,75 @@ def score(model: BayesModel, features: DataFrame, docs: DataFrame, candidates: l
     numbered = [F.struct(F.lit(c.number).alias("candidate"), (-F.col("b")[i]["l"]).cast("int").alias("pred_idx"),
                          F.col("b")[i]["s"].alias("score")) for i, c in enumerate(candidates)]
     return best.select("doc_id", F.inline(F.array(*numbered)))
+
+
+@dataclass
+class BlockModel:
+    """As ``BayesModel``, of documents in blocks. ``sums`` are rows of ``blocks.ALL_SUMS``, ``rows`` the documents they were made from."""
+
+    rows: DataFrame
+    sums: DataFrame
+    classes: DataFrame
+    vocab_size: int
+    n_folds: int
+    cells: Cells
+    fitted: Blocks
+
+    def terms(self) -> DataFrame:
+        """As in ``BayesModel``, of a model without folds."""
+        parts = self.fitted.parts.select("part", "terms")
+        rows = self.sums.where("home IS NULL").select("part", "entries").join(parts, "part").drop("part")
+        return rows.mapInArrow(block.classes_of_terms(self.cells), "term STRING, classes ARRAY<STRUCT<label_idx: INT, sums: ARRAY<DOUBLE>>>")
+
+
+def fit_in_blocks(fitted: Blocks, rows: DataFrame, docs: DataFrame, vocab_size: int, n_folds: int = 0) -> BlockModel:
+    """Fit on the ``rows`` of ``fitted.docs`` that are to ``learn``, for scoring those to ``ask``; ``docs`` as in ``fit_bayes``.
+
+    ``rows`` carry label_idx, fold, and learn and ask BOOLEAN. A block sends each
+    part of the vocabulary one row of its own sums, and gets one back with those
+    of all blocks, for the terms of what is asked.
+    """
+    width = range(n_folds + 1)
+    counts = small_table(docs.groupBy("label_idx").agg(F.array(*_slots(F.lit(1).cast("long"), n_folds)).alias("n_docs")))
+    cells = Cells(tuple(_labels(counts)), n_folds)
+    own = rows.select("home", "label_idx", "fold", "learn", "ask", "terms", "tfs", "dfs", "norm").mapInArrow(
+        block.add_up(cells, fitted.n_docs, fitted.settings.sublinear_tf), block.SUMS)
+    with buckets_in_place(rows.sparkSession):
+        sums = materialize(own.groupBy("part").applyInArrow(block.total(cells), block.ALL_SUMS), "bayes-sums", compression="zstd")
+    total = sums.where("home IS NULL").agg(F.array(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0.0)) for i in range(len(cells))]).alias("t")).first()["t"]
+
+    def of_slot(c: int, s: int) -> float:
+        return sum(total[c * cells.folds + f] for f in range(cells.folds) if s == 0 or f not in (s - 1, n_folds))
+
+    by_class = counts.sparkSession.createDataFrame([(label, [float(of_slot(c, s)) for s in width]) for c, label in enumerate(cells.labels)],
+                                                   "label_idx INT, total ARRAY<DOUBLE>")
+    zero = F.array(*[F.lit(0.0) for _ in width])
+    classes = counts.join(by_class, "label_idx", "left").select("label_idx", "n_docs", F.coalesce("total", zero).alias("total"))
+    return BlockModel(rows, sums, small_table(classes), vocab_size, n_folds, cells, fitted)
+
+
+def score_in_blocks(model: BlockModel, docs: DataFrame, candidates: list[Candidate]) -> DataFrame:
+    """As ``score``, for the rows that were to ask: they meet the sums of their terms in their block."""
+    labels, shared, spark = list(model.cells.labels), _shared_sums(candidates), model.rows.sparkSession
+    asking = model.rows.where("ask").select("home", "doc_id", "fold", "terms", "tfs", "dfs", "norm")
+    answers = model.sums.where("home IS NOT NULL").select("home", "part", "entries")
+    task = block.doc_sums(model.cells, [(c.kind, c.alpha) for c in shared], model.fitted.n_docs, model.fitted.settings.sublinear_tf)
+    schema = T.StructType([asking.schema["doc_id"], T.StructField("g", T.ArrayType(T.DoubleType())), T.StructField("w", T.DoubleType())])
+    with buckets_in_place(spark):
+        sums_of_doc = materialize(asking.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(task, schema), "document-sums", compression="zstd")
+    g = F.array(*[F.array(*[F.sum(F.col("g")[c * len(shared) + i]) for i in range(len(shared))]) for c in range(len(labels))])
+    per_doc = sums_of_doc.groupBy("doc_id").agg(g.alias("g"), F.sum("w").alias("w"))
+    return _decide(model, per_doc, docs, candidates, labels, lambda: _block_weight_sums(model, candidates, labels))
+
+
+def _block_weight_sums(model: BlockModel, candidates: list[Candidate], labels: list[int]) -> DataFrame:
+    """As ``_weight_sums``, each part of the vocabulary being added up in its row."""
+    alphas = tuple(dict.fromkeys(c.alpha for c in candidates))
+    each = model.sums.where("home IS NULL").select("part", "entries").mapInArrow(
+        block.complement_logs(model.cells, alphas), "n_terms LONG, logs ARRAY<DOUBLE>")
+    size = (model.n_folds + 1) * len(labels) * len(alphas)
+    row = each.agg(F.coalesce(F.sum("n_terms"), F.lit(0)).alias("n"), F.array(*[F.coalesce(F.sum(F.col("logs")[i]), F.lit(0.0)) for i in range(size)]).alias("logs")).first()
+    none = [0.0] * len(candidates)
+    rows = [(s, label, row["n"], [row["logs"][(s * len(labels) + c) * len(alphas) + alphas.index(d.alpha)] for d in candidates], none)
+            for s in range(model.n_folds + 1) for c, label in enumerate(labels)]
+    return model.rows.sparkSession.createDataFrame(rows, "slot INT, label_idx INT, n_terms LONG, gain ARRAY<DOUBLE>, shared ARRAY<DOUBLE>")

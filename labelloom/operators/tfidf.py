@@ -13,11 +13,15 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelloom.session import materialize, materialize_buckets
+from labelloom.operators import blocks
+from labelloom.session import buckets_in_place, materialize, materialize_buckets
 
 # A token is a run of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+# What stands between runs of such characters.
+NO_TOKEN = r"[^\p{L}\p{N}_]+"
 
 # Common English function words, the default stop list. Any other
 # list can be passed in TfidfSettings.
@@ -199,25 +203,83 @@ def fit_transform_tfidf(corpus: DataFrame, settings: TfidfSettings = TfidfSettin
     return unit_weights(weighed, settings), _first_rows(known)
 
 
+@dataclass
+class Blocks:
+    """Documents of a corpus in blocks, by the numbers of their terms.
+
+    ``docs``: home, doc_id, [keep], terms ARRAY<LONG>, tfs, dfs, norm, in buckets by the ``home`` of the block;
+    a document without any known term has no row. ``parts``: part, terms ARRAY<STRING>, dfs, the vocabulary,
+    where the term at place i of a part has the number ``part << 32 | i``.
+    """
+
+    docs: DataFrame
+    parts: DataFrame
+    homes: list[int]
+    n_docs: int
+    settings: TfidfSettings
+
+    def _idf(self) -> Column:
+        return F.log((F.lit(float(self.n_docs)) + 1.0) / (F.col("df") + 1.0)) + 1.0
+
+    def features(self) -> DataFrame:
+        """``home, doc_id, [keep], term, weight`` with the terms' numbers."""
+        keep = [c for c in self.docs.columns if c not in ("terms", "tfs", "dfs", "norm")]
+        long = self.docs.select(*keep, "norm", F.inline(F.arrays_zip(
+            F.col("terms").alias("term"), F.col("tfs").alias("tf"), F.col("dfs").alias("df"))))
+        return long.withColumn("idf", self._idf()).select(*keep, "term", (_weight(self.settings) / F.col("norm")).alias("weight"))
+
+    def numbered(self) -> DataFrame:
+        """``number, term, df``."""
+        rows = self.parts.select("part", F.posexplode(F.arrays_zip(F.col("terms").alias("term"), F.col("dfs").alias("df"))).alias("i", "t"))
+        return rows.select((F.shiftleft(F.col("part").cast("long"), 32) + F.col("i")).alias("number"), "t.term", F.col("t.df").cast("long").alias("df"))
+
+    def vocabulary(self) -> DataFrame:
+        return self.numbered().select("term", "df", self._idf().alias("idf"))
+
+    def size(self) -> int:
+        return self.parts.agg(F.sum(F.size("terms"))).first()[0] or 0
+
+
+def fit_in_blocks(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(), keep: tuple[str, ...] = ()) -> Blocks:
+    """As ``fit_transform_tfidf``, with rows that are whole documents, and arrays where that has a row for each posting.
+
+    The corpus is taken apart once, by ``blocks.encode``. A block sends each part
+    of the vocabulary one row of terms, and gets one back with what is known.
+    """
+    settings = in_blocks(corpus, settings)
+    spark, n = corpus.sparkSession, _tasks(corpus.sparkSession, settings)
+    homes, n_docs = _homes(spark, n), corpus.count()
+    clean = F.regexp_replace(F.lower("text") if settings.lowercase else F.col("text"), NO_TOKEN, " ")
+    placed = corpus.select(home("doc_id", homes).alias("home"), F.pmod(F.hash("doc_id"), F.lit(n)).alias("block"), "doc_id", *keep, "text")
+    placed = placed.repartitionById(n, "block").select("home", "doc_id", *keep, clean.alias("text"))
+    # Rows of terms have none of these but the home.
+    ids = T.StructType([T.StructField(c, placed.schema[c].dataType) for c in ("home", "doc_id", *keep)])
+    schema = T.StructType(ids.fields + blocks.ENCODED.fields)
+    encoded = placed.mapInArrow(blocks.encode(settings.stop_words, settings.ngram_range, n, ids.names), schema)
+    encoded = materialize_buckets(encoded, "blocks", n, "home", compression="zstd")
+    chunks = encoded.where("part IS NOT NULL").select("home", "part", "start", "chunk")
+    known = chunks.groupBy("part").applyInArrow(blocks.merge(settings.min_df, float(settings.max_df) * n_docs), blocks.MERGED)
+    known = materialize(known, "vocabulary", compression="zstd")
+    back = known.where("home IS NOT NULL").select("home", "part", "known")
+    docs = encoded.where("part IS NULL").select(*ids.names, "ids", "tfs")
+    weigh_block = blocks.weigh(ids.names, n_docs, settings.sublinear_tf)
+    with buckets_in_place(spark):
+        weighed = docs.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(weigh_block, T.StructType(ids.fields + blocks.WEIGHED.fields))
+        weighed = materialize_buckets(weighed, "tfidf", n, "home", compression="zstd")
+    return Blocks(weighed, known.where("home IS NULL").select("part", "terms", "dfs"), homes, n_docs, settings)
+
+
 def fit_transform_in_blocks(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(),
                             keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[int]]:
-    """As above, and the homes of the blocks; features carry the ``home`` of their block, by which they are stored in buckets.
+    """As ``fit_transform_tfidf``, and the homes of the blocks; features carry the ``home`` of their block, by which they are
+    stored in buckets, and the number of their term.
 
     What is grouped by home and document, or joined (``buckets_in_place``) by
     home and others with rows that are ``repartition(len(homes), "home")``,
     leaves the features where they are.
     """
-    settings = in_blocks(corpus, settings)
-    known, n = _known_terms(corpus, settings), _tasks(corpus.sparkSession, settings)
-    homes = _homes(corpus.sparkSession, n)
-    counts = _counts(corpus, known, settings, keep).withColumn("home", home("doc_id", homes)).drop("block")
-    counts = materialize_buckets(counts, "tfidf", n, "home", compression="zstd")
-    # Buckets are summed where they are, which spares the sort by document that a window takes.
-    w = _weight(settings)
-    norms = materialize(counts.groupBy("home", "doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms", compression="zstd")
-    of = norms.select(F.col("home").alias("_home"), F.col("doc_id").alias("_id"), "norm").repartition(n, "_home").hint("shuffle_hash")
-    weighed = counts.join(of, (F.col("home") == F.col("_home")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_home", "_id")
-    return unit_weights(weighed, settings), _first_rows(known), homes
+    fitted = fit_in_blocks(corpus, settings, keep)
+    return fitted.features(), fitted.vocabulary(), fitted.homes
 
 
 def _known_terms(corpus: DataFrame, settings: TfidfSettings) -> DataFrame:

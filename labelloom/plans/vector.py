@@ -12,7 +12,7 @@ from labelloom.operators import bayes, evaluation as E, models, tuning
 from labelloom.operators.inference import EncoderFn, embed
 from labelloom.operators.sampling import check_split, pick_per_class, stratified_folds, stratified_split
 from labelloom.operators.stages import BayesModel, TfidfModel
-from labelloom.operators.tfidf import TfidfSettings, fit_transform_in_blocks, fit_transform_tfidf, home, save_vocabulary
+from labelloom.operators.tfidf import TfidfSettings, fit_in_blocks, fit_transform_tfidf, home, save_vocabulary
 from labelloom.session import materialize
 from labelloom.sources.corpus import label_dictionary, with_label_index
 from labelloom.sources.runs import write_run
@@ -86,7 +86,8 @@ def run_vector(corpus: DataFrame, settings: VectorSettings, runs: str, *, encode
         held_out = models.dense_input(test.join(vectors, "doc_id"))
     else:
         if settings.model in _BAYES:
-            features, vocab, homes = fit_transform_in_blocks(corpus, tfidf)
+            fitted = fit_in_blocks(corpus, tfidf)
+            homes, vocab = fitted.homes, fitted.vocabulary()
         else:
             features, vocab = fit_transform_tfidf(corpus, tfidf)
         size = vocab.count()
@@ -99,20 +100,25 @@ def run_vector(corpus: DataFrame, settings: VectorSettings, runs: str, *, encode
             where = ids.select(home("doc_id", homes).alias("home"), "doc_id", *columns)
             return where.repartition(len(homes), "home").hint("shuffle_hash")
 
-        # The ids go to the features, which stay in their buckets.
-        rows = features.join(placed(train, "label_idx", "fold"), ["home", "doc_id"])
+        # The ids go to the documents, which stay in their buckets.
+        def rows(ids):
+            return fitted.docs.join(placed(ids, *[c for c in ids.columns if c != "doc_id"]), ["home", "doc_id"])
+
         kind = _BAYES[settings.model]
         spec = grid or models.GRIDS[settings.model]
         candidates = bayes.grid(kind, tuple(spec["alpha"]), tuple(spec.get("norm", (False,))))
         best, mean, std = bayes.Candidate(0, kind), None, None
         if smallest >= settings.n_folds:
-            best, mean, std = tuning.tune_bayes(rows, train, size, candidates, settings.n_folds, settings.scoring, len(homes))
+            best, mean, std = tuning.tune_bayes(fitted, rows(train.select("doc_id", "label_idx", "fold")), train, size, candidates,
+                                                settings.n_folds, settings.scoring)
             best_params = best.params
-        model = bayes.fit_bayes(rows, train, size)
-        scored = bayes.score(model, features.join(placed(test), ["home", "doc_id"], "left_semi"), test, [best], blocks=len(homes))
-        preds = scored.join(test.select("doc_id", F.col("label_idx").alias("true_idx")), "doc_id")
+        no_fold = F.lit(None).cast("int").alias("fold")
+        sides = train.select("doc_id", "label_idx", no_fold, F.lit(True).alias("learn"), F.lit(False).alias("ask")).unionByName(
+            test.select("doc_id", "label_idx", no_fold, F.lit(False).alias("learn"), F.lit(True).alias("ask")))
+        model = bayes.fit_in_blocks(fitted, rows(sides), train, size)
+        preds = bayes.score_in_blocks(model, test, [best]).join(test.select("doc_id", F.col("label_idx").alias("true_idx")), "doc_id")
         # From text to class, as one model that load_model reads back.
-        models.save_model([TfidfModel(vocab).take(tfidf), BayesModel(model.terms, model.classes, size).take(best)], f"{folder}/best_model")
+        models.save_model([TfidfModel(vocab).take(tfidf), BayesModel(model.terms(), model.classes, size).take(best)], f"{folder}/best_model")
     else:
         if encoder is None:
             # One table of vectors for both parts: rows outside the training pick have no fold.

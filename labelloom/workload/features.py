@@ -129,23 +129,23 @@ fold_scores AS (SELECT number AS candidate, run AS fold, avg(2 * tp / (t + p)) F
 
 
 def nb_inputs(spark, sf):
-    """Features of the whole corpus, the number of their blocks and vocabulary size; train and test documents. All carry class, split and fold."""
+    """Documents of the whole corpus in blocks and vocabulary size; train and test documents. All carry class, split and fold."""
     docs = with_label_index(S.split_and_folds(corpus(spark, sf, "lang"), 3), lang_labels(spark, sf))
-    features, vocab, homes = T.fit_transform_in_blocks(docs, keep=("label_idx", "split", "fold"))
+    fitted = T.fit_in_blocks(docs, keep=("label_idx", "split", "fold"))
     ids = docs.select("doc_id", "label_idx", "split", "fold")
-    return features, len(homes), vocab.count(), ids.where(F.col("split") == "train"), ids.where(F.col("split") == "test")
+    return fitted, fitted.size(), ids.where(F.col("split") == "train"), ids.where(F.col("split") == "test")
 
 
 def _cv(spark, sf, kind):
-    features, blocks, v, train, _ = nb_inputs(spark, sf)
-    return U.cross_validate_bayes(features.where(F.col("split") == "train"), train, v, B.grid(kind), 3, blocks)
+    fitted, v, train, _ = nb_inputs(spark, sf)
+    return U.cross_validate_bayes(fitted, fitted.docs.where(F.col("split") == "train"), train, v, B.grid(kind), 3)
 
 
 @query("m07_multinomial_nb", sql_nb("multinomial", (0.1,), folds=False) + """
 SELECT doc_id, true_idx, pred_idx, round(s, 6) AS score FROM nb_preds""")
 def m07(spark, sf):
-    features, blocks, v, train, test = nb_inputs(spark, sf)
-    preds = U.predict_bayes(features, train, test, v, B.Candidate(0, "multinomial", 0.1), blocks)
+    fitted, v, train, test = nb_inputs(spark, sf)
+    preds = U.predict_bayes(fitted, train, test, v, [B.Candidate(0, "multinomial", 0.1)])
     return preds.select(
         "doc_id", "true_idx", "pred_idx", F.round("score", 6).alias("score"))
 
@@ -153,10 +153,8 @@ def m07(spark, sf):
 @query("m08_complement_nb", sql_nb("complement", (0.5,), (False, True), folds=False) + """
 SELECT doc_id, CAST(number AS INTEGER) AS candidate, true_idx, pred_idx, round(s, 6) AS score FROM nb_preds""")
 def m08(spark, sf):
-    features, blocks, v, train, test = nb_inputs(spark, sf)
-    model = B.fit_bayes(features.where(F.col("split") == "train"), train, v)
-    preds = B.score(model, features.where(F.col("split") == "test"), test, B.grid("complement", (0.5,)), blocks=blocks)
-    return preds.join(test.select("doc_id", F.col("label_idx").alias("true_idx")), "doc_id").select(
+    fitted, v, train, test = nb_inputs(spark, sf)
+    return U.predict_bayes(fitted, train, test, v, B.grid("complement", (0.5,))).select(
         "doc_id", "candidate", "true_idx", "pred_idx", F.round("score", 6).alias("score"))
 
 
@@ -188,8 +186,8 @@ def w07(spark, sf):
 SELECT CAST(candidate AS INTEGER) AS candidate, round(avg(accuracy), 6) AS mean_score, round(stddev_pop(accuracy), 6) AS std_score
 FROM fold_scores GROUP BY candidate ORDER BY round(avg(accuracy), 9) DESC, candidate LIMIT 1""")
 def w07_accuracy(spark, sf):
-    features, blocks, v, train, _ = nb_inputs(spark, sf)
-    best, mean, std = U.tune_bayes(features.where(F.col("split") == "train"), train, v, B.grid("complement"), 3, "accuracy", blocks)
+    fitted, v, train, _ = nb_inputs(spark, sf)
+    best, mean, std = U.tune_bayes(fitted, fitted.docs.where(F.col("split") == "train"), train, v, B.grid("complement"), 3, "accuracy")
     return spark.createDataFrame([(best.number, round(mean, 6), round(std, 6))], "candidate INT, mean_score DOUBLE, std_score DOUBLE")
 
 
@@ -200,7 +198,7 @@ sums2 AS (SELECT l.label_idx, l.label_name, count(*) FILTER (true_idx = l.label_
 SELECT label_name, round(CASE WHEN p = 0 THEN 0 ELSE tp / p END, 6) AS precision, round(CASE WHEN t = 0 THEN 0 ELSE tp / t END, 6) AS recall,
   round(CASE WHEN t + p = 0 THEN 0 ELSE 2 * tp / (t + p) END, 6) AS f1, t AS support FROM sums2""")
 def m14(spark, sf):
-    features, blocks, v, train, test = nb_inputs(spark, sf)
-    preds = U.predict_bayes(features, train, test, v, B.Candidate(0, "multinomial", 0.1), blocks)
+    fitted, v, train, test = nb_inputs(spark, sf)
+    preds = U.predict_bayes(fitted, train, test, v, [B.Candidate(0, "multinomial", 0.1)])
     rep = E.class_report(preds, lang_labels(spark, sf))
     return rep.select("label_name", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
