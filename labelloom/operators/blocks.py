@@ -211,9 +211,16 @@ def weights(tfs: np.ndarray, dfs: np.ndarray, n_docs: int, sublinear_tf: bool) -
     return (np.log(tfs) + 1.0 if sublinear_tf else tfs) * (np.log((n_docs + 1.0) / (dfs + 1.0)) + 1.0)
 
 
-def weigh(names: list[str], n_docs: int, sublinear_tf: bool) -> Callable:
-    """``WEIGHED`` of a block's documents by the terms known there; all documents of an id have one norm."""
+def weigh(names: list[str], n_docs: int, sublinear_tf: bool, spelled: bool = False) -> Callable:
+    """``WEIGHED`` of a block's documents by the terms known there; all documents of an id have one norm.
+
+    Where ``spelled``, the block's chunks are among its documents, and a row with the numbers of the terms known, in order,
+    and, packed, the ``words`` themselves is among the result's.
+    """
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        chunks = docs.filter(pc.is_valid(docs.column("part"))) if spelled else None
+        if spelled:
+            docs = docs.filter(pc.is_null(docs.column("part")))
         ids, lengths = flat(docs.column("ids"), np.int64)
         total = np.cumsum(ids)
         first = starts(lengths)
@@ -236,8 +243,47 @@ def weigh(names: list[str], n_docs: int, sublinear_tf: bool) -> Callable:
         out = docs.select(names).take(left)
         norm = np.sqrt(np.fromiter((by_id[k] for k in keys), np.float64, len(keys)))
         some = some[some > 0]
-        return pa.table({**{c: out.column(c) for c in names}, "terms": lists(number[ids], some, pa.int64()), "tfs": lists(tfs, some, pa.int32()),
-                         "dfs": lists(df[ids], some, pa.int64()), "norm": pa.array(norm[left.to_numpy()])})
+        weighed = pa.table({**{c: out.column(c) for c in names}, "terms": lists(number[ids], some, pa.int64()), "tfs": lists(tfs, some, pa.int32()),
+                            "dfs": lists(df[ids], some, pa.int64()), "norm": pa.array(norm[left.to_numpy()])})
+        if not spelled:
+            return weighed
+        weighed = weighed.append_column("words", pa.nulls(weighed.num_rows, pa.binary()))
+        if not len(places):
+            return weighed
+        (words,), per_row = unpack(chunks.column("chunk"), "terms")
+        at = np.zeros(len(words), np.int64)
+        at[ranges(chunks.column("start").to_numpy().astype(np.int64), per_row)] = np.arange(len(words))
+        places = places[np.argsort(number[places])]
+        row = {"home": chunks.column("home").slice(0, 1), "terms": lists(number[places], [len(places)], pa.int64()),
+               "words": pa.array([pack(terms=words.take(pa.array(at[places])))], pa.binary())}
+        return pa.concat_tables([weighed, pa.table([row.get(f.name, pa.nulls(1, f.type)) for f in weighed.schema], schema=weighed.schema)])
+
+    return run
+
+
+def _spelled(table: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Array]:
+    """A block's documents, and the numbers of its terms in order with their words."""
+    named = pc.is_valid(table.column("words"))
+    words = table.filter(named)
+    docs = table.filter(pc.invert(named))
+    if not words.num_rows:
+        return docs, np.zeros(0, np.int64), pa.array([], pa.string())
+    return docs, flat(words.column("terms"), np.int64)[0], unpack(words.column("words"), "terms")[0][0]
+
+
+def spell(names: list[str], n_docs: int, sublinear_tf: bool) -> Callable:
+    """``[names], term, weight`` of a block that was weighed ``spelled``, a row for each posting."""
+    def run(table: pa.Table) -> pa.Table:
+        docs, numbers, words = _spelled(table)
+        schema = pa.schema([*(docs.schema.field(c) for c in names), pa.field("term", pa.string()), pa.field("weight", pa.float64())])
+        out = []
+        for i in range(0, docs.num_rows, ROWS):
+            some = docs.slice(i, ROWS)
+            terms, w, lengths = _postings(some, n_docs, sublinear_tf)
+            row = pa.array(np.repeat(np.arange(some.num_rows), lengths))
+            term = words.take(pa.array(np.searchsorted(numbers, terms)))
+            out.append(pa.table([*(some.column(c).take(row) for c in names), term, pa.array(w)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 

@@ -191,16 +191,11 @@ def fit_transform_tfidf(corpus: DataFrame, settings: TfidfSettings = TfidfSettin
                         keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Features and vocabulary, both written once to the shared folder.
 
-    The corpus is tokenized twice, which is cheaper than keeping every term of
-    every document. The vocabulary is written with a row for each block that has
-    a term, ``first`` marking one of them.
-    Weights are written as what they are made of, counts, idf and norm, which
-    repeat and so take few bytes; reading makes the same doubles of them.
+    Documents are written in blocks, by the numbers of their terms, each block
+    with the words of its own; a posting has a row of its own only as it is read.
     """
-    settings = in_blocks(corpus, settings)
-    known = _known_terms(corpus, settings)
-    weighed = materialize(weigh(corpus, known, settings, keep).drop("block"), "tfidf", compression="zstd")
-    return unit_weights(weighed, settings), _first_rows(known)
+    fitted = fit_in_blocks(corpus, settings, keep, spelled=True)
+    return fitted.spelled_features(), fitted.vocabulary()
 
 
 @dataclass
@@ -217,6 +212,8 @@ class Blocks:
     homes: list[int]
     n_docs: int
     settings: TfidfSettings
+    # ``docs`` and the rows with the words of each block, where they were asked for.
+    stored: DataFrame | None = None
 
     def _idf(self) -> Column:
         return F.log((F.lit(float(self.n_docs)) + 1.0) / (F.col("df") + 1.0)) + 1.0
@@ -228,6 +225,14 @@ class Blocks:
             F.col("terms").alias("term"), F.col("tfs").alias("tf"), F.col("dfs").alias("df"))))
         return long.withColumn("idf", self._idf()).select(*keep, "term", (_weight(self.settings) / F.col("norm")).alias("weight"))
 
+    def spelled_features(self) -> DataFrame:
+        """``doc_id, [keep], term, weight`` of documents with ``words``, made in their block."""
+        rows = self.stored
+        names = [c for c in self.docs.columns if c not in ("home", "terms", "tfs", "dfs", "norm")]
+        schema = T.StructType([rows.schema[c] for c in names] + [T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+        with buckets_in_place(rows.sparkSession):
+            return rows.groupBy("home").applyInArrow(blocks.spell(names, self.n_docs, self.settings.sublinear_tf), schema)
+
     def numbered(self) -> DataFrame:
         """``number, term, df``."""
         rows = self.parts.select("part", F.posexplode(F.arrays_zip(F.col("terms").alias("term"), F.col("dfs").alias("df"))).alias("i", "t"))
@@ -240,7 +245,7 @@ class Blocks:
         return self.parts.agg(F.sum(F.size("terms"))).first()[0] or 0
 
 
-def fit_in_blocks(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(), keep: tuple[str, ...] = ()) -> Blocks:
+def fit_in_blocks(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(), keep: tuple[str, ...] = (), spelled: bool = False) -> Blocks:
     """As ``fit_transform_tfidf``, with rows that are whole documents, and arrays where that has a row for each posting.
 
     The corpus is taken apart once, by ``blocks.encode``. A block sends each part
@@ -261,12 +266,15 @@ def fit_in_blocks(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(),
     known = chunks.groupBy("part").applyInArrow(blocks.merge(settings.min_df, float(settings.max_df) * n_docs), blocks.MERGED)
     known = materialize(known, "vocabulary", compression="zstd")
     back = known.where("home IS NOT NULL").select("home", "part", "known")
-    docs = encoded.where("part IS NULL").select(*ids.names, "ids", "tfs")
-    weigh_block = blocks.weigh(ids.names, n_docs, settings.sublinear_tf)
+    docs = encoded if spelled else encoded.where("part IS NULL").select(*ids.names, "ids", "tfs")
+    weigh_block = blocks.weigh(ids.names, n_docs, settings.sublinear_tf, spelled)
+    words = [T.StructField("words", T.BinaryType())] if spelled else []
     with buckets_in_place(spark):
-        weighed = docs.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(weigh_block, T.StructType(ids.fields + blocks.WEIGHED.fields))
+        weighed = docs.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(weigh_block, T.StructType(ids.fields + blocks.WEIGHED.fields + words))
         weighed = materialize_buckets(weighed, "tfidf", n, "home", compression="zstd")
-    return Blocks(weighed, known.where("home IS NULL").select("part", "terms", "dfs"), homes, n_docs, settings)
+    parts = known.where("home IS NULL").select("part", "terms", "dfs")
+    docs = weighed.where("words IS NULL").drop("words") if spelled else weighed
+    return Blocks(docs, parts, homes, n_docs, settings, weighed if spelled else None)
 
 
 def fit_transform_in_blocks(corpus: DataFrame, settings: TfidfSettings = TfidfSettings(),
@@ -282,18 +290,6 @@ def fit_transform_in_blocks(corpus: DataFrame, settings: TfidfSettings = TfidfSe
     return fitted.features(), fitted.vocabulary(), fitted.homes
 
 
-def _known_terms(corpus: DataFrame, settings: TfidfSettings) -> DataFrame:
-    # A term has one row per block at most, so its rows are few, and the window has nothing to gather.
-    of_term = W.partitionBy("term")
-    counted = block_frequencies(corpus, settings).select(
-        "term", "block", F.sum("n").over(of_term).alias("df"), (F.col("block") == F.min("block").over(of_term)).alias("first"))
-    return materialize(vocabulary(counted, corpus.agg(F.count("*").cast("double")).scalar(), settings), "vocabulary", compression="zstd")
-
-
-def _first_rows(known: DataFrame) -> DataFrame:
-    return known.where("first").select("term", "df", "idf")
-
-
 def _homes(spark: SparkSession, n: int) -> list[int]:
     """For each of ``n`` blocks a number that hashing deals to the partition of that block; ``n`` rows reach the driver."""
     tried, found = 32 * n, {}

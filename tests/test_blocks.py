@@ -81,3 +81,15 @@ def test_naive_bayes_by_arrays_equals_that_by_rows(spark):
         return {(name(r["term"]), c["label_idx"], round(c["sums"][0], 9)) for r in terms.collect() for c in r["classes"]}
 
     assert told(whole.terms(), str) == told(plain.terms, number.get)
+
+
+def test_postings_are_stored_by_document_and_spelled_without_being_shuffled(spark):
+    rows = [(1, "red green red"), (1, "blue red"), (None, "green blue"), (3, None), (4, "red green blue"), (None, "green red")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    weights, vocab = T.fit_transform_tfidf(docs, T.TfidfSettings(partitions=3, min_df=2, max_df=1.0))
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()
+    # A row for each document with terms and one for each block, not one for each posting.
+    assert spark.read.parquet(*weights.inputFiles()).count() <= 4 + 3 < weights.count()
+    known = {r["term"] for r in vocab.collect()}
+    found = {(r["doc_id"], r["term"]) for r in weights.collect()}
+    assert {t for _, t in found} == known and (None, "green") in found and (1, "red") in found and not [i for i, _ in found if i == 3]
