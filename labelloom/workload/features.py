@@ -64,7 +64,7 @@ def m05(spark, sf):
 @query("a20_feature_facts", "WITH " + SQL_WEIGHTS + """
 SELECT count(DISTINCT term) AS vocab_size, count(DISTINCT doc_id) AS n_rows, count(*) AS n_entries FROM weights""")
 def a20(spark, sf):
-    return P.vocabulary_facts(T.fit_transform_tfidf(corpus(spark, sf))[0])
+    return P.vocabulary_facts(T.fit_transform_in_blocks(corpus(spark, sf))[0])
 
 
 @query("a20_vector_facts", """
