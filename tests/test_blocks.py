@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from labelloom.operators import bayes as B
 from labelloom.operators import blocks
+from labelloom.operators import models as M
 from labelloom.operators import tfidf as T
 
 WORDS = "aa bb cc dd e ee é ff the".split()
@@ -93,3 +94,25 @@ def test_postings_are_stored_by_document_and_spelled_without_being_shuffled(spar
     known = {r["term"] for r in vocab.collect()}
     found = {(r["doc_id"], r["term"]) for r in weights.collect()}
     assert {t for _, t in found} == known and (None, "green") in found and (1, "red") in found and not [i for i, _ in found if i == 3]
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_vectors_are_made_in_their_block(spark, stored):
+    texts = spark.createDataFrame([*enumerate(TEXTS), (None, "aa bb")], "doc_id LONG, text STRING")
+    settings = T.TfidfSettings(partitions=3)
+    docs = spark.createDataFrame([(i, i % 3, "a") for i in [*range(len(TEXTS)), 7, 999]] + [(None, 0, "b")], "doc_id LONG, label_idx INT, split STRING")
+    features, vocab = T.fit_transform_tfidf(texts, settings)
+    keep = ("doc_id", "split")
+    fitted = T.fit_in_blocks(texts, settings)
+    got = M.sparse_input_in_blocks(fitted, docs, 3, keep=keep, stored=stored)
+    if not stored:
+        # The labels go to the blocks; documents stay where they are.
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+    def rows(vectors):
+        return sorted(((str(r.doc_id), r.split, r.label, r.features.size, sorted(round(float(v), 9) for v in r.features.values)) for r in vectors.collect()))
+
+    assert got.columns == ["doc_id", "split", "label", "features"] and rows(got) == rows(M.sparse_input(features, vocab, docs, 3, keep=keep))
+    assert all((r.features.indices[1:] > r.features.indices[:-1]).all() for r in got.collect())
+    with pytest.raises(ValueError, match="too large"):
+        M.sparse_input_in_blocks(fitted, docs, 3, max_coefficients=10)
