@@ -106,6 +106,11 @@ def unpack(column: pa.ChunkedArray, *names: str) -> tuple[list, np.ndarray]:
     return out, np.array([t.num_rows for t in tables], np.int64)
 
 
+def add(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of values by their place, as doubles also where there are none."""
+    return np.bincount(at, weights=values, minlength=n).astype(np.float64)
+
+
 def starts(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths) - lengths
 
@@ -270,7 +275,7 @@ def weigh(names: list[str], n_docs: int, sublinear_tf: bool, spelled: bool = Fal
         hit = number[ids] >= 0
         row = np.repeat(np.arange(len(lengths)), lengths)[hit]
         ids, tfs = ids[hit], flat(docs.column("tfs"))[0][hit]
-        squares = np.bincount(row, weights=weights(tfs, df[ids], n_docs, sublinear_tf) ** 2, minlength=len(lengths))
+        squares = add(row, weights(tfs, df[ids], n_docs, sublinear_tf) ** 2, len(lengths))
         by_id: dict = {}
         keys = docs.column("doc_id").to_pylist()
         for key, s in zip(keys, squares):
@@ -393,7 +398,7 @@ class Cells:
         return np.stack(out, axis=1)
 
     def dense(self, at: np.ndarray, cells: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(at * len(self) + cells, weights=sums, minlength=n * len(self)).reshape(n, len(self))
+        return add(at * len(self) + cells, sums, n * len(self)).reshape(n, len(self))
 
 
 def _postings(rows: pa.Table, n_docs: int, sublinear_tf: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -413,7 +418,7 @@ def add_up(cells: Cells, n_docs: int, sublinear_tf: bool) -> Callable:
         distinct, at = np.unique(terms, return_inverse=True)
         taught = np.repeat(learn, lengths)
         keys, same = np.unique(at[taught] * len(cells) + np.repeat(cell, lengths)[taught], return_inverse=True)
-        sums = np.bincount(same, weights=w[taught], minlength=len(keys))
+        sums = add(same, w[taught], len(keys))
         asked = np.zeros(len(distinct), bool)
         asked[at[ask]] = True
         asked, known = distinct[asked], distinct[keys // len(cells)]
@@ -449,7 +454,7 @@ def total(cells: Cells) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         (ranks, cell, sums), _ = unpack(table.column("entries"), "ranks", "cells", "sums")
         keys, same = np.unique(ranks.astype(np.int64) * len(cells) + cell, return_inverse=True)
-        sums = np.bincount(same, weights=sums, minlength=len(keys))
+        sums = add(same, sums, len(keys))
         ranks, cell = keys // len(cells), (keys % len(cells)).astype(np.int16)
         (asked,), lengths = unpack(table.column("asked"), "ranks")
         # A block that sent more than one row gets one back: no entry is told twice.
@@ -461,7 +466,7 @@ def total(cells: Cells) -> Callable:
             at = ranges(first, last - first)
             homes.append(int(home))
             rows.append(pack(ranks=ranks[at], cells=cell[at], sums=sums[at]))
-        totals = np.bincount(cell, weights=sums, minlength=len(cells))
+        totals = add(cell, sums, len(cells))
         return pa.table({"home": pa.array([None, *homes], pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * len(rows), pa.int32()),
                          "entries": pa.array(rows, pa.binary()), "totals": lists(totals, [len(totals)] + [0] * len(homes))})
 
@@ -520,7 +525,7 @@ def doc_sums(cells: Cells, candidates: list[tuple[str, float]], n_docs: int, sub
                 logs = np.stack([np.log(np.maximum(own if kind == "multinomial" else others, 0.0) + a) for kind, a in candidates], axis=2)
                 g[docs] = np.add.reduceat(logs.reshape(len(distinct), width)[of] * w[at][:, None], starts(lengths[docs]), axis=0)
         row = np.repeat(np.arange(len(lengths)), lengths)
-        return pa.table({"doc_id": rows.column("doc_id"), "g": lists(g.ravel(), [width] * len(g)), "w": np.bincount(row, weights=w, minlength=len(lengths))})
+        return pa.table({"doc_id": rows.column("doc_id"), "g": lists(g.ravel(), [width] * len(g)), "w": add(row, w, len(lengths))})
 
     return run
 

@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,28 @@ def test_vectors_are_made_in_their_block(spark, stored):
     assert all((r.features.indices[1:] > r.features.indices[:-1]).all() for r in got.collect())
     with pytest.raises(ValueError, match="too large"):
         M.sparse_input_in_blocks(fitted, docs, 3, max_coefficients=10)
+
+
+def test_parts_without_sums_and_blocks_without_questions(spark):
+    cells = blocks.Cells((0, 1), 0)
+    one = {"ranks": np.array([3], np.int64), "cells": np.array([1], np.int16), "sums": np.array([0.5])}
+    none = {c: v[:0] for c, v in one.items()}
+    for entries, want in ((one, [0.0, 0.5]), (none, [0.0, 0.0])):
+        table = pa.table({"home": [7], "part": [2], "entries": [blocks.pack(**entries)], "asked": [blocks.pack(ranks=np.array([3], np.int64))]})
+        out = blocks.total(cells)(table)
+        assert out.column("totals").type == pa.list_(pa.float64()) and out.column("totals")[0].as_py() == want
+    rows = pa.table({"doc_id": pa.array([], pa.int64()), "fold": pa.array([], pa.int32()), "terms": pa.array([], pa.list_(pa.int64())),
+                     "tfs": pa.array([], pa.list_(pa.int32())), "dfs": pa.array([], pa.list_(pa.int64())), "norm": pa.array([], pa.float64())})
+    answers = pa.table({"part": [2], "entries": [blocks.pack(**one)]})
+    out = blocks.doc_sums(cells, [("multinomial", 1.0)], 5, True)(rows, answers)
+    assert out.schema.field("w").type == pa.float64() and out.schema.field("g").type == pa.list_(pa.float64())
+
+
+def test_few_training_rows_in_many_blocks(spark):
+    docs = spark.createDataFrame([(i, f"aa{i % 7} bb{i % 5} cc{i % 3}", i % 2, "train" if i < 2 else "test", None) for i in range(60)],
+                                 "doc_id LONG, text STRING, label_idx INT, split STRING, fold INT")
+    fitted = T.fit_in_blocks(docs, T.TfidfSettings(partitions=40), keep=("label_idx", "split", "fold"))
+    rows = fitted.docs.select("*", (F.col("split") == "train").alias("learn"), (F.col("split") == "test").alias("ask"))
+    model = B.fit_in_blocks(fitted, rows, docs.where("split = 'train'"), fitted.size())
+    found = B.score_in_blocks(model, docs.where("split = 'test'"), [B.Candidate(0)]).count()
+    assert found == 58 and model.terms().count() == len({t for i in range(2) for t in (f"aa{i} bb{i}", f"bb{i} cc{i}", f"aa{i}", f"bb{i}", f"cc{i}")})
