@@ -142,3 +142,25 @@ def test_few_training_rows_in_many_blocks(spark):
     model = B.fit_in_blocks(fitted, rows, docs.where("split = 'train'"), fitted.size())
     found = B.score_in_blocks(model, docs.where("split = 'test'"), [B.Candidate(0)]).count()
     assert found == 58 and model.terms().count() == len({t for i in range(2) for t in (f"aa{i} bb{i}", f"bb{i} cc{i}", f"aa{i}", f"bb{i}", f"cc{i}")})
+
+
+def test_known_terms_find_their_parts(spark):
+    """Terms come to documents as postings of ``transform_tfidf`` do, with other documents than those that were fitted, and stay in buckets by id."""
+    settings = T.TfidfSettings(stop_words=("the",), ngram_range=(1, 3), partitions=5)
+    fit_on = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id LONG, text STRING")
+    docs = spark.createDataFrame([(i, t and t + " new bb") for i, t in enumerate(TEXTS[:60])] + [(3, "aa bb"), (None, "aa"), (None, "bb"), (500, "new")],
+                                 "doc_id LONG, text STRING")
+    vocab = T.fit_tfidf(fit_on, settings)
+    fitted = {r["term"]: (r["df"], round(r["idf"], 9)) for r in vocab.collect()}
+    assert {r["term"]: (r["df"], round(r["idf"], 9)) for r in T.fit_vocabulary_in_blocks(fit_on, settings).collect()} == fitted
+    for known in (vocab, vocab.where("term < ''")):
+        want = {(r.doc_id, r.term): round(r.weight, 9) for r in T.transform_tfidf(docs, known, settings).collect()}
+        got = T.transform_in_blocks(docs, known, settings)
+        assert {(r.doc_id, r.term): round(r.weight, 9) for r in got.select("doc_id", F.inline("terms")).collect()} == want
+        assert got.count() == len({i for i, _ in want})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = docs.select("doc_id").join(got, "doc_id", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1
